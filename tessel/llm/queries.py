@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import bpe, chat_quotes, source_mixing, url_filters
+from tessel.llm import bpe, chat_quotes, pii, source_mixing, url_filters
 
 _MODULES = {
     "op3_bpe": bpe,
     "op5_quote_linking": chat_quotes,
     "op6_url_filters": url_filters,
     "op7_source_mixing": source_mixing,
+    "op10_pii": pii,
 }
 
 
