@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import bpe, chat_quotes, pii, source_mixing, url_filters
+from tessel.llm import bpe, chat_quotes, pii, quality_mil, quality_rules, source_mixing, url_filters
 
 _MODULES = {
+    "op1_quality_rules": quality_rules,
     "op3_bpe": bpe,
     "op5_quote_linking": chat_quotes,
     "op6_url_filters": url_filters,
     "op7_source_mixing": source_mixing,
+    "op9_quality_mil": quality_mil,
     "op10_pii": pii,
 }
 
