@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import bpe, chat_quotes, pii, quality_mil, quality_rules, source_mixing, url_filters
+from tessel.llm import bpe, chat_quotes, near_join, pii, quality_mil, quality_rules, source_mixing, url_filters
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
     "op3_bpe": bpe,
+    "op4_near_join": near_join,
     "op5_quote_linking": chat_quotes,
     "op6_url_filters": url_filters,
     "op7_source_mixing": source_mixing,
