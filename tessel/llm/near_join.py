@@ -355,13 +355,13 @@ def join(docs: DataFrame, rule: Rule | None = None, key: str = "doc_id", text: s
 
 def keep_one(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: of each component the row of least id (of repeated rows one), and every row with
-    an empty set. A row with a null id is told apart by its text."""
-    mark = F.xxhash64(text)
-    work = docs.select(F.coalesce(F.col(key).cast("bigint"), -F.abs(mark / 2).cast("bigint") - 1).alias("id"), mark.alias("mark"), F.col(text).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    an empty set. Rows are told apart by a 64-bit hash of id and text, so an id may come with several texts, or be null."""
+    own = F.xxhash64(F.col(key).cast("bigint"), F.col(text))
+    work = docs.select(own.alias("id"), F.col(key).cast("bigint").alias("mark"), F.col(text).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = join(work, rule, "id", "text", mark="mark")
-    stay = joined.filter("n > 0").groupBy("component").agg(F.min(F.struct("id", "mark")).alias("one")).select(F.col("one.id").alias("s_id"), F.col("one.mark").alias("s_mark"))
+    stay = joined.filter("n > 0").groupBy("component").agg(F.min(F.struct("mark", "id")).alias("one")).select(F.col("one.id").alias("s_id"), F.col("one.mark").alias("s_mark"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = work.filter(~blank).join(stay, (F.col("id") == F.col("s_id")) & (F.col("mark") == F.col("s_mark")), "left_semi").dropDuplicates(["id", "mark"])
+    one = work.filter(~blank).join(stay, (F.col("id") == F.col("s_id")) & F.col("mark").eqNullSafe(F.col("s_mark")), "left_semi").dropDuplicates(["id", "mark"])
     return one.union(work.filter(blank)).select("row.*")
 
 
