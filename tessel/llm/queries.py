@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import bpe, chat_quotes, near_join, pii, quality_mil, quality_rules, source_mixing, url_filters
+from tessel.llm import bpe, chat_quotes, near_join, paragraph_dedup, pii, quality_mil, quality_rules, source_mixing, url_filters
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
@@ -15,6 +15,7 @@ _MODULES = {
     "op5_quote_linking": chat_quotes,
     "op6_url_filters": url_filters,
     "op7_source_mixing": source_mixing,
+    "op8_paragraph_dedup": paragraph_dedup,
     "op9_quality_mil": quality_mil,
     "op10_pii": pii,
 }
