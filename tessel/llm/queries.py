@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessel.llm import bpe, chat_quotes, near_join, paragraph_dedup, pii, quality_mil, quality_rules, source_mixing, url_filters
+from tessel.llm import bpe, chat_quotes, media_columns, near_join, paragraph_dedup, pii, quality_mil, quality_rules, source_mixing, url_filters
 
 _MODULES = {
     "op1_quality_rules": quality_rules,
+    "op2_media_columns": media_columns,
     "op3_bpe": bpe,
     "op4_near_join": near_join,
     "op5_quote_linking": chat_quotes,
