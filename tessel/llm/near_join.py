@@ -7,7 +7,7 @@
    is a signature; representatives that share a signature get a star of edges to the least of them, and connected
    components of the stars are candidate groups. A link never leaves its candidate group.
 3. Search: within a group, every document asks the inverted index of the group's leaders for documents that reach the
-   required overlap T: DivideSkip heap-merges the short lists, takes what occurs at least T - L times there, and counts
+   required overlap T: DivideSkip merges the short lists with a heap (large ones by sorting arrays), takes what occurs at least T - L times there, and counts
    it on in the L long lists by binary search. A document that links to no leader becomes one. Leaders that are close
    enough for their followers to link (triangle inequality of the Jaccard distance) have their followers searched too,
    until their components meet or every possibility is exhausted. So components are exact, yet a group of n near copies
@@ -27,6 +27,7 @@ harm. A null id is kept, with a null component if it is in no component with an
 from __future__ import annotations
 
 import math
+from array import array
 from bisect import bisect_left
 from dataclasses import dataclass
 from heapq import heapify, heapreplace, heappop
@@ -143,18 +144,24 @@ def profile(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text"
 # Search
 
 
-def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
+#: From so many entries of short lists on, they are merged by sorting arrays instead of by a heap.
+HEAP_ENTRIES = 400
+
+
+def t_occurrence(lists: list[array], least: int) -> dict[int, int]:
     """Documents that occur in at least ``least`` of the ascending lists, with their number of occurrences.
 
-    DivideSkip: the L longest lists are set aside, the others are merged with a heap, and what occurs at least
-    ``least`` - L times there is looked up in the long lists by binary search.
+    DivideSkip: the L longest lists are set aside, the others are merged, and what occurs at least ``least`` - L times
+    there is looked up in the long lists by binary search until it can't reach ``least`` any more.
     """
     if least < 1 or len(lists) < least:
         return {}
     lists = sorted(lists, key=len)
     # The published choice of L, with its constant 0.0085.
     n_long = min(least - 1, int(least / (0.0085 * math.log2(len(lists[-1]) + 1) + 1)))
-    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :][::-1]
+    short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
+    if sum(map(len, short)) > HEAP_ENTRIES:
+        return _by_arrays(short, long, least)
     heap = [(own[0], i, 0) for i, own in enumerate(short)]
     heapify(heap)
     need, found = least - n_long, {}
@@ -169,7 +176,7 @@ def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
                 heappop(heap)
         if count < need:
             continue
-        for left, own in zip(range(len(long), 0, -1), long, strict=True):
+        for left, own in zip(range(n_long, 0, -1), long, strict=True):
             if count + left < least:
                 break
             at = bisect_left(own, document)
@@ -179,15 +186,35 @@ def t_occurrence(lists: list[list[int]], least: int) -> dict[int, int]:
     return found
 
 
+def _by_arrays(short: list[array], long: list[array], least: int) -> dict[int, int]:
+    """The same with whole arrays of candidates."""
+    merged, count = np.unique(np.concatenate([np.frombuffer(own, np.int32) for own in short]), return_counts=True)
+    keep = count >= least - len(long)
+    merged, count = merged[keep], count[keep]
+    for left, own in zip(range(len(long), 0, -1), long, strict=True):
+        if left % 8 == 0:
+            keep = count + left >= least
+            merged, count = merged[keep], count[keep]
+        if not len(merged):
+            return {}
+        view = np.frombuffer(own, np.int32)
+        count += view[np.minimum(np.searchsorted(view, merged), len(view) - 1)] == merged
+    keep = count >= least
+    return dict(zip(merged[keep].tolist(), count[keep].tolist(), strict=True))
+
+
 class Index:
     """Inverted lists of shingles over the documents put in, in ascending order."""
 
     def __init__(self) -> None:
-        self.lists: dict[int, list[int]] = {}
+        self.lists: dict[int, array] = {}
 
     def add(self, document: int, tokens: list[int]) -> None:
         for token in tokens:
-            self.lists.setdefault(token, []).append(document)
+            if (own := self.lists.get(token)) is None:
+                self.lists[token] = array("i", (document,))
+            else:
+                own.append(document)
 
     def search(self, tokens: list[int], num: int, den: int) -> dict[int, int]:
         """Documents that may reach similarity num / den with the tokens, with the size of the intersection."""
@@ -215,61 +242,70 @@ def solve(sets: list[np.ndarray], rule: Rule, seeds: list | None = None) -> tupl
         for i, s in enumerate(seeds):
             union(i, first.setdefault(s, i))
     tokens = [s.tolist() for s in sets]
-    leaders, follow, index = [], {}, Index()
+    lead, leaders, index = list(range(n)), [], Index()
+    followed = set()
     for x in range(n):
         hits = [y for y, both in index.search(tokens[x], rule.num, rule.den).items() if rule.linked(both, len(tokens[x]), len(tokens[y]))]
         if hits:
-            follow[hits[0]].append(x)
+            lead[x] = hits[0]
+            followed.add(hits[0])
             for y in hits:
                 union(x, y)
         else:
             leaders.append(x)
-            follow[x] = [x]
             index.add(x, tokens[x])
-    gap = rule.den - rule.num
-    for x in leaders if any(len(f) > 1 for f in follow.values()) and len({find(y) for y in leaders}) > 1 else ():
-        # Followers lie within one gap of their leader, so linked followers' leaders lie within three.
-        wide = max(1, rule.den - 3 * gap)
-        for y in index.search(tokens[x], wide, rule.den):
-            if y >= x or find(x) == find(y) or len(follow[x]) + len(follow[y]) == 2:
-                continue
-            few, many = sorted((follow[x], follow[y]), key=len)
-            inner = Index()
-            for m in few:
-                inner.add(m, tokens[m])
-            for m in many:
-                hit = next((o for o, both in inner.search(tokens[m], rule.num, rule.den).items() if rule.linked(both, len(tokens[m]), len(tokens[o]))), None)
-                if hit is not None:
-                    union(m, hit)
-                    break
-    lead = set(leaders)
-    return [find(x) for x in range(n)], [x in lead for x in range(n)]
+    is_leader = [lead[x] == x for x in range(n)]
+    if not followed or len({find(y) for y in leaders}) == 1:
+        return [find(x) for x in range(n)], is_leader
+    # A follower lies within one gap of its leader. So where a follower links into another component, the two leaders
+    # lie within two gaps if one of them has no followers, and within three otherwise.
+    gap, near = rule.den - rule.num, {x: [] for x in leaders}
+    for x in leaders:
+        for y, both in index.search(tokens[x], max(1, rule.den - 3 * gap), rule.den).items():
+            gaps = (x in followed) + (y in followed) + 1
+            either = len(tokens[x]) + len(tokens[y]) - both
+            if y < x and gaps > 1 and find(x) != find(y) and rule.den * both >= (rule.den - gaps * gap) * either:
+                near[x].append(y)
+                near[y].append(x)
+    whole = None
+    for x in range(n):
+        if is_leader[x] or all(find(y) == find(x) for y in near[lead[x]]):
+            continue
+        if whole is None:
+            whole = Index()
+            for m in range(n):
+                whole.add(m, tokens[m])
+        for y, both in whole.search(tokens[x], rule.num, rule.den).items():
+            if rule.linked(both, len(tokens[x]), len(tokens[y])):
+                union(x, y)
+    return [find(x) for x in range(n)], is_leader
 
 
 def _solve_blocks(rows: DataFrame, docs: DataFrame, rule: Rule, seeded: bool = False) -> DataFrame:
     """(id, comp, label, leader) from rows (id, print, comp, block[, seed]); a group is one (comp, block)."""
 
     def groups(found):
-        name, held = None, []
+        """((comp, block), [(id, seed, set)]) from the sorted rows. An id may come with several texts; only the one with
+        the representative's set counts, once."""
+        name, held = None, {}
         for batch in found:
-            for row in zip(*[batch.column(c).to_pylist() for c in ("comp", "block", "id", "print", "seed", "text")], strict=True):
-                if row[:2] != name:
-                    if held:
-                        yield name, held
-                    name, held = row[:2], []
-                held.append(row[2:])
+            for part in batches.slices(batch, "text"):
+                sets = shingle_sets(part.column("text"), rule.words)
+                for comp, block, i, mark, seed, own in zip(*[part.column(c).to_pylist() for c in ("comp", "block", "id", "print", "seed")], sets, strict=True):
+                    if (comp, block) != name:
+                        if held:
+                            yield name, list(held.values())
+                        name, held = (comp, block), {}
+                    if fingerprint(own) == mark:
+                        held[i, mark] = i, seed, own
         if held:
-            yield name, held
+            yield name, list(held.values())
 
     def run(found):
         out: list[tuple] = []
         for (comp, _), held in groups(found):
-            sets = shingle_sets(pa.array([r[3] for r in held], pa.string()), rule.words)
-            # An id may come with several texts; only the one with the representative's set counts, once.
-            own = list({r[:2]: i for i, r in reversed(list(enumerate(held))) if fingerprint(sets[i]) == r[1]}.values())
-            own.sort(key=lambda i: held[i][:2])
-            roots, lead = solve([sets[i] for i in own], rule, [held[i][2] for i in own] if seeded else None)
-            out += [(held[i][0], comp, held[own[r]][0], leader) for i, r, leader in zip(own, roots, lead, strict=True)]
+            roots, lead = solve([h[2] for h in held], rule, [h[1] for h in held] if seeded else None)
+            out += [(h[0], comp, held[r][0], leader) for h, r, leader in zip(held, roots, lead, strict=True)]
             if len(out) > 20_000:
                 yield _labels(out)
                 out = []

@@ -1,4 +1,5 @@
 import random
+from array import array
 
 import numpy as np
 import pytest
@@ -64,13 +65,16 @@ def test_small_blocks_give_the_same(spark):
     assert result(spark, rows, rule, block_docs=5) == brute(rows, rule)
 
 
-def test_solve_and_search_against_brute_force():
+def test_solve_and_search_against_brute_force(monkeypatch):
     rng = random.Random(3)
     for _ in range(200):
-        lists = [sorted(rng.sample(range(30), rng.randrange(1, 20))) for _ in range(rng.randrange(1, 25))]
+        lists = [array("i", sorted(rng.sample(range(30), rng.randrange(1, 20)))) for _ in range(rng.randrange(1, 25))]
         least = rng.randrange(1, len(lists) + 2)
         want = {d: c for d in range(30) if (c := sum(d in x for x in lists)) >= least}
         assert near_join.t_occurrence(lists, least) == want
+        with monkeypatch.context() as patch:
+            patch.setattr(near_join, "HEAP_ENTRIES", 0)
+            assert near_join.t_occurrence(lists, least) == want
     rule = Rule(3, 7, 10)
     for _ in range(60):
         base = rng.sample(range(200), 20)
