@@ -123,22 +123,50 @@ def signatures(own: np.ndarray, rule: Rule) -> np.ndarray:
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
+def _arrow(docs: DataFrame, run, schema: str, key: str, text: str, mark: str | None) -> DataFrame:
+    carried = (F.col(mark) if mark else F.lit(None)).cast("bigint").alias("mark")
+    return docs.select(F.col(key).cast("bigint").alias("id"), carried, F.col(text).alias("text")).mapInArrow(run, schema)
+
+
 def profile(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
-    """(id, mark, n, print, signs) of every row; mark is a column of ``docs`` that is passed on."""
+    """(id, mark, n, print, node) of every row; mark is a column of ``docs`` that is passed on, node the fingerprint's
+    first 64 bits."""
 
     def run(found):
         for batch in found:
             for part in batches.slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), rule.words)
-                signs = [signatures(s, rule) for s in sets]
+                prints = [fingerprint(s) if len(s) else None for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([p and _node(p) for p in prints], pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *columns], names=["id", "mark", "n", "print", "node"])
+
+    return _arrow(docs, run, "id bigint, mark bigint, n bigint, print binary, node bigint", key, text, mark)
+
+
+def _node(mark: bytes) -> int:
+    return int.from_bytes(mark[:8], "little", signed=True)
+
+
+def signed(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, signs) of the distinct sets of each slice of rows, so that a group of copies signs about once a slice."""
+
+    def run(found):
+        for batch in found:
+            for part in batches.slices(batch, "text"):
+                own = {fingerprint(s): s for s in shingle_sets(part.column("text"), rule.words) if len(s)}
+                signs = [signatures(s, rule) for s in own.values()]
                 lengths = np.cumsum([0, *map(len, signs)]).astype(np.int32)
                 flat = np.concatenate([np.zeros(0, np.uint64), *signs]).view(np.int64)
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) if len(s) else None for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *columns], names=["id", "mark", "n", "print", "signs"])
+                yield pa.RecordBatch.from_arrays([pa.array([_node(p) for p in own], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["node", "signs"])
 
-    carried = (F.col(mark) if mark else F.lit(None)).cast("bigint").alias("mark")
-    chosen = docs.select(F.col(key).cast("bigint").alias("id"), carried, F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "id bigint, mark bigint, n bigint, print binary, signs array<bigint>")
+    return _arrow(docs, run, "node bigint, signs array<bigint>", key, text, None)
+
+
+def groups_of(keyed: DataFrame, key: str) -> DataFrame:
+    """(id, component) of the nodes of (node, key) that share a key with another node, over chains of shared keys."""
+    least = F.min("node").over(Window.partitionBy(key))
+    stars = keyed.withColumn("least", least).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    return graph.components(stars)
 
 
 # Search
@@ -374,18 +402,16 @@ def join(docs: DataFrame, rule: Rule | None = None, key: str = "doc_id", text: s
     """(id, mark, n, print, representative, component) of every row; print is null for an empty set."""
     rule = rule or Rule()
     profiled = checkpoint(profile(docs, rule, key, text, mark))
-    classes = profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.first("signs").alias("signs"))
-    signed = classes.select("rep", F.explode("signs").alias("sign"))
-    stars = signed.withColumn("least", F.min("rep").over(Window.partitionBy("sign"))).filter("rep != least").select(F.col("rep").alias("u"), F.col("least").alias("v")).distinct()
-    groups = checkpoint(graph.components(stars).withColumnRenamed("id", "g_id"))
-    reps = profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
-    candidates = reps.join(groups, F.col("rep") == F.col("g_id")).select(F.col("rep").alias("id"), "n", "print", F.col("component").alias("comp"))
+    # Signatures are made in a pass of their own: reading the texts twice costs less than keeping all signatures on disk.
+    groups = checkpoint(groups_of(signed(docs, rule, key, text).select("node", F.explode("signs").alias("sign")), "sign").withColumnRenamed("id", "g_id"))
+    reps = profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("node").alias("node"))
+    candidates = reps.join(groups, F.col("node") == F.col("g_id")).select(F.col("rep").alias("id"), "n", "print", F.col("component").alias("comp"))
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     labelled = links(candidates, source, rule, block_docs, block_shingles).withColumnRenamed("id", "l_id")
     # An id with several texts may stand for several classes; the least label of its own class's links is what counts.
     named = reps.join(labelled.groupBy("l_id").agg(F.min("label").alias("label")), F.col("rep") == F.col("l_id"), "left")
     named = named.select(F.col("print").alias("c_print"), "rep", F.coalesce("label", "rep").alias("component"))
-    joined = profiled.drop("signs").join(named, F.col("print") == F.col("c_print"), "left")
+    joined = profiled.join(named, F.col("print") == F.col("c_print"), "left")
     return joined.select("id", "mark", "n", "print", F.coalesce("rep", "id").alias("representative"), F.coalesce("component", "id").alias("component"))
 
 

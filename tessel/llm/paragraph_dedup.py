@@ -18,10 +18,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessel.llm import batches, features, graph, near_join
+from tessel.llm import batches, features, near_join
 from tessel.session import checkpoint
 from tessel.sources.tables import table
 
@@ -60,8 +60,8 @@ def minhash_bands(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def occurrences_slice(texts: pa.Array, min_words: int) -> dict[str, np.ndarray]:
-    """The paragraphs of a slice: row, number, span in code points, words, set size, fingerprint, bands."""
+def occurrences_slice(texts: pa.Array, min_words: int, with_bands: bool = False) -> dict[str, np.ndarray]:
+    """The paragraphs of a slice: row, number, span in code points, words, set size, fingerprint, and bands if wanted."""
     raw, offsets = batches.flat(texts)
     starts, ends, doc, number = _lines(raw, offsets)
     w_start, w_end, _ = batches.words(raw, offsets)
@@ -84,7 +84,7 @@ def occurrences_slice(texts: pa.Array, min_words: int) -> dict[str, np.ndarray]:
         lengths = count[kept] - RULE.words + 1
         own = grams[batches.ragged(first, lengths)]
         begin = np.cumsum(lengths) - lengths
-        bands = minhash_bands(own, begin)
+        bands = minhash_bands(own, begin) if with_bands else bands
         sets = [np.unique(own[a : a + n]) for a, n in zip(begin, lengths, strict=True)]
     out["n"] = np.array([len(s) for s in sets], np.int64)
     out["print"] = [near_join.fingerprint(s) for s in sets]
@@ -92,22 +92,38 @@ def occurrences_slice(texts: pa.Array, min_words: int) -> dict[str, np.ndarray]:
     return out
 
 
+def _nodes(prints: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(p[:8] for p in prints), np.int64)
+
+
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, paragraph, start, end, n_words, n, print, node, bands) of every paragraph."""
+    """(doc, paragraph, start, end, n_words, n, print, node) of every paragraph; node is the print's first 64 bits."""
 
     def run(found):
         for batch in found:
             for part in batches.slices(batch, "text"):
                 got = occurrences_slice(part.column("text"), min_words)
-                flat = pa.array(got["bands"].view(np.int64).ravel())
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-                prints = pa.array(got["print"], pa.binary())
-                node = pa.array(np.frombuffer(b"".join(p[:8] for p in got["print"]), np.int64))
                 numbers = [pa.array(np.asarray(got[c], np.int64)) for c in ("paragraph", "start", "end", "n_words", "n")]
-                yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(got["row"])), *numbers, prints, node, bands], names=["doc", "paragraph", "start", "end", "n_words", "n", "print", "node", "bands"])
+                columns = [part.column("doc").take(pa.array(got["row"])), *numbers, pa.array(got["print"], pa.binary()), pa.array(_nodes(got["print"]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "paragraph", "start", "end", "n_words", "n", "print", "node"])
 
     chosen = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc bigint, paragraph bigint, start bigint, end bigint, n_words bigint, n bigint, print binary, node bigint, bands array<bigint>")
+    return chosen.mapInArrow(run, "doc bigint, paragraph bigint, start bigint, end bigint, n_words bigint, n bigint, print binary, node bigint")
+
+
+def banded(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(node, bands) of the distinct paragraphs of each slice of rows, so that a common one is banded about once a slice."""
+
+    def run(found):
+        for batch in found:
+            for part in batches.slices(batch, "text"):
+                got = occurrences_slice(part.column("text"), min_words, with_bands=True)
+                nodes, first = np.unique(_nodes(got["print"]), return_index=True)
+                flat = pa.array(got["bands"][first].view(np.int64).ravel())
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), bands], names=["node", "bands"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "node bigint, bands array<bigint>")
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, block_docs: int = near_join.BLOCK_DOCS) -> DataFrame:
@@ -117,11 +133,10 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     """
     found = checkpoint(occurrences(docs, key, text, min_words))
     first = F.min(F.struct("doc", "paragraph")).alias("first")
-    classes = found.groupBy("node").agg(first, F.count("*").alias("rows"), F.min("print").alias("print"), F.max("n").alias("n"), F.first("bands").alias("bands"))
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    stars = banded.withColumn("least", F.min("node").over(Window.partitionBy("band"))).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    groups = checkpoint(graph.components(stars).withColumnRenamed("id", "g_id"))
-    narrow = checkpoint(classes.drop("bands"))
+    narrow = checkpoint(found.groupBy("node").agg(first, F.count("*").alias("rows"), F.min("print").alias("print"), F.max("n").alias("n")))
+    # Bands are made in a pass of their own: reading the texts twice costs less than keeping all bands on disk.
+    keyed = banded(docs, text, min_words).select("node", F.explode("bands").alias("band"))
+    groups = checkpoint(near_join.groups_of(keyed, "band").withColumnRenamed("id", "g_id"))
     near = checkpoint(narrow.join(groups, F.col("node") == F.col("g_id")).select(F.col("node").alias("id"), "n", "print", F.col("component").alias("comp"), "first"))
     source = docs.select(F.col(key).cast("bigint").alias("t_doc"), F.col(text).alias("whole"))
     at = F.col("first.paragraph").cast("int")
@@ -130,7 +145,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     named = narrow.join(labels, F.col("node") == F.col("l_id"), "left").withColumn("label", F.coalesce("label", "node"))
     sums = named.groupBy("label").agg(F.sum("rows").alias("total"), F.min("first").alias("origin")).filter("total > 1").withColumnRenamed("label", "s_label")
     members = named.join(sums, F.col("label") == F.col("s_label")).select(F.col("node").alias("m_node"), "origin")
-    rows = found.drop("bands", "print", "n").join(members, F.col("node") == F.col("m_node"))
+    rows = found.drop("print", "n").join(members, F.col("node") == F.col("m_node"))
     removed = ~(F.col("doc").eqNullSafe(F.col("origin.doc")) & (F.col("paragraph") == F.col("origin.paragraph")))
     return rows.select("doc", "paragraph", "start", "end", "n_words", F.col("origin.doc").alias("cluster_doc"), F.col("origin.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
 
