@@ -47,7 +47,7 @@ def fixed_seconds(x: Column) -> Column:
 
 
 def first_line(text: Column) -> Column:
-    return F.btrim(F.split(F.btrim(text), "\n")[0])
+    return F.regexp_extract(text, r"^\s*([^\n]*?)\s*(?:\n|$)", 1)
 
 
 def kbps(text: Column) -> Column:
@@ -92,7 +92,7 @@ def display_size(width: Column, height: Column, rotation: Column) -> tuple[Colum
 
 def rotation(side: Column, tag: Column) -> Column:
     """Any side entry wins, even one of 0; else the tag, else 0."""
-    return F.when(F.coalesce(F.size(side), F.lit(0)) > 0, F.coalesce(side[0], F.lit(0))).otherwise(F.coalesce(tag.try_cast("int"), F.lit(0)))
+    return F.when(F.coalesce(F.size(side), F.lit(0)) > 0, F.coalesce(F.get(side, F.lit(0))["rotation"], F.lit(0))).otherwise(F.coalesce(tag.try_cast("int"), F.lit(0)))
 
 
 def memo_key(category: Column, mark: Column, settings: Column) -> Column:

@@ -38,7 +38,8 @@ def shots(cuts: DataFrame, clips: DataFrame) -> DataFrame:
 
 
 def mean_signal(intervals: DataFrame, frames: DataFrame, keys: list[str], bucket: float = BUCKET) -> DataFrame:
-    """``intervals`` with ``motion``, the mean of mafd over frames in [start, stop), 0 without frames.
+    """``intervals`` with ``motion``, the mean of mafd over frames in [start, stop), 0 without frames, and their number
+    ``n_frames``.
 
     Frames and intervals meet by equality on (clip, time bucket), so that neither a long clip nor a hot one is one task's
     work. Partial sums come before the second grouping.
@@ -46,8 +47,9 @@ def mean_signal(intervals: DataFrame, frames: DataFrame, keys: list[str], bucket
     spread = intervals.withColumn("b", F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("stop") / bucket))))
     timed = frames.select("clip", "t", "mafd", F.floor(F.col("t") / bucket).alias("b"))
     inside = spread.join(timed, ["clip", "b"]).filter((F.col("t") >= F.col("start")) & (F.col("t") < F.col("stop")))
-    sums = inside.groupBy(*keys).agg(F.avg("mafd").alias("mean"))
-    return intervals.join(sums, keys, "left").withColumn("motion", F.coalesce("mean", F.lit(0.0))).drop("mean")
+    sums = inside.groupBy(*keys).agg(F.avg("mafd").alias("mean"), F.count("*").alias("found"))
+    joined = intervals.join(sums, keys, "left")
+    return joined.withColumns({"motion": F.coalesce("mean", F.lit(0.0)), "n_frames": F.coalesce("found", F.lit(0))}).drop("mean", "found")
 
 
 def candidates(shot_rows: DataFrame, clips: DataFrame, frames: DataFrame) -> DataFrame:

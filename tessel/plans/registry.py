@@ -1,13 +1,483 @@
-"""All registered queries of the segment-selection domain and their oracle SQL."""
+"""All registered queries of the segment-selection domain, each with its oracle SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessel.functions import scalars as S
+from tessel.operators import cues, gate, intervals, memo, ranking, segments
+from tessel.plans import base as B
+from tessel.sources import documents
+from tessel.sources.tables import table
+from tessel.streaming import sessions
+
 FLAGSHIP = "highlight_plan"
+_QUERIES: dict = {}
+_ORACLES: dict = {}
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _ORACLES[f.__name__] = sql
+        return f
+
+    return add
 
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_ORACLES)
+
+
+def _r(*names):
+    return [F.round(n, 6).alias(n) for n in names]
+
+
+# Sources
+
+
+def _paths(spark, sf):
+    ext = F.element_at(F.array(*map(F.lit, (".mp4", ".MOV", ".txt", ".avi", ".mkv", ""))), (F.col("doc_id") % 6 + 1).cast("int"))
+    hidden = F.when(F.col("doc_id") % 10 == 7, ".").otherwise("")
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.col("source"), F.lit("/"), hidden, F.col("doc_id").cast("string"), ext).alias("path"))
+
+
+@_query("""WITH p AS (SELECT doc_id, source || '/' || CASE WHEN doc_id % 10 = 7 THEN '.' ELSE '' END || doc_id || ['.mp4', '.MOV', '.txt', '.avi', '.mkv', ''][doc_id % 6 + 1] AS path FROM documents),
+n AS (SELECT path, lower(regexp_extract(split_part(path, '/', 2), '(\\.[^.]*)$', 1)) AS suffix FROM p WHERE doc_id % 10 <> 7 AND doc_id % 50 <> 1)
+SELECT path, suffix, suffix IN ('.avi', '.m2ts', '.mkv', '.mov', '.mp4') AS kept, CASE WHEN suffix NOT IN ('.avi', '.m2ts', '.mkv', '.mov', '.mp4') THEN 'unsupported file type' END AS reason FROM n""")
+def scan_split_supported(spark, sf):
+    paths = _paths(spark, sf)
+    return documents.split_listing(paths, paths.filter("doc_id % 50 = 1"))
+
+
+@_query(f"""WITH {B.FRAMES} SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY t, event_id)::BIGINT AS frame, round(t, 3) AS t, round(mafd, 3) AS mafd, cut FROM ev""")
+def parse_signal_lines(spark, sf):
+    f = B.frames(spark, sf)
+    line = F.concat(F.lit("frame:0 pts_time:"), F.format_string("%.9f", "t"), F.lit("\nlavfi.scd.mafd="), F.col("mafd").cast("string"), F.when(F.col("cut"), F.lit("\nlavfi.scd.time=1")).otherwise(F.lit("")))
+    text = f.groupBy("clip").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "event_id", line.alias("line")))), lambda x: x["line"]), "\n").alias("raw"))
+    got = intervals.parse_signal(text)
+    return got.select("clip", F.col("frame").cast("bigint").alias("frame"), F.round("t", 3).alias("t"), F.round("mafd", 3).alias("mafd"), "cut")
+
+
+# Intervals
+
+
+@_query(f"WITH {B.CUTS} SELECT clip, round(t, 6) AS t FROM cuts")
+def interior_cuts(spark, sf):
+    return intervals.interior_cuts(B.frames(spark, sf), B.clips(spark, sf)).select("clip", *_r("t"))
+
+
+@_query(f"WITH {B.SHOTS} SELECT clip, shot, round(start, 6) AS start, round(stop, 6) AS stop FROM shots")
+def shots_between_cuts(spark, sf):
+    return B.shot_rows(spark, sf).select("clip", "shot", *_r("start", "stop"))
+
+
+@_query(f"WITH {B.CANDIDATES} SELECT clip, shot, part, round(start, 6) AS start, round(stop, 6) AS stop FROM cand")
+def candidates_from_shots(spark, sf):
+    return B.candidate_rows(spark, sf).select("clip", "shot", "part", *_r("start", "stop"))
+
+
+@_query(f"WITH {B.SHOTS} SELECT clip, shot, i AS n, round(start + i * ((stop - start) / 4), 6) AS t FROM (SELECT *, unnest(range(4)) AS i FROM shots)")
+def sample_times(spark, sf):
+    got = intervals.sample_times(B.shot_rows(spark, sf)).select("clip", "shot", F.posexplode("times").alias("n", "t"))
+    return got.select("clip", "shot", F.col("n").cast("bigint").alias("n"), *_r("t"))
+
+
+@_query(f"""WITH {B.CANDIDATES} SELECT c.clip, c.shot, c.part, round(coalesce(avg(e.mafd), 0), 6) AS motion
+FROM cand c LEFT JOIN ev e ON e.clip = c.clip AND e.t >= c.start AND e.t < c.stop GROUP BY c.clip, c.shot, c.part""")
+def mean_signal_range_join(spark, sf):
+    got = intervals.mean_signal(B.candidate_rows(spark, sf), B.frames(spark, sf), ["clip", "shot", "part"])
+    return got.select("clip", "shot", "part", *_r("motion"))
+
+
+# Measurements and the gate
+
+
+def _measured(spark, sf):
+    """Orders as intervals: quantity is blur, price over 500 luma, and the line's tax the level."""
+    l = table(spark, sf, "lineitem")
+    named = F.array(F.struct(F.lit("blur").alias("name"), (F.col("l_quantity") / 2).alias("x")), *[F.struct(F.lit(n).alias("name"), (F.col("l_extendedprice") / 300).alias("x")) for n in ("YAVG", "YMIN", "YMAX")])
+    video = gate.video_metrics(l.select("l_orderkey", F.explode(named).alias("m")).select("l_orderkey", "m.name", "m.x"), ["l_orderkey"])
+    level = F.when(F.col("l_tax") == 0, F.lit(float("-inf"))).otherwise(-F.col("l_tax") * 1000)
+    sound = F.array(F.struct(F.lit("RMS_level").alias("name"), level.alias("x")), F.struct(F.lit("Peak_level").alias("name"), (level / 2).alias("x")))
+    audio = gate.audio_metrics(l.select("l_orderkey", F.explode(sound).alias("m")).select("l_orderkey", "m.name", "m.x"), ["l_orderkey"])
+    own = l.groupBy("l_orderkey").agg(F.max(F.col("l_discount") * 400).alias("motion"), (F.count("*") / 2).alias("seconds"))
+    return video.join(audio, "l_orderkey").join(own, "l_orderkey")
+
+
+_MEASURED = """m AS (SELECT l_orderkey, coalesce(avg(l_quantity / 2), 0) AS blur, coalesce(avg(l_extendedprice / 300), 0) AS luma, min(l_extendedprice / 300) AS luma_min, max(l_extendedprice / 300) AS luma_max,
+  coalesce(avg(-l_tax * 1000) FILTER (l_tax <> 0), -120) AS rms, greatest(coalesce(max(-l_tax * 1000 / 2) FILTER (l_tax <> 0), -120), -120) AS peak, count(*) FILTER (l_tax <> 0) = 0 AS silent,
+  max(l_discount * 400) AS motion, count(*) / 2 AS seconds FROM lineitem GROUP BY l_orderkey)"""
+
+
+@_query(f"WITH {_MEASURED} SELECT l_orderkey, round(blur, 6) AS blur, round(luma, 6) AS luma, round(luma_min, 6) AS luma_min, round(luma_max, 6) AS luma_max, round(rms, 6) AS rms, round(peak, 6) AS peak, silent FROM m")
+def interval_metrics(spark, sf):
+    return _measured(spark, sf).select("l_orderkey", *_r("blur", "luma", "luma_min", "luma_max", "rms", "peak"), "silent")
+
+
+def _gated(spark, sf):
+    rows = _measured(spark, sf).withColumn("profile", F.element_at(F.array(*map(F.lit, ("strict", "lenient", "balanced"))), (F.col("l_orderkey") % 3 + 1).cast("int")))
+    return gate.audio_usable(gate.gate(rows, gate.profiles(spark)))
+
+
+_GATED = _MEASURED + """, p(profile, max_blur, min_luma, max_luma, max_motion, min_rms) AS (VALUES ('strict', 10.0, 35.0, 220.0, 18.0, -45.0), ('lenient', 22.0, 16.0, 240.0, 35.0, -55.0), ('balanced', 15.0, 25.0, 230.0, 25.0, -50.0)),
+g AS (SELECT *, seconds < 1 AS f1, blur > max_blur AS f2, luma < min_luma AS f3, luma > max_luma AS f4, motion > max_motion AS shaky FROM (SELECT *, ['strict', 'lenient', 'balanced'][l_orderkey % 3 + 1] AS profile FROM m) JOIN p USING (profile))"""
+
+
+@_query(f"""WITH {_GATED} SELECT l_orderkey, profile, concat_ws('; ', CASE WHEN f1 THEN 'shorter than one second' END, CASE WHEN f2 THEN 'excessive blur' END, CASE WHEN f3 THEN 'severely underexposed' END, CASE WHEN f4 THEN 'severely overexposed' END, CASE WHEN shaky THEN 'excessive camera shake' END) AS reasons,
+f1 OR f2 OR f3 OR f4 AS hard, shaky, NOT (f1 OR f2 OR f3 OR f4) AND NOT shaky AS eligible, NOT silent AND rms >= min_rms AS audio_usable FROM g""")
+def gate_reasons(spark, sf):
+    return _gated(spark, sf).select("l_orderkey", "profile", F.array_join("reasons", "; ").alias("reasons"), "hard", "shaky", "eligible", "audio_usable")
+
+
+@_query(f"WITH {_GATED} SELECT profile, l_orderkey, row_number() OVER (PARTITION BY profile ORDER BY l_orderkey) - 1 AS ord FROM g WHERE NOT (f1 OR f2 OR f3 OR f4) AND NOT shaky")
+def eligible_ordinals(spark, sf):
+    return gate.eligible_ordinals(_gated(spark, sf), ["l_orderkey"], ["profile"]).select("profile", "l_orderkey", "ord")
+
+
+@_query(f"WITH {_GATED}, s AS (SELECT profile, sum(seconds) FILTER (NOT (f1 OR f2 OR f3 OR f4) AND NOT shaky) AS seconds, sum(seconds) AS total FROM g GROUP BY profile) SELECT profile, total, coalesce(seconds, 0) AS seconds, coalesce(seconds, 0) >= 5 AS enough FROM s")
+def usable_floor(spark, sf):
+    sums = _gated(spark, sf).groupBy("profile").agg(F.sum("seconds").alias("total"), F.coalesce(F.sum(F.when(F.col("eligible"), F.col("seconds"))), F.lit(0.0)).alias("seconds"))
+    return sums.withColumn("enough", F.col("seconds") >= 5)
+
+
+@_query("""WITH s AS (SELECT o_custkey AS clip, CASE WHEN o_orderkey % 2 = 0 THEN 'landscape' ELSE 'portrait' END AS o, sum(floor(o_totalprice / 100000)) AS total FROM orders GROUP BY ALL),
+b AS (SELECT clip, max(total) AS total FROM s GROUP BY clip)
+SELECT clip, CASE WHEN count(*) = 1 THEN max(o) END AS winner, b.total FROM s JOIN b USING (clip) WHERE s.total = b.total GROUP BY clip, b.total""")
+def orientation_majority(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("clip"), F.when(F.col("o_orderkey") % 2 == 0, "landscape").otherwise("portrait").alias("o"), F.floor(F.col("o_totalprice") / 100000).cast("double").alias("w"))
+    return gate.majority(rows, ["clip"], "o", "w")
+
+
+@_query("SELECT o_custkey AS clip, o_orderkey AS path, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey::VARCHAR) - 1 AS clip_ord FROM orders")
+def capture_order(spark, sf):
+    rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("clip"), F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderdate").alias("captured_at"))
+    return documents.capture_order(rows, ["clip"]).select("clip", F.col("path").cast("bigint").alias("path"), "clip_ord")
+
+
+# Scores and selection
+
+
+@_query("""SELECT event_id, CASE WHEN event_id % 5 IN (0, 2, 3) OR event_id % 5 = 1 THEN round(value / 1000, 6) END AS interest, event_id % 5 = 1 AS repaired FROM events WHERE value BETWEEN 0 AND 1000""")
+def score_parse_repair(spark, sf):
+    e = table(spark, sf, "events").filter("value BETWEEN 0 AND 1000")
+    good = F.concat(F.lit('{"visual_interest": '), (F.col("value") / 1000).cast("string"), F.lit(', "energy": 0.5, "subjects": ["a"], "usefulness": 1}'))
+    first = F.expr("event_id % 5")
+    content = F.when(first == 0, F.concat(F.lit("<think>{x}</think> "), good)).when(first == 1, "no answer").when(first == 2, "  ").when(first == 3, F.concat(F.lit("Sure: "), good, F.lit(" done"))).otherwise('{"visual_interest": 2}')
+    one = e.select("event_id", F.lit(1).alias("attempt"), content.alias("content"), good.alias("reasoning"))
+    two = e.select("event_id", F.lit(2).alias("attempt"), F.when(first == 4, '{"visual_interest": "x"}').otherwise(good).alias("content"), F.lit("").alias("reasoning"))
+    got = ranking.score_with_repair(one.union(two), ["event_id"])
+    return got.select("event_id", F.round("score.visual_interest", 6).alias("interest"), "repaired")
+
+
+@_query(f"WITH {B.RANKED} SELECT clip, ord, base, row_number() OVER (PARTITION BY clip ORDER BY base DESC, ord) - 1 AS place FROM ranked")
+def base_score_rank(spark, sf):
+    w = Window.partitionBy("clip").orderBy(F.desc("base"), "ord")
+    return B.ranked(spark, sf).select("clip", "ord", "base", (F.row_number().over(w) - 1).cast("bigint").alias("place"))
+
+
+@_query("""WITH t AS (SELECT DISTINCT p_partkey, p_brand, lower(trim(unnest(string_split(p_name, ' ')))) AS term FROM part), c AS (SELECT p_brand, term, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, term) AS rank FROM c""")
+def term_frequency(spark, sf):
+    rows = table(spark, sf, "part").select("p_brand", F.split("p_name", " ").alias("terms"))
+    return ranking.term_counts(rows, ["p_brand"], "terms")
+
+
+@_query("""WITH s AS (SELECT user_id AS clip, count(*) * 10.0::DOUBLE AS eligible, CASE WHEN user_id % 7 = 0 THEN 45.0::DOUBLE ELSE 0.0::DOUBLE END AS override FROM events GROUP BY user_id)
+SELECT clip, round(CASE WHEN override > 0 THEN override ELSE least(greatest(0.15::DOUBLE * eligible, 30.0::DOUBLE), 120.0::DOUBLE, eligible) END, 6) AS target FROM s""")
+def target_duration(spark, sf):
+    s = table(spark, sf, "events").groupBy(F.col("user_id").alias("clip")).agg((F.count("*") * 10.0).alias("eligible"))
+    target = S.target_duration(F.col("eligible"), F.when(F.col("clip") % 7 == 0, 45.0).otherwise(0.0))
+    return s.select("clip", F.round(target, 6).alias("target"))
+
+
+@_query(f"WITH {B.RANKED} SELECT clip, ord, coalesce(sum(seconds) OVER (PARTITION BY clip ORDER BY base DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 60 AS chosen FROM ranked")
+def budget_select_prefix(spark, sf):
+    return ranking.select_prefix(B.ranked(spark, sf), ["clip"], F.lit(60.0)).select("clip", "ord", "chosen")
+
+
+_DIVERSE = f"""WITH RECURSIVE {B.RANKED}, q AS (SELECT clip, ord, seconds, redundancy, source % 5 AS subject, part % 3 AS action, row_number() OVER (PARTITION BY clip ORDER BY base DESC, ord) AS k FROM ranked),
+f AS (SELECT clip, 0::BIGINT AS k, 0.0::DOUBLE AS total, []::STRUCT(r DOUBLE, s BIGINT, a BIGINT)[] AS chosen, NULL::BIGINT AS ord, false AS taken FROM (SELECT DISTINCT clip FROM q)
+  UNION ALL SELECT clip, k, CASE WHEN skip THEN total ELSE total + seconds END, CASE WHEN skip THEN chosen ELSE list_append(chosen, {{'r': redundancy, 's': subject, 'a': action}}) END, ord, NOT skip
+  FROM (SELECT q.*, f.total, f.chosen, f.total >= 30 OR len(list_filter(f.chosen, lambda o: (q.redundancy >= 0.6::DOUBLE OR o.r >= 0.6::DOUBLE) AND o.s = q.subject AND o.a = q.action)) > 0 AS skip FROM f JOIN q ON q.clip = f.clip AND q.k = f.k + 1))
+SELECT clip, ord, taken AS chosen FROM f WHERE k > 0"""
+
+
+@_query(_DIVERSE)
+def greedy_diverse_select(spark, sf):
+    rows = B.ranked(spark, sf).withColumns({"subjects": F.array(F.concat(F.lit(" S"), (F.col("source") % 5).cast("string"))), "actions": F.array((F.col("part") % 3).cast("string"))})
+    return ranking.select_diverse(rows, ["clip"], 30.0).select("clip", "ord", "chosen")
+
+
+@_query(f"WITH {B.RANKED} SELECT clip, ord, row_number() OVER (PARTITION BY clip ORDER BY energy, base DESC, ord) - 1 AS place FROM ranked")
+def energy_arc(spark, sf):
+    return ranking.energy_arc(B.ranked(spark, sf), ["clip"]).select("clip", "ord", "place")
+
+
+@_query(f"WITH {B.RANKED} SELECT clip, ord, CASE WHEN shaky AND visual_interest < 0.5 THEN 'dropped' ELSE 'kept' END AS stage FROM ranked")
+def shaky_split(spark, sf):
+    rows = ranking.shaky_split(B.ranked(spark, sf))
+    part = lambda c, name: rows.filter(c).select("clip", "ord", F.lit(name).alias("stage"))
+    return part("kept", "kept").unionByName(part("NOT kept", "dropped"))
+
+
+# Cues
+
+
+@_query("""WITH RECURSIVE v AS (SELECT user_id AS clip, floor(value * 10) / 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(value * 10) / 1000, event_id) AS k FROM events WHERE floor(value * 10) / 1000 >= 0 AND floor(value * 10) / 1000 <= 1 + 0.01::DOUBLE),
+f AS (SELECT clip, k, t, t AS last, true AS kept FROM v WHERE k = 1 UNION ALL SELECT v.clip, v.k, v.t, CASE WHEN v.t - f.last < 0.01::DOUBLE THEN f.last ELSE v.t END, NOT v.t - f.last < 0.01::DOUBLE FROM f JOIN v ON v.clip = f.clip AND v.k = f.k + 1)
+SELECT clip, t FROM f WHERE kept""")
+def cue_clean(spark, sf):
+    rows = table(spark, sf, "events").groupBy(F.col("user_id").alias("clip")).agg(F.collect_list(F.floor(F.col("value") * 10) / 1000).alias("times"))
+    return rows.select("clip", F.explode(cues.clean(F.col("times"), F.lit(1.0))).alias("t"))
+
+
+@_query(f"WITH {B.FRAMES} SELECT clip, n, round(t, 6) AS t, n % 8 = 0 AS phrase, n % 32 = 0 AS section FROM (SELECT *, row_number() OVER (PARTITION BY clip ORDER BY t) - 1 AS n FROM ev)")
+def phrase_section_marks(spark, sf):
+    return cues.marks(B.frames(spark, sf).select("clip", "t"), ["clip"]).select("clip", "n", *_r("t"), "phrase", "section")
+
+
+_CUES = f"""WITH {B.FRAMES}, cue AS (SELECT clip, CASE event_type WHEN 'error' THEN 'section' WHEN 'view' THEN 'phrase' ELSE 'beat' END AS kind, t FROM ev WHERE event_type <> 'click'),
+b AS (SELECT clip, event_id AS id, t + 0.3::DOUBLE AS boundary, event_id % 2 = 0 AS major FROM ev WHERE event_type = 'click'),
+r AS (SELECT b.clip, b.id, cue.kind, cue.t, row_number() OVER (PARTITION BY b.clip, b.id ORDER BY list_position(['section', 'phrase', 'beat'], kind), t DESC) AS k FROM b JOIN cue ON cue.clip = b.clip AND cue.t <= b.boundary + 0.01::DOUBLE AND b.boundary - cue.t <= 0.5::DOUBLE AND (b.major OR cue.kind = 'beat'))
+SELECT b.clip, b.id, r.kind, round(r.t, 6) AS cue FROM b LEFT JOIN r ON r.clip = b.clip AND r.id = b.id AND r.k = 1"""
+
+
+@_query(_CUES)
+def asof_prior_cue(spark, sf):
+    f = B.frames(spark, sf)
+    kind = F.when(F.col("event_type") == "error", "section").when(F.col("event_type") == "view", "phrase").otherwise("beat")
+    bounds = f.filter("event_type = 'click'").select("clip", F.col("event_id").alias("id"), (F.col("t") + 0.3).alias("boundary"), (F.col("event_id") % 2 == 0).alias("major"))
+    got = cues.prior_cue(bounds, f.filter("event_type <> 'click'").select("clip", kind.alias("kind"), "t"), ["clip"])
+    return got.select("clip", "id", "kind", *_r("cue"))
+
+
+_SNAP = f"""WITH RECURSIVE {B.RANKED}, s AS (SELECT clip, ord, source, start, stop, base, lead(source) OVER w AS next_source, lead(base) OVER w AS next_base FROM ranked WHERE ord < 8 WINDOW w AS (PARTITION BY clip ORDER BY ord)),
+bt AS (SELECT i * 0.75::DOUBLE AS t, i FROM range(200) x(i)),
+f AS (SELECT clip, -1::BIGINT AS ord, 0.0::DOUBLE AS line, 0.0::DOUBLE AS snapped, '' AS cue FROM (SELECT DISTINCT clip FROM s)
+  UNION ALL SELECT clip, ord, line + CASE WHEN ok THEN target - line ELSE stop - start END, CASE WHEN ok THEN start + (target - line) ELSE stop END, CASE WHEN ok THEN kind ELSE '' END FROM (
+    SELECT *, coalesce(next_source IS NOT NULL AND target - line >= 1, false) AS ok FROM (
+      SELECT *, CASE WHEN major AND sec IS NOT NULL THEN sec WHEN major AND phr IS NOT NULL THEN phr ELSE beat END AS target, CASE WHEN major AND sec IS NOT NULL THEN 'section' WHEN major AND phr IS NOT NULL THEN 'phrase' ELSE 'beat' END AS kind FROM (
+        SELECT s.clip, s.ord, s.start, s.stop, s.next_source, f.line, (s.source <> s.next_source OR abs(s.base - s.next_base) >= 0.25::DOUBLE) AS major,
+          (SELECT max(t) FROM bt WHERE i % 32 = 0 AND t <= f.line + (s.stop - s.start) + 0.01::DOUBLE AND f.line + (s.stop - s.start) - t <= 0.5::DOUBLE) AS sec,
+          (SELECT max(t) FROM bt WHERE i % 8 = 0 AND t <= f.line + (s.stop - s.start) + 0.01::DOUBLE AND f.line + (s.stop - s.start) - t <= 0.5::DOUBLE) AS phr,
+          (SELECT max(t) FROM bt WHERE t <= f.line + (s.stop - s.start) + 0.01::DOUBLE AND f.line + (s.stop - s.start) - t <= 0.5::DOUBLE) AS beat
+        FROM f JOIN s ON s.clip = f.clip AND s.ord = f.ord + 1))))
+SELECT clip, ord, round(snapped, 6) AS snapped, cue FROM f WHERE ord >= 0"""
+
+
+@_query(_SNAP)
+def snap_cuts(spark, sf):
+    rows = B.ranked(spark, sf).filter("ord < 8").drop("cue")
+    grid = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: i * 0.75)
+    every = lambda n: F.filter(grid, lambda x, i: i % n == 0)
+    lines = rows.select("clip").distinct().select("clip", grid.alias("beats"), every(8).alias("phrases"), every(32).alias("sections"))
+    return cues.snap(rows, lines, ["clip"]).select("clip", "ord", *_r("snapped"), "cue")
+
+
+# Segments
+
+
+@_query(f"""WITH {B.RANKED}, l AS (SELECT *, 20 - coalesce(sum(stop - start) OVER (PARTITION BY clip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining FROM ranked)
+SELECT clip, ord, round(CASE WHEN stop - start > remaining + 0.01::DOUBLE THEN start + remaining ELSE stop END, 6) AS stop FROM l WHERE remaining > 0.01::DOUBLE""")
+def trim_to_budget(spark, sf):
+    got = segments.trim_to_budget(B.ranked(spark, sf), ["clip"], "ord", F.lit(20.0))
+    return got.select("clip", "ord", F.round("trimmed", 6).alias("stop"))
+
+
+@_query(f"WITH {B.PLANNED} SELECT clip, ord, transition, round(transition_seconds, 6) AS transition_seconds, transition_reason FROM planned")
+def plan_transitions(spark, sf):
+    return B.planned(spark, sf).select("clip", "ord", "transition", *_r("transition_seconds"), "transition_reason")
+
+
+def _mutated(spark, sf):
+    """Planned segments with one field in a few edited, so that rules are broken."""
+    p = B.planned(spark, sf)
+    k = F.col("part") % 11
+    return p.withColumns({
+        "transition": F.when(k == 1, "spin").when(k == 2, "fade").otherwise(F.col("transition")),
+        "transition_seconds": F.when(k == 3, 0.9).when(k == 4, 0.05).otherwise(F.col("transition_seconds")),
+        "transition_reason": F.when(k == 5, " ").otherwise(F.col("transition_reason")),
+    })
+
+
+@_query(f"""WITH {B.PLANNED}, mut AS (SELECT clip, ord, start, stop, CASE part % 11 WHEN 1 THEN 'spin' WHEN 2 THEN 'fade' ELSE transition END AS tr, CASE part % 11 WHEN 3 THEN 0.9::DOUBLE WHEN 4 THEN 0.05::DOUBLE ELSE transition_seconds END AS s, CASE part % 11 WHEN 5 THEN ' ' ELSE transition_reason END AS re FROM planned),
+w AS (SELECT *, stop - start AS own, lag(stop - start) OVER (PARTITION BY clip ORDER BY ord) AS prev FROM mut)
+SELECT clip, ord, CASE WHEN tr = 'spin' THEN 'unsupported transition' WHEN tr = 'cut' THEN CASE WHEN s <> 0 THEN 'hard cut must not carry a duration' END WHEN tr = 'fade' AND ord <> 0 THEN 'fade is only allowed at the opening'
+ WHEN ord = 0 AND tr <> 'fade' THEN 'opening must be a fade or a cut' WHEN trim(re) = '' THEN 'missing its justification' WHEN s < 0.15::DOUBLE - 1e-6 OR s > 0.8::DOUBLE + 1e-6 THEN 'outside the band'
+ WHEN s > 0.2::DOUBLE * own + 1e-6 THEN 'exceeds twenty percent of its segment' WHEN ord > 0 AND s > 0.2::DOUBLE * prev + 1e-6 THEN 'exceeds twenty percent of the preceding segment' END AS violation FROM w""")
+def transition_violations(spark, sf):
+    return segments.transition_violation(_mutated(spark, sf), ["clip"], "ord").select("clip", "ord", "violation")
+
+
+def _spans(spark, sf):
+    """Each segment's speech: two spans that leave a gap, from its part number."""
+    r = B.ranked(spark, sf).filter("ord < 8")
+    gap = F.col("part") % 5 * 0.25
+    both = F.array(F.struct((F.col("start") + gap).alias("s"), (F.col("start") + 0.5 + gap).alias("e")), F.struct((F.col("stop") - 0.5 - gap).alias("s"), (F.col("stop") - gap / 2).alias("e")))
+    return r.select("clip", "ord", F.explode(both).alias("x")).select("clip", "ord", "x.s", "x.e")
+
+
+_SPANS = B.RANKED + """, sp AS (SELECT clip, ord, start + part % 5 * 0.25::DOUBLE AS s, start + 0.5::DOUBLE + part % 5 * 0.25::DOUBLE AS e FROM ranked WHERE ord < 8
+  UNION ALL SELECT clip, ord, stop - 0.5::DOUBLE - part % 5 * 0.25::DOUBLE, stop - part % 5 * 0.25::DOUBLE / 2 FROM ranked WHERE ord < 8)"""
+
+
+@_query(f"""WITH {_SPANS} SELECT r.clip, r.ord, round(coalesce(sum(greatest(least(e, stop) - greatest(s, stop - 0.75::DOUBLE), 0)), 0), 6) AS speech FROM ranked r JOIN sp USING (clip, ord) GROUP BY r.clip, r.ord""")
+def speech_overlap(spark, sf):
+    w = B.ranked(spark, sf).filter("ord < 8").select("clip", "ord", (F.col("stop") - 0.75).alias("low"), F.col("stop").alias("high"))
+    return segments.speech_within(w, _spans(spark, sf), ["clip", "ord"], "speech").select("clip", "ord", *_r("speech"))
+
+
+@_query(f"""WITH {_SPANS}, t AS (SELECT r.clip, r.ord, sum(greatest(least(e, stop) - greatest(s, stop - 0.75::DOUBLE), 0)) AS tail, sum(greatest(least(e, start + 0.75::DOUBLE) - greatest(s, start), 0)) AS head FROM ranked r JOIN sp USING (clip, ord) GROUP BY r.clip, r.ord),
+n AS (SELECT *, lead(head) OVER w AS nxt, lead(ord) OVER w AS nord FROM t WINDOW w AS (PARTITION BY clip ORDER BY ord))
+SELECT clip, ord AS from_segment, nord AS to_segment, CASE WHEN nxt > tail THEN 'j_cut' ELSE 'l_cut' END AS kind, floor(greatest(tail, nxt) * 1000 + 0.5) / 1000 AS seconds FROM n WHERE tail >= 0.2::DOUBLE AND nxt >= 0.2::DOUBLE""")
+def dialogue_continuity(spark, sf):
+    return segments.continuity(B.ranked(spark, sf).filter("ord < 8"), _spans(spark, sf), ["clip"], "ord")
+
+
+@_query(f"""WITH {B.RANKED}, l AS (SELECT clip, source, start, stop, lag(stop) OVER (PARTITION BY clip, source ORDER BY start, stop) AS before_stop FROM ranked)
+SELECT clip, source, start, stop, before_stop FROM l WHERE start < before_stop""")
+def overlap_violations(spark, sf):
+    return segments.overlaps(B.ranked(spark, sf), ["clip"]).select("clip", "source", "start", "stop", "before_stop")
+
+
+@_query("""WITH p AS (SELECT o_orderkey AS plan, CASE WHEN o_orderkey % 13 = 1 THEN 'x' ELSE 'thematic' END AS intent, CASE WHEN o_orderkey % 13 = 2 THEN 'x' ELSE 'music' END AS audio, CASE WHEN o_orderkey % 13 = 3 THEN 0.0 ELSE 9.0 END AS md, CASE WHEN o_orderkey % 13 = 4 THEN 'x' ELSE 'strong' END AS duck,
+ CASE WHEN o_orderkey % 13 = 5 THEN NULL WHEN o_orderkey % 13 = 6 THEN ' ' ELSE 'en' END AS lang, CASE WHEN o_orderkey % 13 = 7 THEN 'x' ELSE 'detected' END AS ls, o_orderkey % 2 AS nc, CASE WHEN o_orderkey % 13 = 8 THEN NULL ELSE 'm' END AS model, CASE WHEN o_orderkey % 13 = 9 THEN 0.0 ELSE o_totalprice END AS target, CASE WHEN o_orderkey % 13 = 10 THEN 0 ELSE 3 END AS ns FROM orders)
+SELECT plan, CASE WHEN intent = 'x' THEN 'unknown edit intent' WHEN audio = 'x' THEN 'unsupported audio source' WHEN md <= 0 THEN 'music duration must be positive' WHEN duck = 'x' THEN 'unsupported ducking profile' WHEN lang IS NULL AND nc > 0 THEN 'continuity without dialogue settings'
+ WHEN trim(lang) = '' THEN 'dialogue is missing its language' WHEN ls = 'x' THEN 'unsupported language source' WHEN model IS NULL THEN 'missing the ranking model identity' WHEN target <= 0 THEN 'target duration must be positive' WHEN ns = 0 THEN 'no selected segments' END AS rule FROM p""")
+def plan_rule_report(spark, sf):
+    k = F.col("o_orderkey") % 13
+    odd = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    plans = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("plan"), odd(1, "x", "thematic").alias("intent"), odd(2, "x", "music").alias("audio"), odd(3, 0.0, 9.0).alias("music_duration"), odd(4, "x", "strong").alias("duck"),
+        F.when(k == 5, F.lit(None)).when(k == 6, " ").otherwise("en").alias("language"), odd(7, "x", "detected").alias("language_source"), (F.col("o_orderkey") % 2).alias("n_continuity"),
+        F.when(k != 8, "m").alias("model"), odd(9, 0.0, F.col("o_totalprice")).alias("target"), odd(10, 0, 3).alias("n_segments"),
+    )
+    return segments.rule_report(plans).select("plan", "rule")
+
+
+@_query(f"""WITH {B.PLANNED}, s AS (SELECT *, CASE WHEN ord = 0 OR transition NOT IN ('dissolve', 'wipe', 'slide') THEN 0 ELSE transition_seconds END AS x FROM planned)
+SELECT clip, ord, round(sum(stop - start - x) OVER (PARTITION BY clip ORDER BY ord), 6) AS reached, round(greatest(coalesce(sum(stop - start - x) OVER (PARTITION BY clip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - x, 0), 6) AS "offset" FROM s""")
+def timeline_offsets(spark, sf):
+    return segments.timeline(B.planned(spark, sf), ["clip"], "ord").select("clip", "ord", *_r("reached", "offset"))
+
+
+@_query(f"""WITH {B.RANKED}, b AS (SELECT clip, ord, source, min(ord) OVER (PARTITION BY clip, source) AS f, row_number() OVER (PARTITION BY clip, source ORDER BY ord) - 1 AS branch, count(*) OVER (PARTITION BY clip, source) AS branches FROM ranked)
+SELECT clip, ord, source, branch, branches, dense_rank() OVER (PARTITION BY clip ORDER BY f) - 1 AS input FROM b""")
+def source_branches(spark, sf):
+    return segments.branches(B.ranked(spark, sf), ["clip"], "ord").select("clip", "ord", "source", "branch", "branches", "input")
+
+
+@_query(f"""WITH {B.PLANNED}, d AS (SELECT clip, ord, start, stop, CASE WHEN part % 6 = 1 AND ord > 0 THEN 'dip_black' WHEN part % 6 = 2 AND ord > 0 THEN 'dip_white' ELSE transition END AS tr, transition_seconds AS s FROM planned),
+n AS (SELECT *, lead(tr) OVER w AS nt, lead(s) OVER w AS ns FROM d WINDOW w AS (PARTITION BY clip ORDER BY ord))
+SELECT clip, ord, CASE WHEN tr = 'fade' OR tr = 'dip_black' THEN 'black' WHEN tr = 'dip_white' THEN 'white' END AS head_colour, round(CASE WHEN tr IN ('fade', 'dip_black', 'dip_white') THEN s END, 6) AS head_seconds,
+ CASE WHEN nt IS NULL OR nt = 'dip_black' THEN 'black' WHEN nt = 'dip_white' THEN 'white' END AS tail_colour, round(CASE WHEN nt IS NULL THEN greatest(least(0.5::DOUBLE, 0.2::DOUBLE * (stop - start)), 0.15::DOUBLE) WHEN nt IN ('dip_black', 'dip_white') THEN ns END, 6) AS tail_seconds FROM n""")
+def fade_edges(spark, sf):
+    k = F.col("part") % 6
+    rows = B.planned(spark, sf).withColumn("transition", F.when((k == 1) & (F.col("ord") > 0), "dip_black").when((k == 2) & (F.col("ord") > 0), "dip_white").otherwise(F.col("transition")))
+    return segments.fades(rows, ["clip"], "ord").select("clip", "ord", "head_colour", *_r("head_seconds"), "tail_colour", *_r("tail_seconds"))
+
+
+# Memo, fingerprints, settings
+
+
+@_query("SELECT doc_id, 'analysis-' || sha256(concat_ws(chr(31), 'analysis', sha256(text), 'lang=' || lang, 'v=' || doc_id % 3)) AS key FROM documents")
+def memo_keys(spark, sf):
+    settings = F.create_map(F.lit("v"), (F.col("doc_id") % 3).cast("string"), F.lit("lang"), F.col("lang"))
+    return table(spark, sf, "documents").select("doc_id", S.memo_key(F.lit("analysis"), F.sha2("text", 256), settings).alias("key"))
+
+
+@_query("""WITH d AS (SELECT doc_id, sha256(text) AS key, length(text) AS value FROM documents), m AS (SELECT key, min(value) AS value FROM d WHERE doc_id % 3 = 0 GROUP BY key)
+SELECT doc_id, d.value::BIGINT AS value, m.key IS NOT NULL AS hit, m.key IS NULL AND row_number() OVER (PARTITION BY d.key ORDER BY doc_id) = 1 AS appended FROM d LEFT JOIN m USING (key)""")
+def memo_incremental(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("key"), "text")
+    known = d.filter("doc_id % 3 = 0").groupBy("key").agg(F.min(F.length("text")).alias("value"))
+    split = memo.split_work(d, known)
+    computed = split.withColumn("value", F.coalesce("value", F.length("text")).cast("bigint"))
+    fresh = memo.new_entries(computed.filter("NOT hit").groupBy("key").agg(F.min("doc_id").alias("first")), known).select(F.col("key").alias("n_key"), "first")
+    joined = computed.join(fresh, (F.col("key") == F.col("n_key")) & (F.col("doc_id") == F.col("first")), "left")
+    return joined.select("doc_id", "value", "hit", F.col("first").isNotNull().alias("appended"))
+
+
+@_query("""WITH c AS (SELECT doc_id, 'v1:' || octet_length(encode(text)) || ':' || sha256(text) AS mark FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 9 = 1 THEN 'missing a source fingerprint' WHEN doc_id % 9 = 2 THEN 'empty range' WHEN doc_id % 9 = 3 THEN 'source is missing' WHEN doc_id % 9 = 4 THEN 'source changed' END AS problem, CASE WHEN doc_id % 9 <> 3 THEN mark END AS mark FROM c""")
+def fingerprint_check(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("source"), S.fingerprint(F.encode("text", "UTF-8")).alias("mark"))
+    k = F.col("source") % 9
+    plan = d.withColumns({"start": F.lit(0.0), "stop": F.when(k == 2, 0.0).otherwise(1.0), "mark": F.when(k == 1, "").when(k == 4, "v1:0:x").otherwise(F.col("mark"))})
+    current = d.filter(k != 3)
+    got = memo.source_problems(plan, current).select("source", "problem")
+    return got.join(current, "source", "left").select(F.col("source").alias("doc_id"), "problem", "mark")
+
+
+@_query("""WITH a AS (SELECT DISTINCT 'brand' AS kind, p_brand AS name FROM part WHERE p_partkey % 40 = 0), r AS (SELECT DISTINCT 'brand' AS kind, p_brand AS name FROM part)
+SELECT kind, name FROM r WHERE name NOT IN (SELECT name FROM a)""")
+def capability_gap(spark, sf):
+    p = table(spark, sf, "part")
+    lines = F.concat(F.lit(" V.. "), F.col("p_brand"), F.lit(" some text"))
+    text = p.filter("p_partkey % 40 = 0").select(F.lit("brand").alias("kind"), F.concat(F.lit("Legend:\n V = video\n"), lines).alias("raw"))
+    return memo.missing(p.select(F.lit("brand").alias("kind"), F.col("p_brand").alias("name")).distinct(), memo.capability_names(text))
+
+
+@_query("""WITH s AS (SELECT o_orderkey AS id, 640 + o_orderkey % 5 * 320 AS w, 360 + o_orderkey % 7 * 120 AS h, [24, 25, 30, 60][o_orderkey % 4 + 1] AS rate, [0, 90, 180, -90][o_orderkey % 4 + 1] AS rot, ['auto', 'hardware', 'software'][o_orderkey % 3 + 1] AS mode, o_orderkey % 2 = 0 AS hw FROM orders),
+d AS (SELECT *, CASE WHEN ((rot % 360) + 360) % 360 IN (90, 270) THEN h ELSE w END AS width, CASE WHEN ((rot % 360) + 360) % 360 IN (90, 270) THEN w ELSE h END AS height FROM s),
+k AS (SELECT *, greatest(round(width::DOUBLE * height * rate * 0.1::DOUBLE / 1000), 2000)::INT AS kbps, CASE WHEN mode IN ('auto', 'hardware') AND hw THEN 'h264_videotoolbox' WHEN mode IN ('auto', 'software') THEN 'libx264' END AS codec FROM d)
+SELECT id, width, height, codec, CASE WHEN height > width THEN 'portrait' ELSE 'landscape' END AS orientation, CASE WHEN codec = 'h264_videotoolbox' THEN kbps || 'k' END AS bitrate, CASE WHEN codec = 'h264_videotoolbox' THEN kbps * 3 // 2 END AS maxrate, CASE WHEN codec = 'libx264' THEN 20 END AS crf FROM k""")
+def settings_row(spark, sf):
+    at = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("o_orderkey") % n + 1).cast("int"))
+    k = F.col("o_orderkey")
+    width, height = S.display_size(640 + k % 5 * 320, 360 + k % 7 * 120, S.rotation(F.array().cast("array<struct<rotation:int>>"), at((0, 90, 180, -90), 4).cast("string")))
+    available = F.when(k % 2 == 0, F.array(F.lit(memo.HARDWARE), F.lit(memo.SOFTWARE))).otherwise(F.array(F.lit(memo.SOFTWARE)))
+    rows = table(spark, sf, "orders").select(k.alias("id"), width.alias("width"), height.alias("height"), at((24, 25, 30, 60), 4).alias("rate"), memo.choose_encoder(at(("auto", "hardware", "software"), 3), available).alias("codec"))
+    rate = S.hardware_kbps(F.col("width"), F.col("height"), F.col("rate"))
+    hard = F.col("codec") == memo.HARDWARE
+    out = rows.withColumn("bitrate", F.when(hard, F.concat(rate.cast("string"), F.lit("k"))))
+    number = S.kbps(F.col("bitrate"))
+    return out.select("id", "width", "height", "codec", F.when(F.col("height") > F.col("width"), "portrait").otherwise("landscape").alias("orientation"), "bitrate", F.when(hard, F.floor(number * 3 / 2).cast("int")).alias("maxrate"), F.when(F.col("codec") == memo.SOFTWARE, memo.CRF).alias("crf"))
+
+
+@_query(None)
+def plan_document(spark, sf):
+    p = B.planned(spark, sf)
+    item = F.struct("ord", "source", "start", "stop", F.nullif(F.col("cue"), F.lit("")).alias("cue"), "transition", F.nullif(F.col("transition_reason"), F.lit("")).alias("transition_reason"))
+    plan = p.groupBy("clip").agg(F.array_sort(F.collect_list(item)).alias("segments")).select(F.lit("1").alias("version"), F.lit("chronological").alias("intent"), "clip", "segments")
+    return documents.encode_plan(plan)
+
+
+_FLAGSHIP_SQL = f"""WITH {B.CANDIDATES}, m AS (SELECT c.clip, c.shot, c.part, c.start, c.stop, coalesce(avg(e.mafd), 0) AS motion, count(e.t) AS n FROM cand c LEFT JOIN ev e ON e.clip = c.clip AND e.t >= c.start AND e.t < c.stop GROUP BY ALL),
+g AS (SELECT *, round(0.5::DOUBLE * least(motion / 100, 1) + 0.3::DOUBLE * least(n / 10, 1) + 0.2::DOUBLE * ((stop - start) / 8), 6) AS base, row_number() OVER (PARTITION BY clip ORDER BY start, shot, part) - 1 AS ord FROM m WHERE stop - start >= 1 AND motion <= 25),
+s AS (SELECT *, coalesce(sum(stop - start) OVER (PARTITION BY clip ORDER BY base DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
+SELECT clip, ord, round(start, 6) AS start, round(stop, 6) AS stop, round(motion, 6) AS motion, base FROM s WHERE before < 30"""
+
+
+@_query(_FLAGSHIP_SQL)
+def highlight_plan(spark, sf):
+    """Clips to shots to candidates to means, gate, score and budgeted selection, in one plan."""
+    frames = B.frames(spark, sf)
+    measured = intervals.mean_signal(B.candidate_rows(spark, sf), frames, ["clip", "shot", "part"])
+    rows = measured.filter((F.col("stop") - F.col("start") >= 1) & (F.col("motion") <= 25))
+    one = F.lit(1.0)
+    base = F.round(0.5 * F.least(F.col("motion") / 100, one) + 0.3 * F.least(F.col("n_frames") / 10, one) + 0.2 * ((F.col("stop") - F.col("start")) / 8), 6)
+    w = Window.partitionBy("clip").orderBy("start", "shot", "part")
+    scored = rows.withColumns({"base": base, "ord": (F.row_number().over(w) - 1).cast("bigint"), "seconds": F.col("stop") - F.col("start")})
+    return ranking.select_prefix(scored, ["clip"], F.lit(30.0)).filter("chosen").select("clip", "ord", *_r("start", "stop", "motion"), "base")
+
+
+# Extensions beyond the reference domain
+
+
+@_query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")
+def windowed_signal(spark, sf):
+    return sessions.windowed_signal(table(spark, sf, "events")).withColumn("mean", F.round("mean", 6))
+
+
+@_query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 12 HOUR AS stop, count(*) AS n FROM s GROUP BY user_id, k""")
+def gap_sessions(spark, sf):
+    return sessions.gap_sessions(table(spark, sf, "events"))
