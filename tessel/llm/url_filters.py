@@ -103,16 +103,15 @@ def _by_join(parsed: DataFrame, rules, key: str, default: str) -> DataFrame:
     for verdict, rule in rules:
         host, slash, rest = rule.partition("/")
         head, _, last = (slash + rest).rpartition("/")
-        rows.append((host, head, last, rule, verdict, len(rule), len(host)))
-    known = spark.createDataFrame(rows, "r_host string, r_head string, r_last string, rule string, r_verdict string, r_len int, r_host_len int")
+        rows.append((host, head, (slash + rest).count("/"), last, rule, verdict, len(rule), len(host)))
+    known = spark.createDataFrame(rows, "r_host string, r_head string, r_depth int, r_last string, rule string, r_verdict string, r_len int, r_host_len int")
     numbered = parsed.withColumn("row", F.monotonically_increasing_id())
     labels, pieces = F.split("host", r"\."), F.split("path", "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    heads = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.struct(F.array_join(F.slice(pieces, 1, i - 1), "/").alias("head"), F.element_at(pieces, i).alias("piece")))
+    heads = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.struct(F.array_join(F.slice(pieces, 1, i - 1), "/").alias("head"), (i - 1).alias("depth"), F.element_at(pieces, i).alias("piece")))
     spread = numbered.select("row", F.explode(suffixes).alias("suffix"), heads.alias("heads")).select("row", "suffix", F.explode("heads").alias("h"))
-    # The distinct (suffix, head, piece) keys are matched once, however many urls share them.
     best = (
-        spread.join(known, (F.col("suffix") == F.col("r_host")) & (F.col("h.head") == F.col("r_head")) & F.col("h.piece").startswith(F.col("r_last")))
+        spread.join(known, (F.col("suffix") == F.col("r_host")) & (F.col("h.head") == F.col("r_head")) & (F.col("h.depth") == F.col("r_depth")) & F.col("h.piece").startswith(F.col("r_last")))
         .groupBy("row")
         .agg(F.max(F.struct("r_len", "r_host_len", "rule", "r_verdict")).alias("best"))
     )
