@@ -469,7 +469,7 @@ def highlight_plan(spark, sf):
     return ranking.select_prefix(scored, ["clip"], F.lit(30.0)).filter("chosen").select("clip", "ord", *_r("start", "stop", "motion"), "base")
 
 
-# Extensions beyond the reference domain
+# Extensions beyond the segment-selection domain
 
 
 @_query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL")

@@ -1,4 +1,4 @@
-"""The reference domain's own cases, with the same numbers."""
+"""Operators of the segment-selection domain, case by case."""
 
 import json
 
