@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from tessel.functions import scalars as S
 
 WINDOW, MIN_SPEECH = 0.75, 0.2
-OVERLAPPING = ("dissolve", "wipe", "slide")
-DIPS = {"dip_black": "black", "dip_white": "white"}
+# The approved joins.
+OVERLAPPING = ("dissolve", "wipeleft", "wiperight", "wipeup", "wipedown", "slideleft", "slideright", "slideup", "slidedown")
+DIPS = {"dip-black": "black", "dip-white": "white"}
 APPROVED = ("cut", "fade", *OVERLAPPING, *DIPS)
 # Length and reason of a transition at a cue of each kind.
 AT_CUE = {"section": (0.15, "shortened at a section Music Cue"), "phrase": (0.25, "shortened at a phrase Music Cue"), "beat": (0.3, "tightened to a beat Music Cue")}
@@ -77,7 +78,7 @@ def continuity(rows: DataFrame, spans: DataFrame, group: list[str], order: str)
     both = tail.join(speech_within(heads, spans, keys, "head").select(*keys, "head"), keys)
     w = Window.partitionBy(*group).orderBy(order)
     paired = both.withColumns({"next": F.lead("head").over(w), "to_segment": F.lead(order).over(w)}).filter((F.col("tail") >= MIN_SPEECH) & (F.col("next") >= MIN_SPEECH))
-    kind = F.when(F.col("next") > F.col("tail"), "j_cut").otherwise("l_cut")
+    kind = F.when(F.col("next") > F.col("tail"), "J-cut").otherwise("L-cut")
     return paired.select(*group, F.col(order).alias("from_segment"), "to_segment", kind.alias("kind"), S.round_ms(F.greatest("tail", "next")).alias("seconds"))
 
 
@@ -108,7 +109,7 @@ def branches(rows: DataFrame, group: list[str], order: str) -> DataFrame:
 def fades(rows: DataFrame, group: list[str], order: str) -> DataFrame:
     """``rows`` with head_colour, head_seconds, tail_colour, tail_seconds; the last row fades out to black."""
     w = Window.partitionBy(*group).orderBy(order)
-    colour = lambda c: F.when(c == "dip_black", "black").when(c == "dip_white", "white")
+    colour = lambda c: F.when(c == "dip-black", "black").when(c == "dip-white", "white")
     after, after_seconds = F.lead("transition").over(w), F.lead("transition_seconds").over(w)
     head = F.when(F.col("transition") == "fade", "black").otherwise(colour(F.col("transition")))
     closing = S.bound_transition(F.lit(S.FADE_DEFAULT + 0.1), F.lit(0.0), F.col("stop") - F.col("start"))
@@ -121,21 +122,42 @@ def fades(rows: DataFrame, group: list[str], order: str) -> DataFrame:
 def rule_report(plans: DataFrame) -> DataFrame:
     """(plan, rule): the first rule that a plan row breaks; null if it keeps all.
 
-    Columns: intent, audio, music_duration, duck, language, language_source, n_continuity, model, target, n_segments.
+    Columns: intent, audio, music (struct of path, mark, duration, fade, n_beats; null without a track), duck, language
+    (null without dialogue), language_source, continuity (array of kind, seconds, from_segment, to_segment), model,
+    target, n_segments.
     """
+    music, none = F.col("music"), F.lit(False)
+    blank = lambda c: F.coalesce(F.regexp_replace(c, r"(?U)\s+", ""), F.lit("")) == ""
+    track, speech = F.col("audio") == "music", F.col("language").isNotNull()
+    any_cut = lambda test: F.coalesce(F.exists("continuity", test), none)
     checks = [
         (~F.col("intent").isin("chronological", "thematic"), "unknown edit intent"),
-        (~F.col("audio").isin("source", "music", "music+source"), "unsupported audio source"),
-        (F.coalesce(F.col("music_duration") <= 0, F.lit(False)), "music duration must be positive"),
-        (F.coalesce(~F.col("duck").isin("subtle", "balanced", "strong"), F.lit(False)), "unsupported ducking profile"),
-        (F.col("language").isNull() & (F.col("n_continuity") > 0), "continuity without dialogue settings"),
-        (F.coalesce(F.btrim("language") == "", F.lit(False)), "dialogue is missing its language"),
-        (F.coalesce(~F.col("language_source").isin("detected", "override"), F.lit(False)), "unsupported language source"),
-        (F.col("model").isNull() | (F.btrim("model") == ""), "missing the ranking model identity"),
+        (~F.col("audio").isin("source", "music"), "unsupported audio source"),
+        (track & music.isNull(), "music source is missing its track settings"),
+        (track & blank(music["path"]), "track is missing its path"),
+        (track & blank(music["mark"]), "track is missing its fingerprint"),
+        (track & (music["duration"] <= 0), "track duration must be positive"),
+        (track & (music["fade"] < 0), "track fade must not be negative"),
+        (track & (music["n_beats"] == 0), "track has no recorded beats"),
+        (~track & music.isNotNull(), "source must not carry track settings"),
+        (~speech & (F.coalesce(F.size("continuity"), F.lit(0)) > 0), "continuity without dialogue settings"),
+        (speech & blank(F.col("language")), "dialogue is missing its language"),
+        (speech & ~F.col("language_source").isin("detected", "override"), "unsupported language source"),
+        (speech & ~F.col("duck").isin("subtle", "balanced", "strong"), "unsupported ducking profile"),
+        (any_cut(lambda c: ~c["kind"].isin("J-cut", "L-cut")), "unsupported continuity kind"),
+        (any_cut(lambda c: c["seconds"] <= 0), "continuity duration must be positive"),
+        (any_cut(lambda c: c["to_segment"] != c["from_segment"] + 1), "continuity must bridge adjacent segments"),
+        (blank(F.col("model")), "missing the ranking model identity"),
         (F.coalesce(F.col("target"), F.lit(0.0)) <= 0, "target duration must be positive"),
         (F.col("n_segments") == 0, "no selected segments"),
     ]
     rule = F.lit(None).cast("string")
     for broken, text in reversed(checks):
-        rule = F.when(broken, text).otherwise(rule)
+        rule = F.when(F.coalesce(broken, none), text).otherwise(rule)
     return plans.withColumn("rule", rule)
+
+
+def stabilised(rows: DataFrame) -> DataFrame:
+    """Rows that need stabilising become intermediates of their own, which start at 0."""
+    need, own = F.col("needs_stabilisation"), F.col("stop") - F.col("start")
+    return rows.withColumns({"stop": F.when(need, own).otherwise(F.col("stop")), "start": F.when(need, 0.0).otherwise(F.col("start")), "needs_stabilisation": F.lit(False)})

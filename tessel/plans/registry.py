@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessel.functions import scalars as S
-from tessel.operators import cues, gate, intervals, memo, ranking, segments
+from tessel.operators import cues, gate, intervals, memo, ranking, segments, settings
 from tessel.plans import base as B
 from tessel.sources import documents
 from tessel.sources.tables import table
@@ -336,7 +336,7 @@ def speech_overlap(spark, sf):
 
 @_query(f"""WITH {_SPANS}, t AS (SELECT r.clip, r.ord, sum(greatest(least(e, stop) - greatest(s, stop - 0.75::DOUBLE), 0)) AS tail, sum(greatest(least(e, start + 0.75::DOUBLE) - greatest(s, start), 0)) AS head FROM ranked r JOIN sp USING (clip, ord) GROUP BY r.clip, r.ord),
 n AS (SELECT *, lead(head) OVER w AS nxt, lead(ord) OVER w AS nord FROM t WINDOW w AS (PARTITION BY clip ORDER BY ord))
-SELECT clip, ord AS from_segment, nord AS to_segment, CASE WHEN nxt > tail THEN 'j_cut' ELSE 'l_cut' END AS kind, floor(greatest(tail, nxt) * 1000 + 0.5) / 1000 AS seconds FROM n WHERE tail >= 0.2::DOUBLE AND nxt >= 0.2::DOUBLE""")
+SELECT clip, ord AS from_segment, nord AS to_segment, CASE WHEN nxt > tail THEN 'J-cut' ELSE 'L-cut' END AS kind, floor(greatest(tail, nxt) * 1000 + 0.5) / 1000 AS seconds FROM n WHERE tail >= 0.2::DOUBLE AND nxt >= 0.2::DOUBLE""")
 def dialogue_continuity(spark, sf):
     return segments.continuity(B.ranked(spark, sf).filter("ord < 8"), _spans(spark, sf), ["clip"], "ord")
 
@@ -347,22 +347,28 @@ def overlap_violations(spark, sf):
     return segments.overlaps(B.ranked(spark, sf), ["clip"]).select("clip", "source", "start", "stop", "before_stop")
 
 
-@_query("""WITH p AS (SELECT o_orderkey AS plan, CASE WHEN o_orderkey % 13 = 1 THEN 'x' ELSE 'thematic' END AS intent, CASE WHEN o_orderkey % 13 = 2 THEN 'x' ELSE 'music' END AS audio, CASE WHEN o_orderkey % 13 = 3 THEN 0.0 ELSE 9.0 END AS md, CASE WHEN o_orderkey % 13 = 4 THEN 'x' ELSE 'strong' END AS duck,
- CASE WHEN o_orderkey % 13 = 5 THEN NULL WHEN o_orderkey % 13 = 6 THEN ' ' ELSE 'en' END AS lang, CASE WHEN o_orderkey % 13 = 7 THEN 'x' ELSE 'detected' END AS ls, o_orderkey % 2 AS nc, CASE WHEN o_orderkey % 13 = 8 THEN NULL ELSE 'm' END AS model, CASE WHEN o_orderkey % 13 = 9 THEN 0.0 ELSE o_totalprice END AS target, CASE WHEN o_orderkey % 13 = 10 THEN 0 ELSE 3 END AS ns FROM orders)
-SELECT plan, CASE WHEN intent = 'x' THEN 'unknown edit intent' WHEN audio = 'x' THEN 'unsupported audio source' WHEN md <= 0 THEN 'music duration must be positive' WHEN duck = 'x' THEN 'unsupported ducking profile' WHEN lang IS NULL AND nc > 0 THEN 'continuity without dialogue settings'
- WHEN trim(lang) = '' THEN 'dialogue is missing its language' WHEN ls = 'x' THEN 'unsupported language source' WHEN model IS NULL THEN 'missing the ranking model identity' WHEN target <= 0 THEN 'target duration must be positive' WHEN ns = 0 THEN 'no selected segments' END AS rule FROM p""")
+_RULES = (
+    "unknown edit intent", "unsupported audio source", "music source is missing its track settings", "track is missing its path", "track is missing its fingerprint", "track duration must be positive", "track fade must not be negative",
+    "track has no recorded beats", "source must not carry track settings", "continuity without dialogue settings", "dialogue is missing its language", "unsupported language source", "unsupported ducking profile", "unsupported continuity kind",
+    "continuity duration must be positive", "continuity must bridge adjacent segments", "missing the ranking model identity", "target duration must be positive", "no selected segments",
+)
+
+
+@_query("SELECT o_orderkey AS plan, [" + ", ".join(f"'{r}'" for r in _RULES) + "][o_orderkey % 23] AS rule FROM orders")
 def plan_rule_report(spark, sf):
-    k = F.col("o_orderkey") % 13
+    """Valid plans with one field in each edited, so that plan k breaks rule k modulo 23, or none."""
+    k = F.col("o_orderkey") % 23
     odd = lambda n, bad, good: F.when(k == n, bad).otherwise(good)
+    music = F.struct(odd(4, " ", "p").alias("path"), odd(5, "", "m").alias("mark"), odd(6, 0.0, 9.0).alias("duration"), odd(7, -1.0, 2.0).alias("fade"), odd(8, 0, 4).alias("n_beats"))
+    cut = F.array(F.struct(odd(14, "x", "J-cut").alias("kind"), odd(15, 0.0, 0.5).alias("seconds"), F.lit(1).alias("from_segment"), odd(16, 3, 2).alias("to_segment")))
     plans = table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("plan"), odd(1, "x", "thematic").alias("intent"), odd(2, "x", "music").alias("audio"), odd(3, 0.0, 9.0).alias("music_duration"), odd(4, "x", "strong").alias("duck"),
-        F.when(k == 5, F.lit(None)).when(k == 6, " ").otherwise("en").alias("language"), odd(7, "x", "detected").alias("language_source"), (F.col("o_orderkey") % 2).alias("n_continuity"),
-        F.when(k != 8, "m").alias("model"), odd(9, 0.0, F.col("o_totalprice")).alias("target"), odd(10, 0, 3).alias("n_segments"),
+        F.col("o_orderkey").alias("plan"), odd(1, "x", "thematic").alias("intent"), odd(2, "x", odd(9, "source", "music")).alias("audio"), F.when(k != 3, music).alias("music"), odd(13, "x", "strong").alias("duck"),
+        F.when(k != 10, odd(11, " ", "en")).alias("language"), odd(12, "x", "detected").alias("language_source"), cut.alias("continuity"), F.when(k != 17, "m").alias("model"), odd(18, 0.0, F.col("o_totalprice")).alias("target"), odd(19, 0, 3).alias("n_segments"),
     )
     return segments.rule_report(plans).select("plan", "rule")
 
 
-@_query(f"""WITH {B.PLANNED}, s AS (SELECT *, CASE WHEN ord = 0 OR transition NOT IN ('dissolve', 'wipe', 'slide') THEN 0 ELSE transition_seconds END AS x FROM planned)
+@_query(f"""WITH {B.PLANNED}, s AS (SELECT *, CASE WHEN ord = 0 OR transition <> 'dissolve' THEN 0 ELSE transition_seconds END AS x FROM planned)
 SELECT clip, ord, round(sum(stop - start - x) OVER (PARTITION BY clip ORDER BY ord), 6) AS reached, round(greatest(coalesce(sum(stop - start - x) OVER (PARTITION BY clip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - x, 0), 6) AS "offset" FROM s""")
 def timeline_offsets(spark, sf):
     return segments.timeline(B.planned(spark, sf), ["clip"], "ord").select("clip", "ord", *_r("reached", "offset"))
@@ -374,13 +380,13 @@ def source_branches(spark, sf):
     return segments.branches(B.ranked(spark, sf), ["clip"], "ord").select("clip", "ord", "source", "branch", "branches", "input")
 
 
-@_query(f"""WITH {B.PLANNED}, d AS (SELECT clip, ord, start, stop, CASE WHEN part % 6 = 1 AND ord > 0 THEN 'dip_black' WHEN part % 6 = 2 AND ord > 0 THEN 'dip_white' ELSE transition END AS tr, transition_seconds AS s FROM planned),
+@_query(f"""WITH {B.PLANNED}, d AS (SELECT clip, ord, start, stop, CASE WHEN part % 6 = 1 AND ord > 0 THEN 'dip-black' WHEN part % 6 = 2 AND ord > 0 THEN 'dip-white' ELSE transition END AS tr, transition_seconds AS s FROM planned),
 n AS (SELECT *, lead(tr) OVER w AS nt, lead(s) OVER w AS ns FROM d WINDOW w AS (PARTITION BY clip ORDER BY ord))
-SELECT clip, ord, CASE WHEN tr = 'fade' OR tr = 'dip_black' THEN 'black' WHEN tr = 'dip_white' THEN 'white' END AS head_colour, round(CASE WHEN tr IN ('fade', 'dip_black', 'dip_white') THEN s END, 6) AS head_seconds,
- CASE WHEN nt IS NULL OR nt = 'dip_black' THEN 'black' WHEN nt = 'dip_white' THEN 'white' END AS tail_colour, round(CASE WHEN nt IS NULL THEN greatest(least(0.5::DOUBLE, 0.2::DOUBLE * (stop - start)), 0.15::DOUBLE) WHEN nt IN ('dip_black', 'dip_white') THEN ns END, 6) AS tail_seconds FROM n""")
+SELECT clip, ord, CASE WHEN tr = 'fade' OR tr = 'dip-black' THEN 'black' WHEN tr = 'dip-white' THEN 'white' END AS head_colour, round(CASE WHEN tr IN ('fade', 'dip-black', 'dip-white') THEN s END, 6) AS head_seconds,
+ CASE WHEN nt IS NULL OR nt = 'dip-black' THEN 'black' WHEN nt = 'dip-white' THEN 'white' END AS tail_colour, round(CASE WHEN nt IS NULL THEN greatest(least(0.5::DOUBLE, 0.2::DOUBLE * (stop - start)), 0.15::DOUBLE) WHEN nt IN ('dip-black', 'dip-white') THEN ns END, 6) AS tail_seconds FROM n""")
 def fade_edges(spark, sf):
     k = F.col("part") % 6
-    rows = B.planned(spark, sf).withColumn("transition", F.when((k == 1) & (F.col("ord") > 0), "dip_black").when((k == 2) & (F.col("ord") > 0), "dip_white").otherwise(F.col("transition")))
+    rows = B.planned(spark, sf).withColumn("transition", F.when((k == 1) & (F.col("ord") > 0), "dip-black").when((k == 2) & (F.col("ord") > 0), "dip-white").otherwise(F.col("transition")))
     return segments.fades(rows, ["clip"], "ord").select("clip", "ord", "head_colour", *_r("head_seconds"), "tail_colour", *_r("tail_seconds"))
 
 
@@ -469,6 +475,94 @@ def highlight_plan(spark, sf):
     return ranking.select_prefix(scored, ["clip"], F.lit(30.0)).filter("chosen").select("clip", "ord", *_r("start", "stop", "motion"), "base")
 
 
+# Settings, prompts and small choices
+
+
+@_query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'balanced' WHEN o_orderkey % 4 = 1 THEN 'strict' WHEN o_orderkey % 4 = 2 THEN 'lenient' END AS profile, CASE WHEN o_orderkey % 3 = 0 THEN 'reject' WHEN o_orderkey % 3 = 1 THEN 'stabilize' END AS shake,
+CASE WHEN o_orderkey % 5 = 0 THEN 'balanced' WHEN o_orderkey % 5 = 1 THEN 'strong' END AS duck, CASE WHEN o_orderkey % 5 = 0 THEN 0.1::DOUBLE WHEN o_orderkey % 5 = 1 THEN 0.05::DOUBLE END AS threshold, CASE WHEN o_orderkey % 5 = 0 THEN 4.0::DOUBLE WHEN o_orderkey % 5 = 1 THEN 8.0::DOUBLE END AS ratio FROM orders""")
+def option_defaults(spark, sf):
+    k = F.col("o_orderkey")
+    rows = table(spark, sf, "orders").select(k.alias("id"), F.when(k % 4 == 0, "").when(k % 4 == 1, "strict").when(k % 4 == 2, "lenient").otherwise("x").alias("p"), F.when(k % 3 == 0, "").when(k % 3 == 1, "stabilize").otherwise("x").alias("s"), F.when(k % 5 == 0, " ").when(k % 5 == 1, " strong ").otherwise("x").alias("d"))
+    got = rows.select("id", settings.choice(F.col("p"), settings.PROFILES).alias("profile"), settings.choice(F.col("s"), settings.SHAKE).alias("shake"), settings.choice(F.btrim("d"), settings.DUCK).alias("duck"))
+    threshold, ratio = settings.duck_parameters(F.col("duck"))
+    return got.withColumns({"threshold": threshold, "ratio": ratio})
+
+
+@_query("""SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'container' WHEN 2 THEN 'video_width, audio_channels' ELSE 'video_codec, video_frame_rate' END AS missing FROM orders""")
+def required_fields(spark, sf):
+    k = F.col("o_orderkey") % 4
+    text = {n: F.lit("x") for n in settings.TEXT_FIELDS} | {"container": F.when(k == 1, "").otherwise("mp4"), "video_codec": F.when(k == 3, F.lit(None)).otherwise("c")}
+    number = {n: F.lit(1) for n in settings.NUMBER_FIELDS} | {"video_width": F.when(k == 2, 0).otherwise(9), "audio_channels": F.when(k == 2, -1).otherwise(2), "video_frame_rate": F.when(k == 3, 0).otherwise(30)}
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), *[c.alias(n) for n, c in (text | number).items()])
+    return rows.select("id", F.array_join(settings.missing_fields(), ", ").alias("missing"))
+
+
+@_query("""SELECT conv_id, coalesce(arg_min(CASE WHEN turn % 3 = 1 THEN role END, turn) FILTER (turn % 3 = 1), 'unknown') AS language, bool_and(length(text) > 200) AS ready FROM conversations GROUP BY conv_id""")
+def first_language(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("language", F.when(F.col("turn") % 3 == 1, F.col("role")).otherwise(" "))
+    return c.groupBy("conv_id").agg(settings.first_known(F.col("language"), F.col("turn")).alias("language"), F.bool_and(F.length("text") > 200).alias("ready"))
+
+
+@_query("""SELECT p_brand, p_name AS file FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY (p_name = 'red widget') DESC, p_name, p_partkey) = 1""")
+def preferred_file(spark, sf):
+    return settings.preferred_first(table(spark, sf, "part"), ["p_brand"], "p_name", "red widget", ["p_partkey"]).select("p_brand", F.col("p_name").alias("file"))
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, 'Source clip: ' || l_suppkey || chr(10) || 'Segment: ' || printf('%.2f', l_linenumber * 100.0::DOUBLE) || 's to ' || printf('%.2f', l_linenumber * 100.0::DOUBLE + 8) || 's.' || chr(10) ||
+'Contact sheet tiles (left to right, top to bottom) were sampled at source times ' || printf('%.2fs, %.2fs, %.2fs, %.2fs', l_linenumber * 100.0::DOUBLE, l_linenumber * 100.0::DOUBLE + 2, l_linenumber * 100.0::DOUBLE + 4, l_linenumber * 100.0::DOUBLE + 6) || '.' || chr(10) || 'Score this segment.' ||
+CASE WHEN l_returnflag = 'R' THEN chr(10) || 'Remember the montage theme when scoring.' ELSE '' END AS prompt FROM lineitem""")
+def candidate_prompts(spark, sf):
+    l = table(spark, sf, "lineitem")
+    start = F.col("l_linenumber") * 100.0
+    rows = intervals.sample_times(l.withColumns({"start": start, "stop": start + 8}))
+    theme = F.when(F.col("l_returnflag") == "R", "dogs").otherwise(" ")
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", settings.candidate_prompt(F.col("l_suppkey").cast("string"), F.col("start"), F.col("stop"), F.col("times"), theme, F.lit("")).alias("prompt"))
+
+
+@_query("""SELECT doc_id, 'data:image/png;base64,' || base64(encode(text)) AS url, CASE WHEN doc_id % 3 = 0 THEN 'a dog at play' END AS theme FROM documents""")
+def data_urls_and_themes(spark, sf):
+    k = F.col("doc_id") % 3
+    answer = F.when(k == 0, '<think>x</think>{"theme": " a dog at play "}').when(k == 1, '{"theme": " "}').otherwise("none")
+    url = F.concat(F.lit("data:image/png;base64,"), F.regexp_replace(F.base64(F.encode("text", "UTF-8")), r"\s", ""))
+    return table(spark, sf, "documents").select("doc_id", url.alias("url"), settings.parse_theme(answer).alias("theme"))
+
+
+@_query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 IN (1, 3) THEN 1080 ELSE 1920 END AS width, CASE WHEN o_orderkey % 4 IN (1, 3) THEN 1920 ELSE 1080 END AS height, o_orderkey % 2 = 0 AS hdr, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS duration, CASE WHEN o_orderkey % 7 = 0 THEN 'unreadable probe' END AS reason,
+CASE WHEN o_orderkey % 7 = 0 OR o_orderkey % 5 <> 0 THEN o_orderdate ELSE TIMESTAMP '2026-01-01 10:00:00' END AS captured_at FROM orders""")
+def probe_parse(spark, sf):
+    k = F.col("o_orderkey")
+    side = F.when(k % 4 == 3, '[{"rotation": -90}]').otherwise("[]")
+    doc = F.format_string('{"streams": [{"width": 1920, "height": 1080, "color_transfer": "%s", "tags": {"rotate": "%s"}, "side_data_list": %s}], "format": {"duration": "%s", "tags": {"creation_time": "%s"}}}', F.when(k % 2 == 0, "smpte2084").otherwise("bt709"), F.when(k % 4 == 1, "90").otherwise("0"), side, F.when(k % 7 == 0, "x").otherwise(F.col("o_totalprice").cast("string")), F.when((k % 5 == 0) & (k % 7 != 0), "2026-01-01T10:00:00Z").otherwise("?"))
+    got = documents.parse_probe(table(spark, sf, "orders").select(k.alias("path"), doc.alias("json"), F.col("o_orderdate").cast("timestamp").alias("mtime")))
+    return got.select(F.col("path").alias("id"), "width", "height", "hdr", "duration", "reason", F.col("captured_at").cast("timestamp_ntz").alias("captured_at"))
+
+
+@_query("""SELECT doc_id, 'en' AS language, round(doc_id + 2.0::DOUBLE * i, 6) AS s, round(doc_id + 2.0::DOUBLE * (i + 1), 6) AS e, ['one', 'two', 'three'][i + 1] AS text FROM (SELECT doc_id, unnest(range(3)) AS i FROM documents)""")
+def transcript_parse(spark, sf):
+    doc = '{"result": {"language": "en"}, "transcription": [' + ", ".join(f'{{"offsets": {{"from": {2000 * i}, "to": {2000 * (i + 1)}}}, "text": " {w} "}}' for i, w in enumerate(("one", "two", "three"))) + ', {"offsets": {"from": 5, "to": 5}, "text": "gone"}]}'
+    rows = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.col("doc_id").cast("double").alias("start"), F.lit(doc).alias("json"))
+    return documents.parse_transcript(rows).select(F.col("path").alias("doc_id"), "language", *_r("s", "e"), "text")
+
+
+@_query("SELECT DISTINCT p_name AS key FROM part WHERE p_partkey % 2 = 0 AND p_size > 10")
+def vision_catalogue(spark, sf):
+    p = table(spark, sf, "part")
+    model = F.struct(F.when(F.col("p_partkey") % 2 == 0, "llm").otherwise("embedding").alias("type"), F.col("p_name").alias("key"), F.struct((F.col("p_size") > 10).alias("vision")).alias("capabilities"))
+    return documents.vision_models(p.select(F.to_json(F.struct(F.array(model).alias("models"))).alias("json"))).distinct()
+
+
+@_query("SELECT user_id AS clip, value AS t, event_id FROM events WHERE event_id % 4 <> 3")
+def cue_scan(spark, sf):
+    e = table(spark, sf, "events")
+    raw = F.concat(F.lit("# "), F.col("event_type"), F.lit("\n"), F.when(F.col("event_id") % 4 == 3, "bad").otherwise(F.concat(F.lit("  "), F.col("value").cast("string"), F.lit("\tx"))))
+    return cues.first_fields(e.select(F.col("user_id").alias("clip"), "event_id", raw.alias("raw")), ["clip", "event_id"]).select("clip", "t", "event_id")
+
+
+@_query(f"WITH {B.RANKED} SELECT clip, ord, CASE WHEN shaky THEN 0.0::DOUBLE ELSE start END AS start, CASE WHEN shaky THEN stop - start ELSE stop END AS stop FROM ranked")
+def stabilised_rows(spark, sf):
+    return segments.stabilised(B.ranked(spark, sf).withColumn("needs_stabilisation", F.col("shaky"))).select("clip", "ord", "start", "stop")
+
+
 # Extensions beyond the segment-selection domain
 
 

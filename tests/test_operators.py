@@ -131,7 +131,7 @@ def test_transitions_keep_the_rules(spark):
 def test_speech_and_continuity(spark):
     seg = spark.createDataFrame([(1, 0, 0.0, 6.0), (1, 1, 0.0, 6.0)], "g int, ord bigint, start double, stop double")
     spans = spark.createDataFrame([(1, o, s, s + 2.0) for o in (0, 1) for s in (0.0, 2.0, 4.0)], "g int, ord bigint, s double, e double")
-    assert rows(segments.continuity(seg, spans, ["g"], "ord"), "from_segment", "to_segment", "kind", "seconds") == [(0, 1, "l_cut", 0.75)]
+    assert rows(segments.continuity(seg, spans, ["g"], "ord"), "from_segment", "to_segment", "kind", "seconds") == [(0, 1, "L-cut", 0.75)]
 
 
 def test_trim_and_overlaps(spark):
