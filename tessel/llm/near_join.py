@@ -7,8 +7,8 @@
    is a signature; representatives that share a signature get a star of edges to the least of them, and connected
    components of the stars are candidate groups. A link never leaves its candidate group.
 3. Search: within a group, every document asks the inverted index of the group's leaders for documents that reach the
-   required overlap T: DivideSkip merges the short lists with a heap (large ones by sorting arrays), takes what occurs at least T - L times there, and counts
-   it on in the L long lists by binary search. A document that links to no leader becomes one. Leaders that are close
+   required overlap T: DivideSkip merges the short lists with a heap (large ones by sorting arrays), takes what
+   occurs at least T - L times there, and counts it on in the L long lists by binary search. A document that links to no leader becomes one. Leaders that are close
    enough for their followers to link (triangle inequality of the Jaccard distance) have their followers searched too,
    until their components meet or every possibility is exhausted. So components are exact, yet a group of n near copies
    costs about n searches among few leaders, not n * n.
@@ -44,7 +44,9 @@ from tessel.sources.tables import table
 BLOCK_DOCS = 4000
 BLOCK_SHINGLES = 2_000_000
 #: Parts beyond those that differences can touch; a set with more empty parts than this signs those too.
-SPARE = 2
+SPARE = 6
+#: Rounds of dropping sets that share too few signatures; any number is exact, later rounds find little.
+PEEL_ROUNDS = 3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -106,8 +108,12 @@ def fingerprint(own: np.ndarray) -> bytes:
     return np.array([np.add.reduce(a), np.add.reduce(b)], np.uint64).tobytes()
 
 
-def signatures(own: np.ndarray, rule: Rule) -> np.ndarray:
-    """Hashes of the parts of a set, for each of its size classes; equal parts of one class have equal hashes."""
+def signatures(own: np.ndarray, rule: Rule) -> list[tuple[int, int, np.ndarray]]:
+    """(size class, need, hashes of parts) for each of a set's size classes; equal parts of one class have equal hashes.
+
+    A linked set has at least ``need`` of the hashes in that class as well: of SPARE + 1 equal parts, some may be empty
+    in both sets, and empty parts are signed only where there are more than SPARE of them.
+    """
     found = []
     with np.errstate(over="ignore"):
         place, value = features.mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)) >> np.uint64(32), features.mix(own + _P)
@@ -116,11 +122,12 @@ def signatures(own: np.ndarray, rule: Rule) -> np.ndarray:
             order = np.argsort(part, kind="stable")
             held, begin = np.unique(part[order], return_index=True)
             sums = np.add.reduceat(value[order], begin)
-            if parts - len(held) > SPARE:
+            need = SPARE + 1 - (parts - len(held))
+            if need < 1:
                 rest = np.setdiff1d(np.arange(parts, dtype=np.uint64), held)
-                held, sums = np.concatenate([held, rest]), np.concatenate([sums, np.zeros(len(rest), np.uint64)])
-            found.append(features.mix(sums + features.mix(held * _P + np.uint64(number + 1))))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+                held, sums, need = np.concatenate([held, rest]), np.concatenate([sums, np.zeros(len(rest), np.uint64)]), 1
+            found.append((number, need, features.mix(sums + features.mix(held * _P + np.uint64(number + 1)))))
+    return found
 
 
 def _arrow(docs: DataFrame, run, schema: str, key: str, text: str, mark: str | None) -> DataFrame:
@@ -148,25 +155,47 @@ def _node(mark: bytes) -> int:
 
 
 def signed(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, signs) of the distinct sets of each slice of rows, so that a group of copies signs about once a slice."""
+    """(node, class, need, signs) of the distinct sets of each slice of rows, so that a group of copies signs about once a
+    slice."""
 
     def run(found):
         for batch in found:
             for part in batches.slices(batch, "text"):
                 own = {fingerprint(s): s for s in shingle_sets(part.column("text"), rule.words) if len(s)}
-                signs = [signatures(s, rule) for s in own.values()]
-                lengths = np.cumsum([0, *map(len, signs)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint64), *signs]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([_node(p) for p in own], pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["node", "signs"])
+                rows = [(_node(p), *sign) for p, s in own.items() for sign in signatures(s, rule)]
+                lengths = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *(r[3] for r in rows)]).view(np.int64)
+                numbers = [pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*numbers, pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["node", "class", "need", "signs"])
+
+    return _arrow(docs, run, "node bigint, class int, need int, signs array<bigint>", key, text, None)
+
 
-    return _arrow(docs, run, "node bigint, signs array<bigint>", key, text, None)
+def shared(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of (node, key, ...) whose key another node has as well, with ``least``, the least node of the key."""
+    same = Window.partitionBy(key)
+    return rows.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same)}).filter("least != most").drop("most")
 
 
-def groups_of(keyed: DataFrame, key: str) -> DataFrame:
-    """(id, component) of the nodes of (node, key) that share a key with another node, over chains of shared keys."""
-    least = F.min("node").over(Window.partitionBy(key))
-    stars = keyed.withColumn("least", least).filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
-    return graph.components(stars)
+def groups_of(rows: DataFrame) -> DataFrame:
+    """(id, component) of the nodes of ``shared`` rows, over chains of shared keys."""
+    return graph.components(rows.filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+
+
+def candidate_groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, component): candidate groups of nodes, over chains of shared signatures.
+
+    A set that shares fewer signatures of a class with all others than a linked one would with a single partner drops
+    that class; that may leave others short, so it is repeated. Sets that only have a common passage go here.
+    """
+    rows = signed(docs, rule, key, text).select("node", "class", "need", F.explode("signs").alias("sign"))
+    # The first pass drops the bulk; only then are rows of copies in several slices made distinct.
+    rows = checkpoint(shared(rows, "sign").drop("least").distinct())
+    for _ in range(PEEL_ROUNDS):
+        counts = rows.groupBy("node", "class").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("node", "class")
+        rows = checkpoint(shared(rows.join(counts, ["node", "class"], "left_semi"), "sign"))
+        stars, rows = rows, rows.drop("least")
+    return groups_of(stars)
 
 
 # Search
@@ -403,7 +432,7 @@ def join(docs: DataFrame, rule: Rule | None = None, key: str = "doc_id", text: s
     rule = rule or Rule()
     profiled = checkpoint(profile(docs, rule, key, text, mark))
     # Signatures are made in a pass of their own: reading the texts twice costs less than keeping all signatures on disk.
-    groups = checkpoint(groups_of(signed(docs, rule, key, text).select("node", F.explode("signs").alias("sign")), "sign").withColumnRenamed("id", "g_id"))
+    groups = checkpoint(candidate_groups(docs, rule, key, text).withColumnRenamed("id", "g_id"))
     reps = profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("node").alias("node"))
     candidates = reps.join(groups, F.col("node") == F.col("g_id")).select(F.col("rep").alias("id"), "n", "print", F.col("component").alias("comp"))
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))

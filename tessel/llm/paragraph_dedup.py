@@ -136,7 +136,7 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     narrow = checkpoint(found.groupBy("node").agg(first, F.count("*").alias("rows"), F.min("print").alias("print"), F.max("n").alias("n")))
     # Bands are made in a pass of their own: reading the texts twice costs less than keeping all bands on disk.
     keyed = banded(docs, text, min_words).select("node", F.explode("bands").alias("band"))
-    groups = checkpoint(near_join.groups_of(keyed, "band").withColumnRenamed("id", "g_id"))
+    groups = checkpoint(near_join.groups_of(near_join.shared(keyed, "band")).withColumnRenamed("id", "g_id"))
     near = checkpoint(narrow.join(groups, F.col("node") == F.col("g_id")).select(F.col("node").alias("id"), "n", "print", F.col("component").alias("comp"), "first"))
     source = docs.select(F.col(key).cast("bigint").alias("t_doc"), F.col(text).alias("whole"))
     at = F.col("first.paragraph").cast("int")
