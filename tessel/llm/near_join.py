@@ -12,7 +12,8 @@
    enough for their followers to link (triangle inequality of the Jaccard distance) have their followers searched too,
    until their components meet or every possibility is exhausted. So components are exact, yet a group of n near copies
    costs about n searches among few leaders, not n * n.
-4. A candidate group beyond ``BLOCK_DOCS`` or ``BLOCK_SHINGLES`` is dealt into blocks, each solved by itself; leaders of
+4. In a candidate group beyond ``BLOCK_DOCS`` or ``BLOCK_SHINGLES``, sets drop out that share too few of their elements
+   with all others together. A group that is still that large is dealt into blocks, each solved by itself; leaders of
    blocks are solved again level by level; what then is outside a group's largest component is searched against every
    block, in chunks. Tasks thus hold bounded blocks even where one group of near copies has a third of all rows.
 
@@ -182,20 +183,45 @@ def groups_of(rows: DataFrame) -> DataFrame:
     return graph.components(rows.filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
 
 
-def candidate_groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, component): candidate groups of nodes, over chains of shared signatures.
+def _peeled(rows: DataFrame, by: list[str], rounds: int = PEEL_ROUNDS) -> DataFrame:
+    """Shared rows (node, need, sign, ...) of those groups ``by`` that have ``need`` shared rows or more. Dropping some may
+    leave others short, so it is repeated."""
+    for _ in range(rounds):
+        counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select(*by)
+        rows = checkpoint(shared(rows.drop("least").join(counts, by, "left_semi"), "sign"))
+    return rows
 
-    A set that shares fewer signatures of a class with all others than a linked one would with a single partner drops
-    that class; that may leave others short, so it is repeated. Sets that only have a common passage go here.
-    """
+
+def candidate_signs(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Shared signatures (node, class, need, sign, least). A set that shares fewer signatures of a class with all others
+    than a linked one would with a single partner drops that class."""
     rows = signed(docs, rule, key, text).select("node", "class", "need", F.explode("signs").alias("sign"))
     # The first pass drops the bulk; only then are rows of copies in several slices made distinct.
-    rows = checkpoint(shared(rows, "sign").drop("least").distinct())
-    for _ in range(PEEL_ROUNDS):
-        counts = rows.groupBy("node", "class").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("node", "class")
-        rows = checkpoint(shared(rows.join(counts, ["node", "class"], "left_semi"), "sign"))
-        stars, rows = rows, rows.drop("least")
-    return groups_of(stars)
+    return _peeled(checkpoint(shared(rows, "sign").drop("least").distinct()), ["node", "class"])
+
+
+def element_survivors(rows: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """(node) of rows (id, n, print, node) that share enough elements with other rows for a link.
+
+    A link needs num / den of a set's elements in common with one partner, so at least as many must occur in any other
+    set. Sets that only have passages in common fail this, however many there are.
+    """
+
+    def run(found):
+        for batch in found:
+            for part in batches.slices(batch, "text"):
+                sets = shingle_sets(part.column("text"), rule.words)
+                marks, nodes = part.column("print").to_pylist(), part.column("node").to_pylist()
+                own = [(node, s) for node, mark, s in zip(nodes, marks, sets, strict=True) if len(s) and fingerprint(s) == mark]
+                lengths = np.cumsum([0, *(len(s) for _, s in own)]).astype(np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in own)]).view(np.int64)
+                need = pa.array([-(-rule.num * len(s) // rule.den) for _, s in own], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), need, pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["node", "need", "signs"])
+
+    texts = docs.select(F.col("id").alias("t_id"), "text")
+    joined = rows.join(texts, F.col("id") == F.col("t_id")).select("print", "node", "text")
+    elements = joined.mapInArrow(run, "node bigint, need int, signs array<bigint>").select("node", "need", F.explode("signs").alias("sign"))
+    return _peeled(checkpoint(shared(elements, "sign").drop("least").distinct()), ["node"], 2).select("node").distinct()
 
 
 # Search
@@ -432,10 +458,21 @@ def join(docs: DataFrame, rule: Rule | None = None, key: str = "doc_id", text: s
     rule = rule or Rule()
     profiled = checkpoint(profile(docs, rule, key, text, mark))
     # Signatures are made in a pass of their own: reading the texts twice costs less than keeping all signatures on disk.
-    groups = checkpoint(candidate_groups(docs, rule, key, text).withColumnRenamed("id", "g_id"))
+    signs = candidate_signs(docs, rule, key, text)
     reps = profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("node").alias("node"))
-    candidates = reps.join(groups, F.col("node") == F.col("g_id")).select(F.col("rep").alias("id"), "n", "print", F.col("component").alias("comp"))
     source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+
+    def candidates_of(signs: DataFrame) -> DataFrame:
+        groups = groups_of(signs).withColumnRenamed("id", "g_id")
+        return checkpoint(reps.join(groups, F.col("node") == F.col("g_id")).select(F.col("rep").alias("id"), "n", "print", "node", F.col("component").alias("comp")))
+
+    candidates = candidates_of(signs)
+    large = _blocked(candidates, block_docs, block_shingles, 0).filter("blocks > 1").select("id", "n", "print", "node")
+    if not large.isEmpty():  # what chains them may be passages only
+        gone = large.select("node").distinct().join(element_survivors(large, source, rule), "node", "left_anti")
+        signs = checkpoint(shared(signs.drop("least").join(gone, "node", "left_anti"), "sign"))
+        candidates = candidates_of(signs)
+    candidates = candidates.drop("node")
     labelled = links(candidates, source, rule, block_docs, block_shingles).withColumnRenamed("id", "l_id")
     # An id with several texts may stand for several classes; the least label of its own class's links is what counts.
     named = reps.join(labelled.groupBy("l_id").agg(F.min("label").alias("label")), F.col("rep") == F.col("l_id"), "left")
