@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,4 +36,9 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessel-checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # Shuffle files of finished steps go when the driver collects what refers to them; loops can't wait for that.
+    del df
+    gc.collect()
+    context._jvm.System.gc()
+    return done
