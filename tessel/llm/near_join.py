@@ -398,7 +398,9 @@ def _solve_blocks(rows: DataFrame, docs: DataFrame, rule: Rule, seeded: bool = F
     seed = F.col("seed") if seeded else F.lit(None).cast("bigint")
     texts = docs.select(F.col("id").alias("t_id"), "text")
     joined = rows.withColumn("seed", seed).join(texts, F.col("id") == F.col("t_id")).select("comp", "block", "id", "print", "seed", "text")
-    return joined.repartition("comp", "block").sortWithinPartitions("comp", "block", "id").mapInArrow(run, "id bigint, comp bigint, label bigint, leader boolean")
+    # A fixed number of partitions: by their bytes alone, adaptive execution would put this work into very few tasks.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return joined.repartition(tasks, "comp", "block").sortWithinPartitions("comp", "block", "id").mapInArrow(run, "id bigint, comp bigint, label bigint, leader boolean")
 
 
 def _labels(rows: list[tuple]) -> pa.RecordBatch:
