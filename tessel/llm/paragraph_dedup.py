@@ -9,6 +9,19 @@ group), and verified links are clustered by components. The first occurrence of
 
 Only candidates' texts are read a second time, one occurrence of each class. Nothing of the corpus reaches the driver.
 
+Passages are what recurs elsewhere than in whole lines: inside a longer line, over the edges of lines, or in lines of
+fewer words. Every run of ``PASSAGE`` words that occurs twice belongs to one, line breaks counting as white space:
+
+1. Of every run, the 12-word window of least hash is its anchor. Equal runs have equal anchors, so a run that recurs has
+   one that does; neighbouring runs mostly share theirs, so an anchor comes every seven words or so.
+2. An anchor stands for all runs that have it, which follow one another. Where all anchors of a hash stand for equal
+   runs, one row of each decides; of others, as at the edges of passages, every run is compared. Only texts with recurring
+   anchors are read again.
+3. Neighbouring recurring runs of a text whose first occurrences are in one document make one passage.
+
+A run goes unless it is, or overlaps, its first occurrence by document and place. Runs are compared exactly, by 64-bit
+hashes: a passage with a changed word is found where ``PASSAGE`` words to one side of the change are equal.
+
 Defined cases: null and blank texts and shorter lines have no paragraph; a paragraph is as long as its line; equal lines
 of one document cluster too; rows of equal id count as one document, so equal rows yield equal occurrences; an empty
 table gives an empty result; extra columns do no harm.
@@ -17,8 +30,9 @@ table gives an empty result; extra columns do no harm.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm import batches, features, near_join
@@ -28,10 +42,13 @@ from tessel.sources.tables import table
 MIN_WORDS = 25
 BANDS, ROWS = 20, 4
 RULE = near_join.Rule(words=5, num=4, den=5)
+PASSAGE = 25
 
 _rng = np.random.default_rng(11)
 _SCALE = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 _SHIFT = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -150,17 +167,199 @@ def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     return rows.select("doc", "paragraph", "start", "end", "n_words", F.col("origin.doc").alias("cluster_doc"), F.col("origin.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
 
 
+def _runs(h: np.ndarray, words: int) -> np.ndarray:
+    """A hash of every run of ``words`` word hashes, by prefix sums."""
+    if len(h) < words:
+        return np.zeros(0, np.uint64)
+    powers, back = np.full(len(h), _BASE), np.full(len(h), _INVERSE)
+    powers[:1] = back[:1] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers))])
+    return features.mix((sums[words:] - sums[:-words]) * np.cumprod(back)[: len(h) - words + 1])
+
+
+def _hashed(texts: pa.Array, words: int):
+    """(bytes, offsets, word starts, word ends, word hashes, each word's row, each row's first word, whole) of a slice;
+    whole tells of each word whether a run of ``words`` words from it on is in one text."""
+    raw, offsets = batches.flat(texts)
+    starts, ends, doc = batches.words(raw, offsets)
+    _, h = features.word_hashes(near_join._LOWER[raw], starts, ends)
+    whole = np.zeros(len(h), bool)
+    if (size := len(h) - words + 1) > 0:
+        whole[:size] = doc[:size] == doc[words - 1 :]
+    return raw, offsets, starts, ends, h, doc, np.searchsorted(doc, np.arange(len(offsets) - 1)), whole
+
+
+def anchors_slice(texts: pa.Array, words: int) -> dict[str, np.ndarray]:
+    """Of every anchor: its row, its hash, the number and line of its first run, how many runs it has, the hash of all
+    their words, and where its first run starts in the slice. A run's anchor is its last window of least hash."""
+    raw, offsets, starts, _, h, doc, first, whole = _hashed(texts, words)
+    size = words // 2
+    grams, runs = _runs(h, size), np.flatnonzero(whole)
+    if not len(runs):
+        return dict.fromkeys(("row", "pos", "line", "n", "sign", "context", "at"), np.zeros(0, np.int64))
+    wide = words - size + 1
+    least = np.lib.stride_tricks.sliding_window_view(grams, wide)[:, ::-1].argmin(axis=1)
+    at = runs + wide - 1 - least[runs]
+    # Runs of one anchor follow one another.
+    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    n = np.diff(np.concatenate([begin, [len(runs)]]))
+    head, anchor = runs[begin], at[begin]
+    all_runs = _runs(h, words)
+    mixed = features.mix(all_runs[head] * _BASE + all_runs[head + n - 1])
+    context = features.mix(mixed * _BASE + (((anchor - head) << 20) + n).astype(np.uint64))
+    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
+    row = doc[head]
+    return {"row": row, "pos": head - first[row], "line": breaks[starts[head]] - breaks[offsets[row]], "n": n, "sign": grams[anchor].view(np.int64), "context": context.view(np.int64), "at": head}
+
+
+def _own(key: str, text: str):
+    return F.xxhash64(F.col(key).cast("bigint"), F.col(text))
+
+
+def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE) -> DataFrame:
+    """(sign, context, own, doc, pos, line) of every anchor; own is a hash of id and text, pos and line those of its first
+    run. Anchors of equal context have equal runs."""
+
+    def run(found):
+        for batch in found:
+            for part in batches.slices(batch, "text"):
+                got = anchors_slice(part.column("text"), words)
+                taken = [part.column(c).take(pa.array(got["row"])) for c in ("own", "doc")]
+                yield pa.RecordBatch.from_arrays([pa.array(got["sign"]), pa.array(got["context"]), *taken, *[pa.array(got[c].astype(np.int32)) for c in ("pos", "line")]], names=["sign", "context", "own", "doc", "pos", "line"])
+
+    chosen = docs.select(_own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, "sign bigint, context bigint, own bigint, doc bigint, pos int, line int")
+
+
+_PIECES = "sign bigint, row bigint, own bigint, doc bigint, pos int, last int, line int, start int, stop int, f_doc bigint, f_line int, removed boolean"
+
+
+def pieces_of(rows: DataFrame, words: int) -> DataFrame:
+    """Pieces of rows (row, own, doc, text, at): neighbouring runs from number pos to last, with their span.
+
+    ``at`` is an array of (pos, f_doc, f_line, removed) of anchors. Their runs form one piece; where removed is null,
+    every run is a piece of its own, with its hash as sign.
+    """
+
+    def run(found):
+        for batch in found:
+            for part in batches.slices(batch, "text"):
+                raw, offsets, starts, ends, h, doc, first, _ = _hashed(part.column("text"), words)
+                got = anchors_slice(part.column("text"), words)
+                lists = part.column("at")
+                flat = lists.flatten()
+                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+                wanted = first[owner] + flat.field("pos").to_numpy(zero_copy_only=False)
+                place = np.searchsorted(got["at"], wanted)
+                n, removed = got["n"][place], flat.field("removed")
+                single = removed.is_null().to_numpy(zero_copy_only=False)
+                # One piece for each anchor, or as many as it has runs.
+                times = np.where(single, n, 1)
+                which = np.repeat(np.arange(len(wanted)), times)
+                head = wanted[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+                tail = np.where(single[which], head, head + n[which] - 1)
+                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+                breaks = np.concatenate([[0], np.cumsum(raw == 10)])
+                row = doc[head]
+                base = offsets[row]
+                sign = pa.array(_runs(h, words)[head].view(np.int64), mask=~single[which])
+                numbers = (head - first[row], tail - first[row], breaks[starts[head]] - breaks[base], points[starts[head]] - points[base], points[ends[tail + words - 1]] - points[base])
+                taken = [part.column(c).take(pa.array(row)) for c in ("row", "own", "doc")]
+                carried = [flat.field(c).take(pa.array(which)) for c in ("f_doc", "f_line", "removed")]
+                yield pa.RecordBatch.from_arrays([sign, *taken, *[pa.array(x.astype(np.int32)) for x in numbers], *carried], names=["sign", "row", "own", "doc", "pos", "last", "line", "start", "stop", "f_doc", "f_line", "removed"])
+
+    return rows.select("row", "own", "doc", "text", "at").mapInArrow(run, _PIECES)
+
+
+def _met(rows: DataFrame, words: int) -> DataFrame:
+    """Rows (sign, doc, pos, line) whose sign recurs, not only in overlapping places of one document, with ``first``, its
+    first place, and ``gone``, whether a row is neither there nor overlaps it."""
+    same = Window.partitionBy("sign")
+    place = F.struct("doc", "pos", "line")
+    met = rows.withColumns({"first": F.min(place).over(same), "most": F.max(place).over(same)})
+    met = met.filter(~F.col("first.doc").eqNullSafe(F.col("most.doc")) | (F.col("most.pos") - F.col("first.pos") >= words))
+    return met.drop("most").withColumn("gone", ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") - F.col("first.pos") < words)))
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE) -> DataFrame:
+    """(own, doc, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, removed) of every passage that recurs.
+
+    own is a hash of id and text; paragraph is the line it begins in; (cluster_doc, cluster_paragraph) is where its first
+    run occurs first.
+    """
+    same = Window.partitionBy("sign")
+    place = F.struct("own", "pos")
+    contexts = {"least": F.min(place).over(same), "most": F.max(place).over(same), "equal": F.min("context").over(same) == F.max("context").over(same)}
+    marks = checkpoint(anchors(docs, key, text, words).withColumns(contexts).filter("least != most").drop("least", "most", "context"))
+    # Where all anchors of a hash have equal runs, the first of them decides; the runs of others are compared one by one.
+    item = lambda doc, line, gone: F.struct("pos", doc.cast("bigint").alias("f_doc"), line.cast("int").alias("f_line"), gone.cast("boolean").alias("removed")).alias("item")
+    equal = _met(marks.filter("equal"), words).select("own", item(F.col("first.doc"), F.col("first.line"), F.col("gone")))
+    other = marks.filter("NOT equal").select("own", item(F.lit(None), F.lit(None), F.lit(None)))
+    wanted = checkpoint(equal.union(other).groupBy(F.col("own").alias("w_own")).agg(F.array_sort(F.collect_set("item")).alias("at")))
+    source = docs.select(_own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    joined = source.join(wanted, F.col("own") == F.col("w_own")).select(F.monotonically_increasing_id().alias("row"), "own", "doc", "text", "at")
+    pieces = checkpoint(pieces_of(joined, words))
+    run = ["row", "own", "doc", "pos", "last", "line", "start", "stop"]
+    single = _met(pieces.filter("sign IS NOT NULL").drop("f_doc", "f_line", "removed"), words)
+    single = single.select(*run, F.col("first.doc").alias("f_doc"), F.col("first.line").alias("f_line"), F.col("gone").alias("removed"))
+    every = single.union(pieces.filter("sign IS NULL").select(*run, "f_doc", "f_line", "removed"))
+    group = ["row", "own", "doc", "f_doc", "removed"]
+    order = Window.partitionBy(*group).orderBy("pos")
+    fresh = every.withColumn("fresh", F.when(F.lag("last").over(order) + 1 == F.col("pos"), 0).otherwise(1))
+    island = fresh.withColumn("island", F.sum("fresh").over(order))
+    ends = island.groupBy(*group, "island").agg(F.min(F.struct("pos", "line", "start", "f_line")).alias("a"), F.max(F.struct("last", "stop")).alias("z"))
+    long = lambda c: F.col(c).cast("bigint")
+    n_words = (F.col("z.last") - F.col("a.pos") + words).cast("bigint")
+    return ends.select("own", "doc", long("a.line").alias("paragraph"), long("a.start").alias("start"), long("z.stop").alias("end"), n_words.alias("n_words"), F.col("f_doc").alias("cluster_doc"), long("a.f_line").alias("cluster_paragraph"), "removed")
+
+
+def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whole lines that recur and passages that recur, in one table; a line that recurs exactly may be in both."""
+    # Passages come first and are kept, so that their shuffle files are gone before those of the lines are made.
+    found = checkpoint(passages(docs, key, text).drop("own"))
+    return clusters(docs, key, text).unionByName(found)
+
+
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns kept, without the paragraphs that go; their line breaks go with them."""
+    """The rows of ``docs``, all columns kept, without the paragraphs and passages that go. The line breaks of paragraphs
+    go with them, and so do those of lines of which a passage leaves only blanks."""
     gone = clusters(docs, key, text, **options).filter("removed").groupBy(F.col("doc").alias("g_doc")).agg(F.collect_set("paragraph").alias("g_gone"))
-    work = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    joined = work.join(gone, F.col("row")[key].cast("bigint").eqNullSafe(F.col("g_doc")), "left")
-    lines = F.split(F.col("row")[text], "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains(F.col("g_gone"), i.cast("bigint"))), "\n")
-    cut = F.when(F.col("g_gone").isNull(), F.col("row")[text]).otherwise(kept)
+    cuts = passages(docs, key, text).filter("removed").groupBy(F.col("own").alias("c_own")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("c_cuts"))
+    work = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _own(key, text).alias("own"))
+    joined = work.join(gone, F.col("row")[key].cast("bigint").eqNullSafe(F.col("g_doc")), "left").join(cuts, F.col("own") == F.col("c_own"), "left")
+    cut = F.when(F.col("g_gone").isNull() & F.col("c_cuts").isNull(), F.col("row")[text]).otherwise(_without(F.col("row")[text], F.col("g_gone"), F.col("c_cuts.start"), F.col("c_cuts.end")))
     return joined.select(*[(cut if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
 
+def without(text: str, gone: set[int], cuts: list[tuple[int, int]]) -> str:
+    """``text`` without the lines ``gone`` and the ascending spans ``cuts``."""
+    kept, at, next_cut = [], 0, 0
+    for k, line in enumerate(text.split("\n")):
+        stop, parts, begin = at + len(line), [], at
+        while next_cut < len(cuts) and cuts[next_cut][1] <= at:
+            next_cut += 1
+        i = next_cut
+        while i < len(cuts) and cuts[i][0] < stop:
+            parts.append(text[begin : max(begin, cuts[i][0])])
+            begin = max(begin, cuts[i][1])
+            i += 1
+        left = "".join([*parts, text[begin:stop]]) if parts else line
+        if k not in gone and (left.strip() or not parts):
+            kept.append(left)
+        at = stop + 1
+    return "\n".join(kept)
+
+
+def _without(text, gone, starts, ends):
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, gone: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        some = lambda x: [] if x is None else x
+        rows = zip(texts, gone, starts, ends, strict=True)
+        return pd.Series([t if t is None else without(t, set(some(g)), list(zip(some(s), some(e), strict=True))) for t, g, s, e in rows], dtype=object)
+
+    return run(text, gone, starts, ends)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = clusters(table(spark, sf_dir, "documents"))
+    found = recurring(table(spark, sf_dir, "documents"))
     return found.withColumnsRenamed({"doc": "doc_id", "cluster_doc": "cluster_doc_id"})

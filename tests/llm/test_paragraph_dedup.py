@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +82,63 @@ def test_lines_of_a_slice():
     got = paragraph_dedup.occurrences_slice(pa.array(["", None, "\n", "a\n" + "b " * 6, "c " * 7 + "\n" + "d " * 8 + "\n"]), 5)
     assert list(zip(got["row"], got["paragraph"], got["start"], got["end"], got["n_words"], strict=True)) == [(3, 1, 2, 14, 6), (4, 0, 0, 14, 7), (4, 1, 15, 31, 8)]
     assert near_join.fingerprint(np.array([1], np.uint64)) != near_join.fingerprint(np.array([2], np.uint64))
+
+
+def brute_passages(rows, n):
+    """Passages by comparing every run of n words of every text."""
+    seen, texts = {}, []
+    for doc, text in rows:
+        words = [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^ \t-\r]+", text or "")]
+        texts.append((doc, text, words))
+        for i in range(len(words) - n + 1):
+            seen.setdefault(tuple(w[2] for w in words[i : i + n]), set()).add((doc, i, text.count("\n", 0, words[i][0])))
+    out = []
+    for doc, text, words in texts:
+        before = None
+        spans = {}
+        for i in range(len(words) - n + 1):
+            places = seen[tuple(w[2] for w in words[i : i + n])]
+            first, last = min(places), max(places)
+            if first[0] == last[0] and last[1] - first[1] < n:
+                continue
+            group = (first[0], not (doc == first[0] and i - first[1] < n))
+            own = spans.setdefault(group, [])
+            if own and own[-1][1] == i - 1:
+                own[-1][1] = i
+            else:
+                own.append([i, i, first[2]])
+        for (f_doc, gone), own in spans.items():
+            for a, z, line in own:
+                out.append((doc, text.count("\n", 0, words[a][0]), words[a][0], words[z + n - 1][1], z - a + n, f_doc, line, gone))
+    return sorted(out)
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(5)
+    stock = [[f"W{rng.randrange(40)}é" for _ in range(rng.randrange(6, 60))] for _ in range(12)]
+    rows = [(0, None), (1, ""), (2, "é ü " * 60), (2, "é ü " * 60), (3, "a " * 70)]
+    for doc in range(10, 40):
+        words = []
+        for _ in range(rng.randrange(1, 6)):
+            words += rng.choice(stock) if rng.random() < 0.6 else [f"u{rng.randrange(9999)}" for _ in range(rng.randrange(1, 50))]
+        rows.append((doc, "".join(w + rng.choice([" ", " ", " ", "  ", "\n"]) for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS row", "2 AS pos", "3 AS sign")
+    for n in (8, 25):
+        got = sorted(tuple(r) for r in paragraph_dedup.passages(docs, words=n).drop("own").collect())
+        assert got == brute_passages(rows, n) and len(got) > 20
+
+
+def test_passage_inside_a_long_line_and_over_short_lines(spark):
+    """Fifty-one words that recur in no line of their own are found, and go where they occur again."""
+    planted = [f"p{i}" for i in range(51)]
+    fill = lambda c, n: [f"{c}{i}" for i in range(n)]
+    long_line = " ".join(fill("a", 80) + planted + fill("b", 40))
+    short_lines = "\n".join(" ".join((fill("c", 7) + planted + fill("d", 3))[i : i + 10]) for i in range(0, 61, 10))
+    other = " ".join(fill("e", 60))
+    docs = spark.createDataFrame([(1, long_line), (2, short_lines), (3, other)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in paragraph_dedup.recurring(docs).collect())
+    begin = long_line.index("p0 ")
+    assert got == [(1, 0, begin, long_line.index(" b0"), 51, 1, 0, False), (2, 0, short_lines.index("p0"), short_lines.index(" d0"), 51, 1, 0, True)]
+    kept = {r.doc_id: r.text for r in paragraph_dedup.strip(docs).collect()}
+    assert kept[1] == long_line and kept[3] == other
+    assert kept[2].split() == fill("c", 7) + fill("d", 3)
