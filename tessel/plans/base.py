@@ -49,11 +49,22 @@ def ranked(spark, sf):
     )
 
 
-def planned(spark, sf):
-    """The first eight candidates of each clip, as segments with transitions."""
+def planned(spark, sf, whole=False):
+    """The first eight candidates of each clip, or all of them, as segments with transitions."""
     from tessel.operators import segments
 
-    return segments.plan_transitions(ranked(spark, sf).filter("ord < 8"), ["clip"], "ord")
+    return segments.plan_transitions(chosen(spark, sf, whole), ["clip"], "ord")
+
+
+def chosen(spark, sf, whole=False):
+    """The ranked rows of a plan: the first eight of each clip, as the SQL below has them, or all."""
+    rows = ranked(spark, sf)
+    return rows if whole else rows.filter("ord < 8")
+
+
+def whole_sql(sql):
+    """``sql`` over all ranked rows instead of the first eight of each clip."""
+    return sql.replace("WHERE ord < 8", "")
 
 
 # The same views in DuckDB's SQL, as common table expressions.

@@ -292,13 +292,13 @@ def trim_to_budget(spark, sf):
 
 
 @_query(f"WITH {B.PLANNED} SELECT clip, ord, transition, round(transition_seconds, 6) AS transition_seconds, transition_reason FROM planned")
-def plan_transitions(spark, sf):
-    return B.planned(spark, sf).select("clip", "ord", "transition", *_r("transition_seconds"), "transition_reason")
+def plan_transitions(spark, sf, whole=False):
+    return B.planned(spark, sf, whole).select("clip", "ord", "transition", *_r("transition_seconds"), "transition_reason")
 
 
-def _mutated(spark, sf):
+def _mutated(spark, sf, whole=False):
     """Planned segments with one field in a few edited, so that rules are broken."""
-    p = B.planned(spark, sf)
+    p = B.planned(spark, sf, whole)
     k = F.col("part") % 11
     return p.withColumns({
         "transition": F.when(k == 1, "spin").when(k == 2, "fade").otherwise(F.col("transition")),
@@ -312,8 +312,8 @@ w AS (SELECT *, stop - start AS own, lag(stop - start) OVER (PARTITION BY clip O
 SELECT clip, ord, CASE WHEN tr = 'spin' THEN 'unsupported transition' WHEN tr = 'cut' THEN CASE WHEN s <> 0 THEN 'hard cut must not carry a duration' END WHEN tr = 'fade' AND ord <> 0 THEN 'fade is only allowed at the opening'
  WHEN ord = 0 AND tr <> 'fade' THEN 'opening must be a fade or a cut' WHEN trim(re) = '' THEN 'missing its justification' WHEN s < 0.15::DOUBLE - 1e-6 OR s > 0.8::DOUBLE + 1e-6 THEN 'outside the band'
  WHEN s > 0.2::DOUBLE * own + 1e-6 THEN 'exceeds twenty percent of its segment' WHEN ord > 0 AND s > 0.2::DOUBLE * prev + 1e-6 THEN 'exceeds twenty percent of the preceding segment' END AS violation FROM w""")
-def transition_violations(spark, sf):
-    return segments.transition_violation(_mutated(spark, sf), ["clip"], "ord").select("clip", "ord", "violation")
+def transition_violations(spark, sf, whole=False):
+    return segments.transition_violation(_mutated(spark, sf, whole), ["clip"], "ord").select("clip", "ord", "violation")
 
 
 def _spans(spark, sf):
@@ -370,8 +370,8 @@ def plan_rule_report(spark, sf):
 
 @_query(f"""WITH {B.PLANNED}, s AS (SELECT *, CASE WHEN ord = 0 OR transition <> 'dissolve' THEN 0 ELSE transition_seconds END AS x FROM planned)
 SELECT clip, ord, round(sum(stop - start - x) OVER (PARTITION BY clip ORDER BY ord), 6) AS reached, round(greatest(coalesce(sum(stop - start - x) OVER (PARTITION BY clip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - x, 0), 6) AS "offset" FROM s""")
-def timeline_offsets(spark, sf):
-    return segments.timeline(B.planned(spark, sf), ["clip"], "ord").select("clip", "ord", *_r("reached", "offset"))
+def timeline_offsets(spark, sf, whole=False):
+    return segments.timeline(B.planned(spark, sf, whole), ["clip"], "ord").select("clip", "ord", *_r("reached", "offset"))
 
 
 @_query(f"""WITH {B.RANKED}, b AS (SELECT clip, ord, source, min(ord) OVER (PARTITION BY clip, source) AS f, row_number() OVER (PARTITION BY clip, source ORDER BY ord) - 1 AS branch, count(*) OVER (PARTITION BY clip, source) AS branches FROM ranked)
@@ -384,9 +384,9 @@ def source_branches(spark, sf):
 n AS (SELECT *, lead(tr) OVER w AS nt, lead(s) OVER w AS ns FROM d WINDOW w AS (PARTITION BY clip ORDER BY ord))
 SELECT clip, ord, CASE WHEN tr = 'fade' OR tr = 'dip-black' THEN 'black' WHEN tr = 'dip-white' THEN 'white' END AS head_colour, round(CASE WHEN tr IN ('fade', 'dip-black', 'dip-white') THEN s END, 6) AS head_seconds,
  CASE WHEN nt IS NULL OR nt = 'dip-black' THEN 'black' WHEN nt = 'dip-white' THEN 'white' END AS tail_colour, round(CASE WHEN nt IS NULL THEN greatest(least(0.5::DOUBLE, 0.2::DOUBLE * (stop - start)), 0.15::DOUBLE) WHEN nt IN ('dip-black', 'dip-white') THEN ns END, 6) AS tail_seconds FROM n""")
-def fade_edges(spark, sf):
+def fade_edges(spark, sf, whole=False):
     k = F.col("part") % 6
-    rows = B.planned(spark, sf).withColumn("transition", F.when((k == 1) & (F.col("ord") > 0), "dip-black").when((k == 2) & (F.col("ord") > 0), "dip-white").otherwise(F.col("transition")))
+    rows = B.planned(spark, sf, whole).withColumn("transition", F.when((k == 1) & (F.col("ord") > 0), "dip-black").when((k == 2) & (F.col("ord") > 0), "dip-white").otherwise(F.col("transition")))
     return segments.fades(rows, ["clip"], "ord").select("clip", "ord", "head_colour", *_r("head_seconds"), "tail_colour", *_r("tail_seconds"))
 
 
@@ -450,12 +450,27 @@ def settings_row(spark, sf):
 
 @_query(None)
 def plan_document(spark, sf):
-    p = B.planned(spark, sf)
+    p = B.planned(spark, sf, whole=True)
     item = F.struct("ord", "source", "start", "stop", F.nullif(F.col("cue"), F.lit("")).alias("cue"), "transition", F.nullif(F.col("transition_reason"), F.lit("")).alias("transition_reason"))
     plan = p.groupBy("clip").agg(F.array_sort(F.collect_list(item)).alias("segments")).select(F.lit("1").alias("version"), F.lit("chronological").alias("intent"), "clip", "segments")
     return documents.encode_plan(plan)
 
 
+# The SQL of the queries before holds the first eight candidates of each clip; these are the same over every ranked row.
+
+
+def _whole(name):
+    def run(spark, sf):
+        return _QUERIES[name](spark, sf, whole=True)
+
+    run.__name__ = f"{name}_all"
+    return _query(B.whole_sql(_ORACLES[name]) if name != "snap_cuts" else None)(run)  # its recursive SQL takes too long
+
+
+for _name in ("plan_transitions", "transition_violations", "timeline_offsets", "fade_edges"):
+    _whole(_name)
+
+
 _FLAGSHIP_SQL = f"""WITH {B.CANDIDATES}, m AS (SELECT c.clip, c.shot, c.part, c.start, c.stop, coalesce(avg(e.mafd), 0) AS motion, count(e.t) AS n FROM cand c LEFT JOIN ev e ON e.clip = c.clip AND e.t >= c.start AND e.t < c.stop GROUP BY ALL),
 g AS (SELECT *, round(0.5::DOUBLE * least(motion / 100, 1) + 0.3::DOUBLE * least(n / 10, 1) + 0.2::DOUBLE * ((stop - start) / 8), 6) AS base, row_number() OVER (PARTITION BY clip ORDER BY start, shot, part) - 1 AS ord FROM m WHERE stop - start >= 1 AND motion <= 25),
 s AS (SELECT *, coalesce(sum(stop - start) OVER (PARTITION BY clip ORDER BY base DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
