@@ -273,11 +273,14 @@ SELECT clip, ord, round(snapped, 6) AS snapped, cue FROM f WHERE ord >= 0"""
 
 
 @_query(_SNAP)
-def snap_cuts(spark, sf):
-    rows = B.ranked(spark, sf).filter("ord < 8").drop("cue")
-    grid = F.transform(F.sequence(F.lit(0), F.lit(199)), lambda i: i * 0.75)
+def snap_cuts(spark, sf, whole=False):
+    rows = B.chosen(spark, sf, whole).drop("cue")
+    # Beats as far as a clip's timeline can reach; 200 of them suffice for eight segments.
+    beats = F.ceil(F.sum(F.col("stop") - F.col("start")) / 0.75).cast("int") + 1
+    ends = rows.groupBy("clip").agg((beats if whole else F.max(F.lit(199))).alias("n"))
+    grid = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: i * 0.75)
     every = lambda n: F.filter(grid, lambda x, i: i % n == 0)
-    lines = rows.select("clip").distinct().select("clip", grid.alias("beats"), every(8).alias("phrases"), every(32).alias("sections"))
+    lines = ends.select("clip", grid.alias("beats"), every(8).alias("phrases"), every(32).alias("sections"))
     return cues.snap(rows, lines, ["clip"]).select("clip", "ord", *_r("snapped"), "cue")
 
 
@@ -316,9 +319,9 @@ def transition_violations(spark, sf, whole=False):
     return segments.transition_violation(_mutated(spark, sf, whole), ["clip"], "ord").select("clip", "ord", "violation")
 
 
-def _spans(spark, sf):
+def _spans(spark, sf, whole=False):
     """Each segment's speech: two spans that leave a gap, from its part number."""
-    r = B.ranked(spark, sf).filter("ord < 8")
+    r = B.chosen(spark, sf, whole)
     gap = F.col("part") % 5 * 0.25
     both = F.array(F.struct((F.col("start") + gap).alias("s"), (F.col("start") + 0.5 + gap).alias("e")), F.struct((F.col("stop") - 0.5 - gap).alias("s"), (F.col("stop") - gap / 2).alias("e")))
     return r.select("clip", "ord", F.explode(both).alias("x")).select("clip", "ord", "x.s", "x.e")
@@ -329,16 +332,16 @@ _SPANS = B.RANKED + """, sp AS (SELECT clip, ord, start + part % 5 * 0.25::DOUBL
 
 
 @_query(f"""WITH {_SPANS} SELECT r.clip, r.ord, round(coalesce(sum(greatest(least(e, stop) - greatest(s, stop - 0.75::DOUBLE), 0)), 0), 6) AS speech FROM ranked r JOIN sp USING (clip, ord) GROUP BY r.clip, r.ord""")
-def speech_overlap(spark, sf):
-    w = B.ranked(spark, sf).filter("ord < 8").select("clip", "ord", (F.col("stop") - 0.75).alias("low"), F.col("stop").alias("high"))
-    return segments.speech_within(w, _spans(spark, sf), ["clip", "ord"], "speech").select("clip", "ord", *_r("speech"))
+def speech_overlap(spark, sf, whole=False):
+    w = B.chosen(spark, sf, whole).select("clip", "ord", (F.col("stop") - 0.75).alias("low"), F.col("stop").alias("high"))
+    return segments.speech_within(w, _spans(spark, sf, whole), ["clip", "ord"], "speech").select("clip", "ord", *_r("speech"))
 
 
 @_query(f"""WITH {_SPANS}, t AS (SELECT r.clip, r.ord, sum(greatest(least(e, stop) - greatest(s, stop - 0.75::DOUBLE), 0)) AS tail, sum(greatest(least(e, start + 0.75::DOUBLE) - greatest(s, start), 0)) AS head FROM ranked r JOIN sp USING (clip, ord) GROUP BY r.clip, r.ord),
 n AS (SELECT *, lead(head) OVER w AS nxt, lead(ord) OVER w AS nord FROM t WINDOW w AS (PARTITION BY clip ORDER BY ord))
 SELECT clip, ord AS from_segment, nord AS to_segment, CASE WHEN nxt > tail THEN 'J-cut' ELSE 'L-cut' END AS kind, floor(greatest(tail, nxt) * 1000 + 0.5) / 1000 AS seconds FROM n WHERE tail >= 0.2::DOUBLE AND nxt >= 0.2::DOUBLE""")
-def dialogue_continuity(spark, sf):
-    return segments.continuity(B.ranked(spark, sf).filter("ord < 8"), _spans(spark, sf), ["clip"], "ord")
+def dialogue_continuity(spark, sf, whole=False):
+    return segments.continuity(B.chosen(spark, sf, whole), _spans(spark, sf, whole), ["clip"], "ord")
 
 
 @_query(f"""WITH {B.RANKED}, l AS (SELECT clip, source, start, stop, lag(stop) OVER (PARTITION BY clip, source ORDER BY start, stop) AS before_stop FROM ranked)
@@ -467,7 +470,7 @@ def _whole(name):
     return _query(B.whole_sql(_ORACLES[name]) if name != "snap_cuts" else None)(run)  # its recursive SQL takes too long
 
 
-for _name in ("plan_transitions", "transition_violations", "timeline_offsets", "fade_edges"):
+for _name in ("plan_transitions", "transition_violations", "timeline_offsets", "fade_edges", "snap_cuts", "speech_overlap", "dialogue_continuity"):
     _whole(_name)
 
 
