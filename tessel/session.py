@@ -1,12 +1,15 @@
-"""Session helpers: a local test session and the folder that all executors share."""
+"""Session helpers: a local test session and tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: With this on, Spark deletes the shuffle files of an execution as soon as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     """A session for tests and the bench, not for a cluster."""
@@ -26,19 +29,42 @@ def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``, or by ``setCheckpointDir`` before.
+
+    Where neither is set, a local session gets a temporary folder; elsewhere that would lose data, so it is an error.
+    """
+    context = spark.sparkContext
+    if folder := context.getConf().get("spark.checkpoint.dir"):
+        return folder.rstrip("/")
+    if (named := context._jsc.sc().getCheckpointDir()).isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tessel-"))
+        named = context._jsc.sc().getCheckpointDir()
+    return named.get().rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """``df`` written as a table to the shared folder and read back, which cuts its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset, as in local tests, a temporary
-    folder is made; on a cluster that setting names a folder which every executor sees.
+    The shuffle files that made it are deleted at once, as nothing reads them again. ``release`` deletes the table.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessel-checkpoint-"))
-    done = df.checkpoint(eager=True)
-    # Shuffle files of finished steps go when the driver collects what refers to them; loops can't wait for that.
-    del df
-    gc.collect()
-    context._jvm.System.gc()
+    spark = df.sparkSession
+    path, before = f"{shared_folder(spark)}/tessel-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    done = spark.read.schema(df.schema).parquet(path)
+    done._written = path
     return done
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables that ``checkpoint`` wrote, once nothing that is still to run reads them."""
+    for df in written:
+        jvm, context = df.sparkSession._jvm, df.sparkSession.sparkContext
+        path = jvm.org.apache.hadoop.fs.Path(df._written)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
