@@ -5,30 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessel.session import checkpoint
+from tessel.session import checkpoint, release
 
 
-def _largest(edges: DataFrame) -> DataFrame:
+def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least of u's neighbourhood. ``least`` is a written table, so that both sides of the join
+    are plain exchanges and adaptive execution can split the edges of a hub."""
+    return edges.join(least, F.col("u") == F.col("w"))
+
+
+def _largest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every neighbour above a node points to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-    joined = both.filter("v > u").join(least, F.col("u") == F.col("w"))
-    return joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+    joined = _met(both.filter("v > u"), least)
+    return joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _smallest(edges: DataFrame) -> DataFrame:
+def _smallest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """A node and its neighbours below it point to the least of them. Every edge here leads downwards."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-    below = joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return below.union(least.select("u", F.col("m").alias("v"))).distinct()
+    least = checkpoint(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
+    below = _met(edges, least).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return below.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every node of edges (u, v): component is the least id that the node reaches.
 
     Both steps are a grouped minimum, combined before the shuffle, and a join whose hot keys adaptive execution can
-    split. The loop ends when a round changes nothing, after a few rounds for stars and log-many for chains.
+    split. The loop ends when a round changes nothing, after a few rounds for stars and log-many for chains; each round
+    deletes the tables of the one before.
     """
     down = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     state, seen = checkpoint(down), None
@@ -37,6 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not mark.n:
             break
         seen = mark
-        state = checkpoint(_smallest(_largest(state)))
+        large, by_large = _largest(state)
+        large = checkpoint(large)
+        small, by_small = _smallest(large)
+        after = checkpoint(small)
+        release(state, by_large, large, by_small)
+        state = after
     nodes = state.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return nodes.union(nodes.select(F.col("component").alias("id"), "component").distinct())

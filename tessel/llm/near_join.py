@@ -2,23 +2,27 @@
 
 1. Profile: each text becomes its set of word n-gram hashes (64 bits), its size, and a fingerprint of the set. Documents
    of equal sets form one class; only a class's representative, its least id, goes on, so copies are never paired.
-2. Blocking, without loss: two sets of sizes a and b that reach similarity t differ in at most (a + b)(1 - t) / (1 + t)
+2. Prefixes, without loss: of the least hashes of a set, a tenth of its size more than a link may lack, linked sets have
+   at least a share in common. A set whose prefix shares fewer with all others together goes, so all but copies and near
+   copies are gone after one narrow shuffle. The survivors' texts are shuffled once and kept.
+3. Blocking, without loss: two sets of sizes a and b that reach similarity t differ in at most (a + b)(1 - t) / (1 + t)
    elements. Elements are dealt by hash into more parts than that, so linked sets have equal parts. The hash of each part
-   is a signature; representatives that share a signature get a star of edges to the least of them, and connected
-   components of the stars are candidate groups. A link never leaves its candidate group.
-3. Search: within a group, every document asks the inverted index of the group's leaders for documents that reach the
-   required overlap T: DivideSkip merges the short lists with a heap (large ones by sorting arrays), takes what
-   occurs at least T - L times there, and counts it on in the L long lists by binary search. A document that links to no leader becomes one. Leaders that are close
-   enough for their followers to link (triangle inequality of the Jaccard distance) have their followers searched too,
-   until their components meet or every possibility is exhausted. So components are exact, yet a group of n near copies
-   costs about n searches among few leaders, not n * n.
-4. In a candidate group beyond ``BLOCK_DOCS`` or ``BLOCK_SHINGLES``, sets drop out that share too few of their elements
+   is a signature; survivors that share a signature get a star of edges to the least of them, and connected components
+   of the stars are candidate groups. A link never leaves its candidate group.
+4. Search: within a group, every document asks the inverted index of the group's leaders for documents that reach the
+   required overlap T: DivideSkip merges the short lists with a heap (many entries as sorted runs), takes what occurs at
+   least T - L times there, and counts it on in the L long lists by binary search. A document that links to no leader
+   becomes one. Leaders that are close enough for their followers to link (triangle inequality of the Jaccard distance)
+   have their followers searched too, until their components meet or every possibility is exhausted. So components are
+   exact, yet a group of n near copies costs about n searches among few leaders, not n * n.
+5. In a candidate group beyond ``BLOCK_DOCS`` or ``BLOCK_SHINGLES``, sets drop out that share too few of their elements
    with all others together. A group that is still that large is dealt into blocks, each solved by itself; leaders of
-   blocks are solved again level by level; what then is outside a group's largest component is searched against every
-   block, in chunks. Tasks thus hold bounded blocks even where one group of near copies has a third of all rows.
+   blocks are solved again level by level; what then is outside a group's largest component is searched against those
+   blocks that have enough of its signatures, in chunks. Tasks thus hold bounded blocks even where one group of near
+   copies has a third of all rows.
 
-Tasks read the texts of candidates alone and rebuild their sets; nothing of the corpus reaches the driver. Every loop
-cuts its lineage in the shared checkpoint folder.
+Tasks read the texts of survivors alone and rebuild their sets; nothing of the corpus reaches the driver. Every step
+writes its table to the shared folder, and tables that no later step reads are deleted.
 
 Defined cases: a null or blank text has an empty set, size 0, and is its own component; a text of fewer than n words has
 its whole sequence as the one element; repeated rows are copies; an empty table gives an empty result; extra columns do no
@@ -35,17 +39,19 @@ from heapq import heapify, heapreplace, heappop
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm import batches, features, graph
-from tessel.session import checkpoint
+from tessel.session import checkpoint, release
 from tessel.sources.tables import table
 
 BLOCK_DOCS = 4000
 BLOCK_SHINGLES = 2_000_000
 #: Parts beyond those that differences can touch; a set with more empty parts than this signs those too.
 SPARE = 6
+#: Prefixes are longer by size / EXTRA than a link needs, and so many of them must be found elsewhere.
+EXTRA = 10
 #: Rounds of dropping sets that share too few signatures; any number is exact, later rounds find little.
 PEEL_ROUNDS = 3
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -76,6 +82,19 @@ class Rule:
                 out.append((c, differ + 1 + SPARE))
         return out
 
+    def prefix(self, size: int) -> int:
+        """How many of a set's least hashes make its prefix: more than a partner may lack, by a share of the size."""
+        return min(size, size - -(-self.num * size // self.den) + max(1, size // EXTRA))
+
+    def least_shared(self, size: Column) -> Column:
+        """How many of the prefix a linked partner's prefix has at least.
+
+        The partners have c common elements, c no less than num / den of either size. Of the first k of them in the order
+        of hashes, a set has at most size - c others before the last, so for k up to size / EXTRA they lie in its prefix;
+        and the smaller set is no smaller than num / den of this one.
+        """
+        return F.greatest(F.lit(1), F.floor(F.ceil(size * self.num / self.den) / EXTRA)).cast("bigint")
+
 
 def shingle_sets(texts: pa.Array, words: int) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
@@ -131,14 +150,9 @@ def signatures(own: np.ndarray, rule: Rule) -> list[tuple[int, int, np.ndarray]]
     return found
 
 
-def _arrow(docs: DataFrame, run, schema: str, key: str, text: str, mark: str | None) -> DataFrame:
-    carried = (F.col(mark) if mark else F.lit(None)).cast("bigint").alias("mark")
-    return docs.select(F.col(key).cast("bigint").alias("id"), carried, F.col(text).alias("text")).mapInArrow(run, schema)
-
-
 def profile(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text", mark: str | None = None) -> DataFrame:
-    """(id, mark, n, print, node) of every row; mark is a column of ``docs`` that is passed on, node the fingerprint's
-    first 64 bits."""
+    """(id, mark, own, n, print, node) of every row; mark is a column of ``docs`` that is passed on, own a hash of the text,
+    node the fingerprint's first 64 bits."""
 
     def run(found):
         for batch in found:
@@ -146,36 +160,95 @@ def profile(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text"
                 sets = shingle_sets(part.column("text"), rule.words)
                 prints = [fingerprint(s) if len(s) else None for s in sets]
                 columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([p and _node(p) for p in prints], pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("mark"), *columns], names=["id", "mark", "n", "print", "node"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("id", "mark", "own")), *columns], names=["id", "mark", "own", "n", "print", "node"])
 
-    return _arrow(docs, run, "id bigint, mark bigint, n bigint, print binary, node bigint", key, text, mark)
+    carried = (F.col(mark) if mark else F.lit(None)).cast("bigint").alias("mark")
+    chosen = docs.select(F.col(key).cast("bigint").alias("id"), carried, F.xxhash64(text).alias("own"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, "id bigint, mark bigint, own bigint, n bigint, print binary, node bigint")
 
 
 def _node(mark: bytes) -> int:
     return int.from_bytes(mark[:8], "little", signed=True)
 
 
-def signed(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(node, class, need, signs) of the distinct sets of each slice of rows, so that a group of copies signs about once a
-    slice."""
+def prefix_rows(sets: list[np.ndarray], rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """(node, token) rows of a slice's sets: what :func:`shared_prefixes` counts.
+
+    Of sets that have one token in common, two give a row each and the others only add to their own counts: they are
+    known to share it. So a token that is everywhere makes two rows a slice. A set's count is a row with the topmost bit
+    set, the count below it, and half the node to tell rows apart.
+    """
+    own = {fingerprint(s): s for s in sets if len(s)}
+    heads = [s[: rule.prefix(len(s))] for s in own.values()]
+    owner = np.repeat(np.arange(len(heads)), [len(h) for h in heads])
+    tokens = np.concatenate([np.zeros(0, np.uint64), *heads])
+    order = np.argsort(tokens, kind="stable")
+    tokens, owner = tokens[order], owner[order]
+    third = np.zeros(len(tokens), bool)
+    third[2:] = tokens[2:] == tokens[:-2]
+    nodes = np.array([_node(p) for p in own], np.int64)
+    counts = np.bincount(owner[third], minlength=len(heads)).astype(np.uint64)
+    counted = np.uint64(1 << 63) | (counts << np.uint64(32)) | (nodes.view(np.uint64) & np.uint64(0xFFFFFFFF))
+    return np.concatenate([nodes[owner[~third]], nodes]), np.concatenate([features.mix(tokens[~third]) >> np.uint64(1), counted]).view(np.int64)
+
+
+def shared_prefixes(docs: DataFrame, rule: Rule, text: str = "text") -> DataFrame:
+    """(node, hits, slices) of every distinct set: of its least hashes (:meth:`Rule.prefix`) hits / slices occur in the
+    prefixes of other sets; a set that is in several slices of rows is counted in each of them."""
+
+    def run(found):
+        for batch in found:
+            for part in batches.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in prefix_rows(shingle_sets(part.column("text"), rule.words), rule)], names=["node", "token"])
+
+    same = Window.partitionBy("token")
+    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "node bigint, token bigint")
+    met = rows.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same)})
+    hits = F.when(F.col("token") < 0, F.shiftright("token", 32).bitwiseAND(0x7FFFFFFF)).otherwise((F.col("least") != F.col("most")).cast("bigint"))
+    return met.groupBy("node").agg(F.sum(hits).alias("hits"), F.sum((F.col("token") < 0).cast("bigint")).alias("slices"))
+
+
+def survivors(docs: DataFrame, reps: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
+    """(id, n, print, text) of the sets that may link: one row for each node, which is its id here.
+
+    Two linked sets have as many of their least hashes in common as :meth:`Rule.least_shared` says, so a set whose prefix
+    shares fewer with all others together has no link. That leaves copies, near copies and little else.
+    """
+    counts = shared_prefixes(docs, rule, text).select(F.col("node").alias("c_node"), "hits", "slices")
+    may = reps.join(counts, F.col("node") == F.col("c_node")).filter(F.col("hits") >= rule.least_shared(F.col("n")) * F.col("slices"))
+    may = checkpoint(may.select(F.col("rep.id").alias("r_id"), F.col("rep.own").alias("r_own"), "node", "n", "print"))
+    # The only shuffle of texts: ids of the few that survive meet them, and one of repeated rows stays.
+    texts = docs.select(F.col(key).cast("bigint").alias("t_id"), F.xxhash64(text).alias("t_own"), F.col(text).alias("text"))
+    met = texts.join(may, (F.col("t_id") == F.col("r_id")) & (F.col("t_own") == F.col("r_own")))
+    first = F.row_number().over(Window.partitionBy("t_id", "t_own").orderBy("node"))
+    kept = checkpoint(met.withColumn("first", first).filter("first = 1").select(F.col("node").alias("id"), "n", "print", "text"))
+    release(may)
+    return kept
+
+
+def signed(kept: DataFrame, rule: Rule) -> DataFrame:
+    """(node, class, need, sign) of every signature of the sets of rows (id, text)."""
 
     def run(found):
         for batch in found:
             for part in batches.slices(batch, "text"):
-                own = {fingerprint(s): s for s in shingle_sets(part.column("text"), rule.words) if len(s)}
-                rows = [(_node(p), *sign) for p, s in own.items() for sign in signatures(s, rule)]
-                lengths = np.cumsum([0, *(len(r[3]) for r in rows)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint64), *(r[3] for r in rows)]).view(np.int64)
-                numbers = [pa.array([r[k] for r in rows], kind) for k, kind in ((0, pa.int64()), (1, pa.int32()), (2, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*numbers, pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["node", "class", "need", "signs"])
+                rows = [(node, *sign) for node, s in zip(part.column("id").to_pylist(), shingle_sets(part.column("text"), rule.words), strict=True) for sign in signatures(s, rule)]
+                lengths = [len(r[3]) for r in rows]
+                numbers = [pa.array(np.repeat(np.array([r[k] for r in rows], kind), lengths)) for k, kind in ((0, np.int64), (1, np.int32), (2, np.int32))]
+                signs = np.concatenate([np.zeros(0, np.uint64), *(r[3] for r in rows)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*numbers, pa.array(signs)], names=["node", "class", "need", "sign"])
 
-    return _arrow(docs, run, "node bigint, class int, need int, signs array<bigint>", key, text, None)
+    return kept.select("id", "text").mapInArrow(run, "node bigint, class int, need int, sign bigint")
 
 
 def shared(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of (node, key, ...) whose key another node has as well, with ``least``, the least node of the key."""
-    same = Window.partitionBy(key)
-    return rows.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same)}).filter("least != most").drop("most")
+    """Rows of (node, key, ...) whose key another node has as well, with ``least``, the least node of the key.
+
+    Least and most are combined before they are shuffled, and adaptive execution can split the rows of a common key in
+    the join, so none has to fit a task.
+    """
+    ends = rows.groupBy(F.col(key).alias("s_key")).agg(F.min("node").alias("least"), F.max("node").alias("most"))
+    return rows.join(ends.filter("least != most").drop("most"), F.col(key) == F.col("s_key")).drop("s_key")
 
 
 def groups_of(rows: DataFrame) -> DataFrame:
@@ -185,23 +258,27 @@ def groups_of(rows: DataFrame) -> DataFrame:
 
 def _peeled(rows: DataFrame, by: list[str], rounds: int = PEEL_ROUNDS) -> DataFrame:
     """Shared rows (node, need, sign, ...) of those groups ``by`` that have ``need`` shared rows or more. Dropping some may
-    leave others short, so it is repeated."""
+    leave others short, so it is repeated. ``rows`` is a written table, which this deletes."""
+    first = checkpoint(shared(rows, "sign"))
+    release(rows)
+    rows = first
     for _ in range(rounds):
         counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select(*by)
-        rows = checkpoint(shared(rows.drop("least").join(counts, by, "left_semi"), "sign"))
+        left = checkpoint(rows.drop("least").join(counts, by, "left_semi"))
+        after = checkpoint(shared(left, "sign"))
+        release(rows, left)
+        rows = after
     return rows
 
 
-def candidate_signs(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+def candidate_signs(kept: DataFrame, rule: Rule) -> DataFrame:
     """Shared signatures (node, class, need, sign, least). A set that shares fewer signatures of a class with all others
     than a linked one would with a single partner drops that class."""
-    rows = signed(docs, rule, key, text).select("node", "class", "need", F.explode("signs").alias("sign"))
-    # The first pass drops the bulk; only then are rows of copies in several slices made distinct.
-    return _peeled(checkpoint(shared(rows, "sign").drop("least").distinct()), ["node", "class"])
+    return _peeled(checkpoint(signed(kept, rule)), ["node", "class"])
 
 
-def element_survivors(rows: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
-    """(node) of rows (id, n, print, node) that share enough elements with other rows for a link.
+def element_survivors(rows: DataFrame, kept: DataFrame, rule: Rule) -> DataFrame:
+    """(node) of rows (id) that share enough elements with other rows for a link.
 
     A link needs num / den of a set's elements in common with one partner, so at least as many must occur in any other
     set. Sets that only have passages in common fail this, however many there are.
@@ -211,23 +288,19 @@ def element_survivors(rows: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame
         for batch in found:
             for part in batches.slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), rule.words)
-                marks, nodes = part.column("print").to_pylist(), part.column("node").to_pylist()
-                own = [(node, s) for node, mark, s in zip(nodes, marks, sets, strict=True) if len(s) and fingerprint(s) == mark]
-                lengths = np.cumsum([0, *(len(s) for _, s in own)]).astype(np.int32)
-                flat = np.concatenate([np.zeros(0, np.uint64), *(s for _, s in own)]).view(np.int64)
-                need = pa.array([-(-rule.num * len(s) // rule.den) for _, s in own], pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in own], pa.int64()), need, pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["node", "need", "signs"])
+                lengths = [len(s) for s in sets]
+                need = np.array([-(-rule.num * n // rule.den) for n in lengths], np.int32)
+                flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), lengths)), pa.array(np.repeat(need, lengths)), pa.array(flat)], names=["node", "need", "sign"])
 
-    texts = docs.select(F.col("id").alias("t_id"), "text")
-    joined = rows.join(texts, F.col("id") == F.col("t_id")).select("print", "node", "text")
-    elements = joined.mapInArrow(run, "node bigint, need int, signs array<bigint>").select("node", "need", F.explode("signs").alias("sign"))
-    return _peeled(checkpoint(shared(elements, "sign").drop("least").distinct()), ["node"], 2).select("node").distinct()
+    elements = kept.join(rows.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "node bigint, need int, sign bigint")
+    return _peeled(checkpoint(elements), ["node"], 2).select("node").distinct()
 
 
 # Search
 
 
-#: From so many entries of short lists on, they are merged by sorting arrays instead of by a heap.
+#: From so many entries of short lists on, they are merged as sorted runs of one array instead of by a heap: the same merge, many entries at a time.
 HEAP_ENTRIES = 400
 
 
@@ -244,7 +317,7 @@ def t_occurrence(lists: list[array], least: int) -> dict[int, int]:
     n_long = min(least - 1, int(least / (0.0085 * math.log2(len(lists[-1]) + 1) + 1)))
     short, long = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
     if sum(map(len, short)) > HEAP_ENTRIES:
-        return _by_arrays(short, long, least)
+        return _by_runs(short, long, least)
     heap = [(own[0], i, 0) for i, own in enumerate(short)]
     heapify(heap)
     need, found = least - n_long, {}
@@ -269,9 +342,11 @@ def t_occurrence(lists: list[array], least: int) -> dict[int, int]:
     return found
 
 
-def _by_arrays(short: list[array], long: list[array], least: int) -> dict[int, int]:
-    """The same with whole arrays of candidates."""
-    merged, count = np.unique(np.concatenate([np.frombuffer(own, np.int32) for own in short]), return_counts=True)
+def _by_runs(short: list[array], long: list[array], least: int) -> dict[int, int]:
+    """The same on whole arrays: a stable sort takes each ascending list as one run and merges runs."""
+    entries = np.sort(np.concatenate([np.frombuffer(own, np.int32) for own in short]), kind="stable")
+    begin = np.flatnonzero(np.concatenate([[True], entries[1:] != entries[:-1]]))
+    merged, count = entries[begin], np.diff(np.concatenate([begin, [len(entries)]]))
     keep = count >= least - len(long)
     merged, count = merged[keep], count[keep]
     for left, own in zip(range(len(long), 0, -1), long, strict=True):
@@ -364,25 +439,23 @@ def solve(sets: list[np.ndarray], rule: Rule, seeds: list | None = None) -> tupl
     return [find(x) for x in range(n)], is_leader
 
 
-def _solve_blocks(rows: DataFrame, docs: DataFrame, rule: Rule, seeded: bool = False) -> DataFrame:
-    """(id, comp, label, leader) from rows (id, print, comp, block[, seed]); a group is one (comp, block)."""
+def _solve_blocks(rows: DataFrame, texts: DataFrame, rule: Rule, seeded: bool = False) -> DataFrame:
+    """(id, comp, label, leader) from rows (id, comp, block[, seed]); a group is one (comp, block)."""
 
     def groups(found):
-        """((comp, block), [(id, seed, set)]) from the sorted rows. An id may come with several texts; only the one with
-        the representative's set counts, once."""
-        name, held = None, {}
+        """((comp, block), [(id, seed, set)]) from the sorted rows."""
+        name, held = None, []
         for batch in found:
             for part in batches.slices(batch, "text"):
                 sets = shingle_sets(part.column("text"), rule.words)
-                for comp, block, i, mark, seed, own in zip(*[part.column(c).to_pylist() for c in ("comp", "block", "id", "print", "seed")], sets, strict=True):
+                for comp, block, i, seed, own in zip(*[part.column(c).to_pylist() for c in ("comp", "block", "id", "seed")], sets, strict=True):
                     if (comp, block) != name:
                         if held:
-                            yield name, list(held.values())
-                        name, held = (comp, block), {}
-                    if fingerprint(own) == mark:
-                        held[i, mark] = i, seed, own
+                            yield name, held
+                        name, held = (comp, block), []
+                    held.append((i, seed, own))
         if held:
-            yield name, list(held.values())
+            yield name, held
 
     def run(found):
         out: list[tuple] = []
@@ -396,10 +469,10 @@ def _solve_blocks(rows: DataFrame, docs: DataFrame, rule: Rule, seeded: bool = F
             yield _labels(out)
 
     seed = F.col("seed") if seeded else F.lit(None).cast("bigint")
-    texts = docs.select(F.col("id").alias("t_id"), "text")
-    joined = rows.withColumn("seed", seed).join(texts, F.col("id") == F.col("t_id")).select("comp", "block", "id", "print", "seed", "text")
+    named = texts.select(F.col("id").alias("t_id"), "text")
+    joined = rows.withColumn("seed", seed).join(named, F.col("id") == F.col("t_id")).select("comp", "block", "id", "seed", "text")
     # A fixed number of partitions: by their bytes alone, adaptive execution would put this work into very few tasks.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return joined.repartition(tasks, "comp", "block").sortWithinPartitions("comp", "block", "id").mapInArrow(run, "id bigint, comp bigint, label bigint, leader boolean")
 
 
@@ -408,77 +481,93 @@ def _labels(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "comp", "label", "leader"])
 
 
-def _blocked(rows: DataFrame, block_docs: int, block_shingles: int, salt: int) -> DataFrame:
-    """rows (id, n, print, comp) with their group's number of blocks and each row's block."""
+def _blocked(rows: DataFrame, block_docs: int, block_shingles: int, salt: int, by: tuple[str, ...] = ("comp",)) -> DataFrame:
+    """rows (id, n, *by) with their group's number of blocks and each row's block."""
     blocks = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("bigint")
-    sizes = rows.groupBy("comp").agg(blocks.alias("blocks")).withColumnRenamed("comp", "s_comp")
-    joined = rows.join(sizes, F.col("comp") == F.col("s_comp")).drop("s_comp")
+    sizes = rows.groupBy(*[F.col(c).alias(f"s_{c}") for c in by]).agg(blocks.alias("blocks"))
+    joined = rows
+    for k, c in enumerate(by):
+        same = (F.col(c) == F.col(f"s_{c}")) if not k else same & (F.col(c) == F.col(f"s_{c}"))
+    joined = joined.join(sizes, same).drop(*[f"s_{c}" for c in by])
     return joined.withColumn("block", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")))
 
 
-def links(candidates: DataFrame, docs: DataFrame, rule: Rule, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(id, label) of candidates (id, n, print, comp): ids with one label are joined by links, and only those."""
+def _visits(others: DataFrame, marked: DataFrame, signs: DataFrame) -> DataFrame:
+    """(id, home) of those blocks home of its group that may hold a partner of a row of ``others``: blocks in which ``need``
+    of its signatures of a class occur. ``signs`` has (node, class, need, sign)."""
+    where = signs.join(marked.select("id", F.col("block").alias("home")), F.col("node") == F.col("id")).select(F.col("sign").alias("w_sign"), "home").distinct()
+    asked = signs.select("node", "class", "need", "sign").join(others.select("id"), F.col("node") == F.col("id"))
+    met = asked.join(where, F.col("sign") == F.col("w_sign")).groupBy("id", "class", "home").agg(F.count("*").alias("met"), F.max("need").alias("need"))
+    return met.filter("met >= need").select("id", "home").distinct()
+
+
+def links(candidates: DataFrame, texts: DataFrame, signs: DataFrame, rule: Rule, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+    """(id, label) of candidates (id, n, comp): ids with one label are joined by links, and only those.
+
+    ``texts`` has (id, text), ``signs`` the shared signatures (node, class, need, sign) of the candidates: linked ones
+    share ``need`` of a class.
+    """
     placed = checkpoint(_blocked(candidates, block_docs, block_shingles, 0))
-    solved = checkpoint(_solve_blocks(placed, docs, rule))
+    solved = checkpoint(_solve_blocks(placed, texts, rule))
     large = placed.filter("blocks > 1")
     if large.isEmpty():
         return solved.select("id", "label")
-    edges = solved.select(F.col("id").alias("u"), F.col("label").alias("v"))
-    among = large.select("id", "n", "print", "comp")
-    lead, before, salt = among, None, 0
+    pair = lambda rows: rows.select(F.col("id").alias("u"), F.col("label").alias("v"))
+    edges, lead, before, salt = pair(solved), large.select("id", "n", "comp"), None, 0
     while True:  # leaders of all blocks of a group, level by level
         lead = checkpoint(lead.join(solved.filter("leader").select("id"), "id", "left_semi"))
         now, salt = lead.count(), salt + 1
         if before is not None and now > 0.9 * before:
             break
         before = now
-        again = _blocked(lead, block_docs, block_shingles, salt)
-        solved = checkpoint(_solve_blocks(again, docs, rule))
-        edges = checkpoint(edges.union(solved.select(F.col("id").alias("u"), F.col("label").alias("v"))))
+        again = checkpoint(_blocked(lead, block_docs, block_shingles, salt))
+        solved = checkpoint(_solve_blocks(again, texts, rule))
+        edges = edges.union(pair(solved))
         if again.filter("blocks > 1").isEmpty():
             break
-    label = F.coalesce("component", "id").alias("seed")
-    marked = checkpoint(large.join(graph.components(edges), "id", "left").select("id", "n", "print", "comp", "block", "blocks", label))
+    marked = checkpoint(large.join(graph.components(edges), "id", "left").select("id", "n", "comp", "block", F.coalesce("component", "id").alias("seed")))
     counts = marked.groupBy("comp", "seed").agg(F.count("*").alias("rows"))
     main = counts.groupBy("comp").agg(F.max(F.struct("rows", "seed")).alias("top")).select(F.col("comp").alias("m_comp"), F.col("top.seed").alias("main"))
-    others = marked.join(main, F.col("comp") == F.col("m_comp")).filter("seed != main").select("id", "n", "print", "comp", "seed", F.col("blocks").alias("all_blocks"))
+    others = checkpoint(marked.join(main, F.col("comp") == F.col("m_comp")).filter("seed != main").select("id", "n", "comp", "seed"))
     if others.isEmpty():
         return graph.components(edges).select("id", F.col("component").alias("label"))
-    # Everything outside a group's main component meets every block of the group, in chunks of a block's size.
-    chunked = checkpoint(_blocked(others, block_docs, block_shingles, -1).withColumnRenamed("block", "chunk").withColumnRenamed("blocks", "chunks"))
-    chunks = chunked.select(F.col("comp").alias("c_comp"), "chunks").distinct()
-    pair = lambda block, chunk: F.concat_ws(":", block, chunk).alias("block")
-    asked = chunked.select("id", "print", "comp", "seed", "chunk", F.explode(F.sequence(F.lit(0), F.col("all_blocks") - 1)).alias("b")).select("id", "print", "comp", "seed", pair("b", "chunk"))
-    stored = marked.join(chunks, F.col("comp") == F.col("c_comp")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("id", "print", "comp", "seed", pair("block", "chunk"))
-    crossed = checkpoint(_solve_blocks(asked.union(stored).distinct(), docs, rule, seeded=True))
+    # What is outside a group's main component meets the blocks that may hold a partner, in chunks of a block's size.
+    visits = _visits(others, marked, signs).withColumnRenamed("id", "v_id")
+    asked = checkpoint(_blocked(others.join(visits, F.col("id") == F.col("v_id")).drop("v_id"), block_docs, block_shingles, -1, ("comp", "home")))
+    chunks = asked.select(F.col("comp").alias("c_comp"), F.col("home").alias("c_home"), "blocks").distinct()
+    stored = marked.join(chunks, (F.col("comp") == F.col("c_comp")) & (F.col("block") == F.col("c_home"))).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    name = F.concat_ws(":", "home", "block").alias("block")
+    every = asked.select("id", "comp", "seed", name).union(stored.select("id", "comp", "seed", F.concat_ws(":", "c_home", "block").alias("block"))).distinct()
+    crossed = checkpoint(_solve_blocks(every, texts, rule, seeded=True))
     seeds = marked.select(F.col("id").alias("u"), F.col("seed").alias("v"))
-    return graph.components(edges.union(seeds).union(crossed.select(F.col("id").alias("u"), F.col("label").alias("v")))).select("id", F.col("component").alias("label"))
+    return graph.components(edges.union(seeds).union(pair(crossed))).select("id", F.col("component").alias("label"))
 
 
 def join(docs: DataFrame, rule: Rule | None = None, key: str = "doc_id", text: str = "text", block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES, mark: str | None = None) -> DataFrame:
     """(id, mark, n, print, representative, component) of every row; print is null for an empty set."""
     rule = rule or Rule()
     profiled = checkpoint(profile(docs, rule, key, text, mark))
-    # Signatures are made in a pass of their own: reading the texts twice costs less than keeping all signatures on disk.
-    signs = candidate_signs(docs, rule, key, text)
-    reps = profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.max("node").alias("node"))
-    source = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
+    least = F.min(F.struct("id", "own")).alias("rep")
+    reps = checkpoint(profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(least, F.max("n").alias("n"), F.max("node").alias("node")))
+    kept = survivors(docs, reps, rule, key, text)
+    signs = candidate_signs(kept, rule)
 
     def candidates_of(signs: DataFrame) -> DataFrame:
-        groups = groups_of(signs).withColumnRenamed("id", "g_id")
-        return checkpoint(reps.join(groups, F.col("node") == F.col("g_id")).select(F.col("rep").alias("id"), "n", "print", "node", F.col("component").alias("comp")))
+        groups = groups_of(signs).select(F.col("id").alias("g_id"), F.col("component").alias("comp"))
+        return checkpoint(kept.select("id", "n").join(groups, F.col("id") == F.col("g_id")).drop("g_id"))
 
     candidates = candidates_of(signs)
-    large = _blocked(candidates, block_docs, block_shingles, 0).filter("blocks > 1").select("id", "n", "print", "node")
+    large = _blocked(candidates, block_docs, block_shingles, 0).filter("blocks > 1").select("id")
     if not large.isEmpty():  # what chains them may be passages only
-        gone = large.select("node").distinct().join(element_survivors(large, source, rule), "node", "left_anti")
-        signs = checkpoint(shared(signs.drop("least").join(gone, "node", "left_anti"), "sign"))
+        gone = large.join(element_survivors(large, kept, rule).select(F.col("node").alias("id")), "id", "left_anti")
+        left = checkpoint(signs.drop("least").join(gone, F.col("node") == F.col("id"), "left_anti"))
+        signs = checkpoint(shared(left, "sign"))
         candidates = candidates_of(signs)
-    candidates = candidates.drop("node")
-    labelled = links(candidates, source, rule, block_docs, block_shingles).withColumnRenamed("id", "l_id")
-    # An id with several texts may stand for several classes; the least label of its own class's links is what counts.
-    named = reps.join(labelled.groupBy("l_id").agg(F.min("label").alias("label")), F.col("rep") == F.col("l_id"), "left")
-    named = named.select(F.col("print").alias("c_print"), "rep", F.coalesce("label", "rep").alias("component"))
+    labelled = checkpoint(links(candidates, kept, signs, rule, block_docs, block_shingles).withColumnRenamed("id", "l_id"))
+    release(kept, signs)
+    classes = reps.select("print", F.col("rep.id").alias("rep"), "node").join(labelled, F.col("node") == F.col("l_id"), "left").withColumn("label", F.coalesce("label", "node"))
+    least = classes.groupBy(F.col("label").alias("c_label")).agg(F.min("rep").alias("component"))
+    named = classes.join(least, F.col("label") == F.col("c_label")).select(F.col("print").alias("c_print"), "rep", "component")
     joined = profiled.join(named, F.col("print") == F.col("c_print"), "left")
     return joined.select("id", "mark", "n", "print", F.coalesce("rep", "id").alias("representative"), F.coalesce("component", "id").alias("component"))
 
@@ -489,10 +578,12 @@ def keep_one(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text
     own = F.xxhash64(F.col(key).cast("bigint"), F.col(text))
     work = docs.select(own.alias("id"), F.col(key).cast("bigint").alias("mark"), F.col(text).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
     joined = join(work, rule, "id", "text", mark="mark")
-    stay = joined.filter("n > 0").groupBy("component").agg(F.min(F.struct("mark", "id")).alias("one")).select(F.col("one.id").alias("s_id"), F.col("one.mark").alias("s_mark"))
+    stay = joined.filter("n > 0").groupBy("component").agg(F.min(F.struct("mark", "id")).alias("one")).select(F.col("one.id").alias("s_id"))
     blank = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    one = work.filter(~blank).join(stay, (F.col("id") == F.col("s_id")) & F.col("mark").eqNullSafe(F.col("s_mark")), "left_semi").dropDuplicates(["id", "mark"])
-    return one.union(work.filter(blank)).select("row.*")
+    # The window takes rows as the join has dealt and sorted them.
+    first = F.row_number().over(Window.partitionBy("id").orderBy("id"))
+    one = work.filter(~blank).select("id", "row").join(stay, F.col("id") == F.col("s_id"), "left_semi").withColumn("first", first).filter("first = 1")
+    return one.select("row").union(work.filter(blank).select("row")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,6 +105,34 @@ def test_linked_sets_share_enough_signatures():
                 assert met
 
 
+def test_linked_sets_share_enough_of_their_prefixes(spark):
+    rng, pairs = np.random.default_rng(6), 0
+    sizes = spark.range(1, 400).selectExpr("id AS n")
+    for rule in (Rule(), Rule(5, 4, 5), Rule(2, 2, 3)):
+        least = {r.n: r.least for r in sizes.select("n", rule.least_shared(sizes.n).alias("least")).collect()}
+        for _ in range(600):
+            a = np.unique(rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64))
+            keep = a[rng.random(len(a)) > rng.random() * 0.4]
+            b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 20)).astype(np.uint64)]))
+            if len(b) and rule.linked(len(np.intersect1d(a, b)), len(a), len(b)):
+                met = len(np.intersect1d(a[: rule.prefix(len(a))], b[: rule.prefix(len(b))]))
+                assert met >= max(least[len(a)], least[len(b)])
+                pairs += 1
+    assert pairs > 300
+
+
+def test_prefix_counts_equal_brute_force(spark):
+    rows, rule = corpus(11), Rule()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.node: r.hits / r.slices for r in near_join.shared_prefixes(docs, rule).collect()}
+    import pyarrow as pa
+
+    sets = {near_join.fingerprint(s): s for s in near_join.shingle_sets(pa.array([t for _, t in rows]), 3) if len(s)}
+    heads = {near_join._node(p): set(s[: rule.prefix(len(s))].tolist()) for p, s in sets.items()}
+    want = {k: sum(any(x in other for j, other in heads.items() if j != k) for x in own) for k, own in heads.items()}
+    assert got == want and max(want.values()) > 3
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, k) for k in range(8, 30)] + [(3, 3), (50, 51), (51, 50)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
