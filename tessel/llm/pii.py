@@ -6,12 +6,21 @@ piece and record for every output character the source characters it stands for.
 
 1. Characters: look-alikes of ASCII (full-width and mathematical forms, Cyrillic and Greek letters, digits of other
    scripts) become ASCII, invisible format characters vanish.
-2. Words: ``[at]``, ``(dot)`` and the like become @ and a dot, as do bare ``at`` and ``dot`` between host-like words
-   where both occur; runs of four or more spelled digits become digits, with "plus" before them as +.
+2. Spelled digits: runs of four or more become digits, with "plus" before them as +.
+3. Marks: ``[at]``, ``(dot)`` and the like become @ and a dot.
+4. Bare words: ``at`` and ``dot`` between blanks become @ and a dot where they make an address: a spelled dot stands by
+   (not after "at the" and the like), or a plain domain with a known last label follows and the word before ``at`` is no
+   word of prose. ``dot`` between numbers becomes a dot.
+
+Each transducer is one pass over pieces and takes time linear in the text. It records its edits only, with their places
+before and after, so a span of the normalised copy is mapped back by binary search, edit list by edit list.
 
 The patterns run again on the normalised copy. A span found there is mapped back to source characters; it is added unless
-it overlaps a base span of its kind, which therefore always stay. A text without any trigger of a transducer is its own
-normal form and is not searched twice.
+it overlaps a span of its kind that is there already; base spans always stay. A text without any trigger of a transducer
+is its own normal form and is not searched twice.
+
+Not found: spelled numbers above nine, digits that are spelled in part within one group of fewer than four words, and
+addresses at a plain domain after a word of prose ("look at example.com").
 
 Defined cases: null counts as empty; empty texts have no spans; very long texts are searched whole; repeated rows give
 equal results; an empty table gives an empty result; extra columns do no harm.
@@ -22,6 +31,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -34,7 +44,8 @@ KINDS = ("email", "ip", "card", "phone")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+# A match never starts inside a run of digits: if one failed at its start, it fails inside, too.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 # A run of fewer than 16 digits can't be a card, nor hold the start of one.
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9]){15,}")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -119,78 +130,184 @@ SPELLED = {
     **dict(zip(("cero", "uno", "dos", "tres", "cuatro", "cinco", "seis", "siete", "ocho", "nueve"), "0123456789", strict=True)),
     "oh": "0", "zwo": "2",
 }
-_WORD = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:plus[\s,-]+)?{_WORD}(?:[\s,-]+|(?!\w))){{4,}}", re.IGNORECASE)
-_SPELLED_ONE = re.compile(rf"(plus|{_WORD})|[\s,-]+", re.IGNORECASE)
+_LETTERS = re.compile(r"[^\W\d_]+")
+_GAP = re.compile(r"[\s,-]+")
 _IS_SPELLED = frozenset([*SPELLED, "plus"]).__contains__
-_BRACKET_PROBE = re.compile(r"[\[({<]\s*(?:at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|@|\.)\s*[\])}>]\s*", re.IGNORECASE)
-#: name at host dot domain, with plain dots or spelled ones after the at; "at the dot" is prose.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+dot\s+[A-Za-z0-9_%+-]+)*(?:\s+at\s+(?!(?:the|a|an|this|that|each|every|one)\s)|@)[A-Za-z0-9-]+(?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
-_BARE_ONE = re.compile(r"\s+(at|dot)\s+", re.IGNORECASE)
+_EDGES = ".,;:!?()[]{}<>\"'/"
+#: Spelled digits that make a run.
+LEAST_SPELLED = 4
+
+_MARK = re.compile(r"[\[({<]\s*(at|dot|@|\.)\s*[\])}>]", re.IGNORECASE)
 _SIGN = {"at": "@", "@": "@", "dot": ".", ".": "."}
+_BLANKS = re.compile(r"\s*")
+_TRIGGER = re.compile(r"\s(?:at|dot)\s", re.IGNORECASE)
+_PIECE = re.compile(r"\S+")
+_NAME = re.compile(r"[A-Za-z0-9._%+@-]+")
+_NAME_END = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+@-")
+_HOST = re.compile(r"[A-Za-z0-9-]+")
+_NUMBERS = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+# Words after "at" that make it prose.
+_AFTER_AT = frozenset(("the", "a", "an", "this", "that", "each", "every", "one"))
+# Words before "at" that make it prose where only a plain domain follows.
+_BEFORE_AT = frozenset(("us", "me", "him", "her", "them", "it", "you", "look", "looks", "looking", "available", "found", "find", "here", "there", "visit", "online", "hosted", "published", "posted", "page", "pages", "site", "sites", "website", "read", "more", "is", "are", "was", "were", "be", "information", "info", "details", "see", "home", "sold", "shop", "server", "only", "and", "or"))
+# Last labels of domains.
+_LAST_LABELS = frozenset(("com", "org", "net", "edu", "gov", "mil", "int", "info", "biz", "io", "co", "me", "eu", "uk", "us", "ca", "au", "de", "at", "ch", "fr", "be", "es", "mx", "ar", "it", "nl", "pl", "pt", "br", "ru", "cn", "jp", "in", "example", "test"))
 
 
 class Tape:
-    """A text with, for each character, the source span it stands for."""
+    """A text with the lists of edits that made it, which lead every place back to the source."""
 
     def __init__(self, text: str) -> None:
-        self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.stages = text, []
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replace the ordered, disjoint spans (start, end, text). A new character stands for the whole span."""
         if not edits:
             return
-        out, starts, ends, at = [], [], [], 0
+        out, at, place = [], 0, 0
+        stage: tuple[list[int], ...] = ([], [], [], [])
         for a, b, new in edits:
             out += [self.text[at:a], new]
-            starts += self.starts[at:a] + [self.starts[a]] * len(new)
-            ends += self.ends[at:a] + [self.ends[b - 1]] * len(new)
+            place += a - at
+            for column, value in zip(stage, (place, place + len(new), a, b), strict=True):
+                column.append(value)
+            place += len(new)
             at = b
         self.text = "".join([*out, self.text[at:]])
-        self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
+        self.stages.append(stage)
+
+    def source(self, start: int, end: int) -> tuple[int, int]:
+        """The source span of text[start:end], which must not be empty."""
+        for begins, stops, froms, tos in reversed(self.stages):
+            if (k := bisect_right(begins, start) - 1) >= 0:
+                start = froms[k] if start < stops[k] else tos[k] + start - stops[k]
+            if (k := bisect_right(begins, end - 1) - 1) >= 0:
+                end = tos[k] if end - 1 < stops[k] else tos[k] + end - stops[k]
+        return start, end
 
 
 def _spelled(text: str) -> list[tuple[int, int, str]]:
     """Edits that turn runs of spelled digits into digits, one for each word, and drop what parts them."""
-    edits = []
-    for run in _SPELLED_RUN.finditer(text):
-        stop = len(run[0].rstrip(" \t\r\n,-")) + run.start()
-        for m in _SPELLED_ONE.finditer(text, run.start(), stop):
-            word = (m[1] or "").lower()
-            edits.append((m.start(), m.end(), "+" if word == "plus" else SPELLED.get(word, "")))
+    edits: list[tuple[int, int, str]] = []
+    run: list[tuple[int, int, str]] = []
+
+    def close() -> None:
+        if sum(word != "plus" for _, _, word in run) >= LEAST_SPELLED:
+            for k, (a, b, word) in enumerate(run):
+                if k:
+                    edits.append((run[k - 1][1], a, ""))
+                edits.append((a, b, "+" if word == "plus" else SPELLED[word]))
+        run.clear()
+
+    for m in _LETTERS.finditer(text):
+        a, b = m.span()
+        word = m[0].lower() if b - a <= 6 else ""
+        # Digits and underscores make a longer word.
+        whole = _IS_SPELLED(word) and not (a and (text[a - 1].isalnum() or text[a - 1] == "_")) and not (b < len(text) and (text[b].isalnum() or text[b] == "_"))
+        if run and not (whole and (gap := _GAP.match(text, run[-1][1])) and gap.end() == a):
+            close()
+        if whole:
+            run.append((a, b, word))
+    close()
     return edits
 
 
+def _marks(text: str) -> list[tuple[int, int, str]]:
+    """Edits that turn bracketed at and dot, with the blanks around them, into @ and a dot."""
+    edits, before = [], 0
+    for m in _MARK.finditer(text):
+        a, b = m.start(), _BLANKS.match(text, m.end()).end()
+        while a > before and text[a - 1].isspace():
+            a -= 1
+        edits.append((a, b, _SIGN[m[1].lower()]))
+        before = b
+    return edits
+
+
+def _chains(text: str):
+    """Pieces between which only the words at and dot stand: [(piece start, piece end)], [(word, start, end of the blanks
+    around it)]. Of the first piece only the end may count, of the last one the beginning; those between are names."""
+    pieces = [m.span() for m in _PIECE.finditer(text)]
+    words = [text[a:b].lower() if b - a in (2, 3) else "" for a, b in pieces]
+    names, links = [], []
+    for k in range(1, len(pieces) - 1):
+        a, b = pieces[k]
+        if words[k] in ("at", "dot") and words[k - 1] not in ("at", "dot") and words[k + 1] not in ("at", "dot"):
+            if links and links[-1][3] != k - 2:
+                yield names, links
+                names, links = [], []
+            if links and _NAME.fullmatch(text, *pieces[k - 1]) is None:
+                yield names, links
+                names, links = [], []
+            names = names or [pieces[k - 1]]
+            names.append(pieces[k + 1])
+            links.append((words[k], pieces[k - 1][1], pieces[k + 1][0], k))
+    if links:
+        yield names, links
+
+
 def _bare(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in _BARE.finditer(text):
-        inside = list(_BARE_ONE.finditer(text, m.start(), m.end()))
-        names = [i[1].lower() for i in inside]
-        if "dot" in names and ("at" in names or "@" in m[0]):
-            edits += [(i.start(), i.end(), _SIGN[i[1].lower()]) for i in inside]
+    """Edits that turn the bare words at and dot into @ and a dot where they make an address or a number."""
+    edits: list[tuple[int, int, str]] = []
+    for names, links in _chains(text):
+        a, b = names[0]
+        begin = b
+        while begin > a and text[begin - 1] in _NAME_END:
+            begin -= 1
+        parts = [text[begin:b], *(text[x:y] for x, y in names[1:])]
+        hosts = [_HOST.match(p) for p in parts]
+        used = [False] * len(links)
+        spelled_at = [word == "at" for word, *_ in links]
+        # Places where an address's host begins: after a spelled at, or after an @ inside a name.
+        for k, part in enumerate(parts):
+            if k and spelled_at[k - 1]:
+                local, host = parts[k - 1], part
+            elif "@" in part:
+                local, _, host = part.rpartition("@")
+            else:
+                continue
+            left, right = k - 1 - (k > 0 and spelled_at[k - 1]), k
+            while left >= 0 and not spelled_at[left] and not used[left] and (left + 1 == k or "@" not in parts[left + 1]):
+                left -= 1
+            # A host goes on over spelled dots while its pieces are whole labels.
+            while right < len(links) and not spelled_at[right] and hosts[right + 1] and "@" not in parts[right + 1]:
+                right += 1
+            dots = [j for j in range(left + 1, right) if not spelled_at[j]]
+            found = _DOMAIN.match(host)
+            domain = found or (right > k and _HOST.match(host))
+            if not local or not domain:
+                continue
+            plain = found is not None and found[0].rpartition(".")[2].lower() in _LAST_LABELS and "@" not in part and local.lower() not in _BEFORE_AT
+            if (dots and host.lower() not in _AFTER_AT) or (not dots and plain):
+                for j in [*dots, *([k - 1] if k and spelled_at[k - 1] else [])]:
+                    used[j] = True
+        for j, (word, *_) in enumerate(links):
+            if word == "dot" and not used[j]:
+                before, after = parts[j].rpartition("@")[2], _NUMBERS.match(parts[j + 1])
+                used[j] = bool(before and after and _NUMBERS.fullmatch(before))
+        edits += [(links[j][1], links[j][2], _SIGN[links[j][0]]) for j in range(len(links)) if used[j]]
     return edits
 
 
 def normalise(text: str) -> Tape | None:
     """The normalised copy with its offsets, or None where no transducer has anything to do."""
     low = text.lower()
-    bracket, bare = _BRACKET_PROBE.search(text), "dot" in low
-    # A run of four spelled digits starts with three words of that kind, whatever follows the last one.
-    spelled = b"\1\1\1" in bytes(map(_IS_SPELLED, low.replace(",", " ").replace("-", " ").split()))
+    mark, bare = _MARK.search(text) is not None, _TRIGGER.search(text) is not None
+    # A run of four spelled digits has two in a row, or joined by a hyphen or a comma.
+    spelled = b"\1\1" in bytes([_IS_SPELLED(w.strip(_EDGES)) for w in low.replace(",", " ").replace("-", " ").split()])
     strange = not text.isascii() and not _STRANGE.isdisjoint(text)
-    if not (bracket or bare or spelled or strange):
+    if not (mark or bare or spelled or strange):
         return None
     tape = Tape(text)
     if strange:
         tape.rewrite([(i, i + 1, CHARACTERS[c]) for i, c in enumerate(text) if c in _STRANGE])
     if strange or spelled:
         tape.rewrite(_spelled(tape.text))
-    if strange or bracket:
-        tape.rewrite([(m.start(), m.end(), _SIGN[m[1].lower()]) for m in _BRACKETED.finditer(tape.text)])
-    if strange or bracket or bare:
+    if strange or mark:
+        tape.rewrite(_marks(tape.text))
+    if strange or mark or bare:
         tape.rewrite(_bare(tape.text))
-    return None if tape.text == text else tape
+    return tape if tape.stages else None
 
 
 def detect(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -199,10 +316,14 @@ def detect(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int,
     everything = {k: list(v) for k, v in base.items()}
     if (tape := normalise(text)) is not None:
         for kind, spans in identifiers(tape.text).items():
-            for a, b in spans:
-                start, end = tape.starts[a], tape.ends[b - 1]
-                if all(end <= s or start >= e for s, e in everything[kind]):
-                    everything[kind].append((start, end))
+            starts, last, more = [a for a, _ in base[kind]], 0, []
+            for start, end in (tape.source(a, b) for a, b in spans):  # ascending, as the tape keeps the order
+                k = bisect_right(starts, start)
+                free = (not k or base[kind][k - 1][1] <= start) and (k == len(starts) or starts[k] >= end)
+                if free and start >= last:
+                    more.append((start, end))
+                    last = end
+            everything[kind] += more
     flat = lambda found: [(k, a, b) for k in KINDS for a, b in sorted(found[k])]
     return flat(base), flat(everything)
 

@@ -1,4 +1,5 @@
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -60,6 +61,80 @@ def test_disguises_map_back_to_the_source():
     assert added("un six deux trois") == []
 
 
+def test_more_disguises():
+    assert added("write to john at example.com now") == [("email", "john at example.com")]
+    assert added("write to john dot doe at mail dot example dot org, please") == [("email", "john dot doe at mail dot example dot org")]
+    assert added("(john@example dot com)") == [("email", "john@example dot com")]
+    assert added("host 192 dot 168 dot 1 dot 20 is up") == [("ip", "192 dot 168 dot 1 dot 20")]
+    assert added("call +49 171 (one two three four) now") == [("phone", "+49 171 (one two three four")]
+    assert added("a [at] b [dot] org and c(at)d.de") == [("email", "a [at] b [dot] org"), ("email", "c(at)d.de")]
+    assert added("Look at example.com. We met at the cafe dot com party at noon.") == []
+    assert added("two dot three, and 999 dot 1 dot 1 dot 1") == []
+    text = "x at y dot com " * 3
+    assert added(text) == [("email", "x at y dot com")] * 3
+
+
+def test_long_texts_take_linear_time():
+    """Each of these is a text on which a backtracking search, or one that compares all spans, would not end."""
+    began = time.time()
+    blanks = "a [at] b" + " " * 5_000_000 + "[" + " " * 1_000_000 + "one" + " " * 500_000 + "two" + " " * 500_000
+    assert pii.detect(blanks + "x@y dot com")[1] == [("email", len(blanks), len(blanks) + 11)]
+    assert pii.detect("dot a " * 300_000) == ([], [])
+    assert pii.detect("x at y " * 200_000) == ([], [])
+    assert pii.detect("x@y dot " * 200_000)[0] == []
+    assert pii.detect("7" * 3_000_000) == ([], [])
+    assert len(pii.detect("a [at] b.de 1.2.3.4 x@y.zz " * 100_000)[1]) == 300_000
+    assert len(pii.detect("one two " * 150_000)[1]) == 0
+    assert time.time() - began < 60
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab1 .@[]()", max_size=50), st.data())
+def test_the_tape_maps_like_lists_of_places(text, data):
+    """Every character of the copy, against a version that keeps the source span of each."""
+    tape, places = pii.Tape(text), [(i, i + 1) for i in range(len(text))]
+    for _ in range(3):
+        cuts = sorted(data.draw(st.lists(st.integers(0, len(tape.text)), max_size=6, unique=True)))
+        edits = [(a, b, data.draw(st.sampled_from(["", "@", "xy"]))) for a, b in zip(cuts[::2], cuts[1::2], strict=False)]
+        after, at = [], 0
+        for a, b, new in edits:
+            after += places[at:a] + [(places[a][0], places[b - 1][1])] * len(new)
+            at = b
+        places = after + places[at:]
+        tape.rewrite(edits)
+        assert len(tape.text) == len(places)
+        for i in range(len(places)):
+            for j in range(i, len(places)):
+                assert tape.source(i, j + 1) == (places[i][0], places[j][1])
+
+
+def brute_spelled(text):
+    """Runs of spelled digits, found word by word from every place."""
+    words = [m for m in re.finditer(r"\w+", text)]
+    good = [m[0].lower() in pii.SPELLED or m[0].lower() == "plus" for m in words]
+    out, k = text, 0
+    spans = []
+    while k < len(words):
+        j = k
+        while j < len(words) and good[j] and (j == k or re.fullmatch(r"[\s,-]+", text[words[j - 1].end() : words[j].start()])):
+            j += 1
+        if sum(w[0].lower() != "plus" for w in words[k:j]) >= pii.LEAST_SPELLED:
+            spans.append((words[k].start(), words[j - 1].end(), "".join("+" if w[0].lower() == "plus" else pii.SPELLED[w[0].lower()] for w in words[k:j])))
+        k = max(j, k + 1)
+    for a, b, new in reversed(spans):
+        out = out[:a] + new + out[b:]
+    return out
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["one", "TWO", "plus", "drei", "x", "7", "one_", " ", " ", ", ", "-", ".", "é"]), max_size=25))
+def test_spelled_digits_against_words_from_every_place(parts):
+    text = "".join(parts)
+    tape = pii.Tape(text)
+    tape.rewrite(pii._spelled(text))
+    assert tape.text == brute_spelled(text)
+
+
 def test_redaction_keeps_the_rest():
     text = "to a@b.de or x [at] y [dot] org at 1.2.3.4"
     assert pii.redact_text(text, pii.detect(text)[1]) == "to <email> or <email> at <ip>"
