@@ -1,30 +1,35 @@
 """Substring dedup: paragraphs that recur, exactly or nearly, within and across documents.
 
-A paragraph is a line of a text with at least ``MIN_WORDS`` words. Its set of five-word shingles gives a fingerprint and
-``BANDS`` hashes, each over ``ROWS`` MinHash values: with 20 bands of 4 rows, two paragraphs of similarity 0.8 share a band
-with probability 0.99997. Paragraphs of equal sets form one class and only classes are compared. Classes that collide in
-a band get a star of edges; connected components of the stars are candidate groups, in which exact Jaccard similarity is
-verified on whole paragraphs by the search of :mod:`tessel.llm.near_join` (leaders, bounded blocks, no pairs within a
+Lines. A paragraph is a line of a text with at least ``MIN_WORDS`` words. Its set of five-word shingles gives a fingerprint
+and ``BANDS`` hashes, each over ``ROWS`` MinHash values: with 20 bands of 4 rows, two paragraphs of similarity 0.8 share a
+band with probability 0.99997. Paragraphs of equal sets form one class and only classes are compared. Classes that collide
+in a band get a star of edges; connected components of the stars are candidate groups, in which exact Jaccard similarity
+is verified on whole paragraphs by the search of :mod:`tessel.llm.near_join` (leaders, bounded blocks, no pairs within a
 group), and verified links are clustered by components. The first occurrence of a cluster stays, all others go.
 
-Only candidates' texts are read a second time, one occurrence of each class. Nothing of the corpus reaches the driver.
+Passages. What recurs inside a longer line, or over the edges of lines, is in no such paragraph. So a text, line breaks
+counting as white space, is also cut into paragraphs by its content alone, wherever its lines end:
 
-Passages are what recurs elsewhere than in whole lines: inside a longer line, over the edges of lines, or in lines of
-fewer words. Every run of ``PASSAGE`` words that occurs twice belongs to one, line breaks counting as white space:
+1. A MinHash slides over the text: of every run of ``PASSAGE`` words, the ``SHINGLE``-word shingle of least hash is its
+   anchor. Neighbouring runs mostly share theirs, so an anchor comes every seven words or so. A content paragraph reaches
+   from an anchor to the end of the next one, 13 to 26 words. An equal run of words has equal ones, whatever is around it.
+2. Content paragraphs are equal if their words are (64-bit hashes of all words). Those that occur elsewhere than in
+   overlapping places of one document recur; all but the first place go.
+3. Recurring paragraphs that follow one another in a text share an anchor. Their chains of ``PASSAGE`` words or more are
+   passages: as every paragraph of a chain recurs, so does what lies over the joints. Shorter chains, such as a common
+   short line, are left alone.
 
-1. Of every run, the 12-word window of least hash is its anchor. Equal runs have equal anchors, so a run that recurs has
-   one that does; neighbouring runs mostly share theirs, so an anchor comes every seven words or so.
-2. An anchor stands for all runs that have it, which follow one another. Where all anchors of a hash stand for equal
-   runs, one row of each decides; of others, as at the edges of passages, every run is compared. Only texts with recurring
-   anchors are read again.
-3. Neighbouring recurring runs of a text whose first occurrences are in one document make one passage.
+Every recurring run of 2 * PASSAGE + 1 = 51 words thus yields a passage of at least 25 words: its first anchor starts
+within 14 words of its beginning and its last one ends within 14 of its end. Of shorter runs many are found. A passage's
+span may begin and end up to 13 words inside the run. A changed word parts a passage in two, each found if long enough.
 
-A run goes unless it is, or overlaps, its first occurrence by document and place. Runs are compared exactly, by 64-bit
-hashes: a passage with a changed word is found where ``PASSAGE`` words to one side of the change are equal.
+How it scales: nothing of the corpus reaches the driver. Minima and maxima are combined before they are shuffled, and rows
+of a common paragraph meet them in a join that adaptive execution can split; a band that many paragraphs of a slice of rows
+have makes one row a slice. Only texts with candidates are read again, once each.
 
 Defined cases: null and blank texts and shorter lines have no paragraph; a paragraph is as long as its line; equal lines
-of one document cluster too; rows of equal id count as one document, so equal rows yield equal occurrences; an empty
-table gives an empty result; extra columns do no harm.
+of one document cluster too; rows of equal id count as one document, so equal rows yield equal occurrences; null ids are
+one document; an empty table gives an empty result; extra columns do no harm. Ids must be integers or castable to them.
 """
 
 from __future__ import annotations
@@ -36,13 +41,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessel.llm import batches, features, near_join
-from tessel.session import checkpoint
+from tessel.session import checkpoint, release
 from tessel.sources.tables import table
 
 MIN_WORDS = 25
 BANDS, ROWS = 20, 4
 RULE = near_join.Rule(words=5, num=4, den=5)
 PASSAGE = 25
+SHINGLE = 12
 
 _rng = np.random.default_rng(11)
 _SCALE = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -78,7 +84,7 @@ def minhash_bands(grams: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
 
 def occurrences_slice(texts: pa.Array, min_words: int, with_bands: bool = False) -> dict[str, np.ndarray]:
-    """The paragraphs of a slice: row, number, span in code points, words, set size, fingerprint, and bands if wanted."""
+    """The paragraphs of a slice: row, number, span in code points, words, set size, node, and bands if wanted."""
     raw, offsets = batches.flat(texts)
     starts, ends, doc, number = _lines(raw, offsets)
     w_start, w_end, _ = batches.words(raw, offsets)
@@ -88,245 +94,229 @@ def occurrences_slice(texts: pa.Array, min_words: int, with_bands: bool = False)
     points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     base = points[offsets[:-1]][doc[kept]]
     out = {"row": doc[kept], "paragraph": number[kept], "start": points[starts[kept]] - base, "end": points[ends[kept]] - base, "n_words": count[kept]}
-    lower = near_join._LOWER[raw]
-    _, h = features.word_hashes(lower, w_start, w_end)
+    out |= {"n": np.zeros(0, np.int64), "node": np.zeros(0, np.int64), "bands": np.zeros((0, BANDS), np.uint64)}
+    if not len(kept):
+        return out
+    _, h = features.word_hashes(near_join._LOWER[raw], w_start, w_end)
     first = (np.cumsum(count) - count)[kept]
     size = len(h) - RULE.words + 1
-    sets: list[np.ndarray] = []
-    bands = np.zeros((0, BANDS), np.uint64)
-    if len(kept):
-        grams = h[:size].copy()
-        for k in range(1, RULE.words):
-            grams = features.mix(grams * np.uint64(0x9E3779B97F4A7C15) + h[k : size + k])
-        lengths = count[kept] - RULE.words + 1
-        own = grams[batches.ragged(first, lengths)]
-        begin = np.cumsum(lengths) - lengths
-        bands = minhash_bands(own, begin) if with_bands else bands
-        sets = [np.unique(own[a : a + n]) for a, n in zip(begin, lengths, strict=True)]
-    out["n"] = np.array([len(s) for s in sets], np.int64)
-    out["print"] = [near_join.fingerprint(s) for s in sets]
-    out["bands"] = bands
+    grams = h[:size].copy()
+    for k in range(1, RULE.words):
+        grams = features.mix(grams * _BASE + h[k : size + k])
+    lengths = count[kept] - RULE.words + 1
+    own = grams[batches.ragged(first, lengths)]
+    owner = np.repeat(np.arange(len(kept)), lengths)
+    order = np.lexsort((own, owner))
+    held, of = own[order], owner[order]
+    distinct = np.concatenate([[True], (held[1:] != held[:-1]) | (of[1:] != of[:-1])])
+    held, of = held[distinct], of[distinct]
+    out["n"] = np.bincount(of, minlength=len(kept))
+    # As near_join.fingerprint does, of which it is the first half.
+    out["node"] = np.add.reduceat(features.mix(held), np.searchsorted(of, np.arange(len(kept)))).view(np.int64)
+    if with_bands:
+        out["bands"] = minhash_bands(own, np.cumsum(lengths) - lengths)
     return out
 
 
-def _nodes(prints: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(p[:8] for p in prints), np.int64)
+def _own(key: str, text: str):
+    return F.xxhash64(F.col(key).cast("bigint"), F.col(text))
 
 
 def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, paragraph, start, end, n_words, n, print, node) of every paragraph; node is the print's first 64 bits."""
+    """(own, doc, paragraph, start, end, n_words, n, node) of every paragraph; own is a hash of id and text, node one of its
+    set of shingles."""
 
     def run(found):
         for batch in found:
             for part in batches.slices(batch, "text"):
                 got = occurrences_slice(part.column("text"), min_words)
-                numbers = [pa.array(np.asarray(got[c], np.int64)) for c in ("paragraph", "start", "end", "n_words", "n")]
-                columns = [part.column("doc").take(pa.array(got["row"])), *numbers, pa.array(got["print"], pa.binary()), pa.array(_nodes(got["print"]))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "paragraph", "start", "end", "n_words", "n", "print", "node"])
+                numbers = [pa.array(np.asarray(got[c], np.int64)) for c in ("paragraph", "start", "end", "n_words", "n", "node")]
+                columns = [*(part.column(c).take(pa.array(got["row"])) for c in ("own", "doc")), *numbers]
+                yield pa.RecordBatch.from_arrays(columns, names=["own", "doc", "paragraph", "start", "end", "n_words", "n", "node"])
 
-    chosen = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "doc bigint, paragraph bigint, start bigint, end bigint, n_words bigint, n bigint, print binary, node bigint")
+    chosen = docs.select(_own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    return chosen.mapInArrow(run, "own bigint, doc bigint, paragraph bigint, start bigint, end bigint, n_words bigint, n bigint, node bigint")
+
+
+def band_rows(nodes: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, key) rows of a slice's paragraphs. Of those that share a band the least gives a row with that band as key;
+    each other one is joined to it by two rows with a key of their own, once for all bands they share."""
+    distinct, first = np.unique(nodes, return_index=True)
+    flat = bands[first].ravel()
+    order = np.argsort(flat, kind="stable")
+    owner = order // BANDS
+    sign = flat[order]
+    head = np.concatenate([[True], sign[1:] != sign[:-1]])[: len(sign)]
+    least = owner[head][np.cumsum(head) - 1] if len(sign) else owner
+    pairs = np.unique(np.stack([owner[~head], least[~head]]), axis=1)
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    one, other = distinct[pairs[0]], distinct[pairs[1]]
+    key = features.mix(features.mix(one.view(np.uint64)) * _BASE + other.view(np.uint64))
+    return np.concatenate([distinct[owner[head]], one, other]), np.concatenate([sign[head], key, key]).view(np.int64)
 
 
 def banded(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(node, bands) of the distinct paragraphs of each slice of rows, so that a common one is banded about once a slice."""
+    """(node, key) of the paragraphs of each slice of rows: :func:`band_rows`."""
 
     def run(found):
         for batch in found:
             for part in batches.slices(batch, "text"):
                 got = occurrences_slice(part.column("text"), min_words, with_bands=True)
-                nodes, first = np.unique(_nodes(got["print"]), return_index=True)
-                flat = pa.array(got["bands"][first].view(np.int64).ravel())
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, BANDS, dtype=np.int32)), flat)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), bands], names=["node", "bands"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in band_rows(got["node"], got["bands"])], names=["node", "key"])
+
+    return docs.select(F.col(text).alias("text")).mapInArrow(run, "node bigint, key bigint")
+
+
+def _signs(texts: DataFrame) -> DataFrame:
+    """Bands of paragraphs (id, text) in the form that near_join.links takes."""
+
+    def run(found):
+        for batch in found:
+            for part in batches.slices(batch, "text"):
+                got = occurrences_slice(part.column("text"), 0, with_bands=True)
+                nodes = part.column("id").take(pa.array(got["row"]))
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(np.repeat(np.arange(len(nodes)), BANDS))), pa.array(got["bands"].ravel().view(np.int64))], names=["node", "sign"])
+
+    found = texts.select("id", "text").mapInArrow(run, "node bigint, sign bigint")
+    return found.select("node", F.lit(0).alias("class"), F.lit(1).alias("need"), "sign").distinct()
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "node bigint, bands array<bigint>")
+
+def _paragraph_texts(near: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text) of the paragraph (doc, paragraph, own) that each row (id, first) of ``near`` names. A document's text is
+    carried once for all of them."""
+
+    def run(found):
+        for batch in found:
+            for part in batches.slices(batch, "text"):
+                ids, lines = [], []
+                for whole, wanted in zip(part.column("text").to_pylist(), part.column("wanted").to_pylist(), strict=True):
+                    own = whole.split("\n")
+                    ids += [w["id"] for w in wanted]
+                    lines += [own[w["paragraph"]] for w in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["id", "text"])
+
+    wanted = near.groupBy(F.col("first.own").alias("w_own")).agg(F.collect_list(F.struct("id", F.col("first.paragraph").alias("paragraph"))).alias("wanted"))
+    joined = docs.select(_own(key, text).alias("own"), F.col(text).alias("text")).join(wanted, F.col("own") == F.col("w_own")).select("text", "wanted")
+    return joined.mapInArrow(run, "id bigint, text string").dropDuplicates(["id"])
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, block_docs: int = near_join.BLOCK_DOCS) -> DataFrame:
-    """(doc, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, removed) of every paragraph that recurs.
+    """(own, doc, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, removed) of every line that recurs.
 
     (cluster_doc, cluster_paragraph) is the cluster's first occurrence, the one that stays.
     """
     found = checkpoint(occurrences(docs, key, text, min_words))
-    first = F.min(F.struct("doc", "paragraph")).alias("first")
-    narrow = checkpoint(found.groupBy("node").agg(first, F.count("*").alias("rows"), F.min("print").alias("print"), F.max("n").alias("n")))
+    first = F.min(F.struct("doc", "paragraph", "own")).alias("first")
+    narrow = checkpoint(found.groupBy("node").agg(first, F.count("*").alias("rows"), F.max("n").alias("n")))
     # Bands are made in a pass of their own: reading the texts twice costs less than keeping all bands on disk.
-    keyed = banded(docs, text, min_words).select("node", F.explode("bands").alias("band"))
-    groups = checkpoint(near_join.groups_of(near_join.shared(keyed, "band")).withColumnRenamed("id", "g_id"))
-    near = checkpoint(narrow.join(groups, F.col("node") == F.col("g_id")).select(F.col("node").alias("id"), "n", "print", F.col("component").alias("comp"), "first"))
-    source = docs.select(F.col(key).cast("bigint").alias("t_doc"), F.col(text).alias("whole"))
-    at = F.col("first.paragraph").cast("int")
-    texts = near.join(source, F.col("first.doc").eqNullSafe(F.col("t_doc"))).select("id", F.get(F.split("whole", "\n", -1), at).alias("text")).filter("text IS NOT NULL")
-    labels = near_join.links(near.drop("first"), texts, RULE, block_docs).select(F.col("id").alias("l_id"), "label")
+    least = F.min("node").over(Window.partitionBy("key"))
+    stars = checkpoint(banded(docs, text, min_words).withColumn("least", least).filter("node != least").select("node", "least").distinct())
+    groups = near_join.groups_of(stars).select(F.col("id").alias("g_id"), F.col("component").alias("comp"))
+    near = checkpoint(narrow.join(groups, F.col("node") == F.col("g_id")).select(F.col("node").alias("id"), "n", "comp", "first"))
+    texts = checkpoint(_paragraph_texts(near, docs, key, text))
+    labels = checkpoint(near_join.links(near.drop("first"), texts, _signs(texts), RULE, block_docs).select(F.col("id").alias("l_id"), "label"))
+    release(stars, near, texts)
     named = narrow.join(labels, F.col("node") == F.col("l_id"), "left").withColumn("label", F.coalesce("label", "node"))
-    sums = named.groupBy("label").agg(F.sum("rows").alias("total"), F.min("first").alias("origin")).filter("total > 1").withColumnRenamed("label", "s_label")
+    sums = named.groupBy(F.col("label").alias("s_label")).agg(F.sum("rows").alias("total"), F.min("first").alias("origin")).filter("total > 1")
     members = named.join(sums, F.col("label") == F.col("s_label")).select(F.col("node").alias("m_node"), "origin")
-    rows = found.drop("print", "n").join(members, F.col("node") == F.col("m_node"))
+    rows = found.drop("n").join(members, F.col("node") == F.col("m_node"))
     removed = ~(F.col("doc").eqNullSafe(F.col("origin.doc")) & (F.col("paragraph") == F.col("origin.paragraph")))
-    return rows.select("doc", "paragraph", "start", "end", "n_words", F.col("origin.doc").alias("cluster_doc"), F.col("origin.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
+    return rows.select("own", "doc", "paragraph", "start", "end", "n_words", F.col("origin.doc").alias("cluster_doc"), F.col("origin.paragraph").alias("cluster_paragraph"), removed.alias("removed"))
 
 
 def _runs(h: np.ndarray, words: int) -> np.ndarray:
     """A hash of every run of ``words`` word hashes, by prefix sums."""
-    if len(h) < words:
-        return np.zeros(0, np.uint64)
-    powers, back = np.full(len(h), _BASE), np.full(len(h), _INVERSE)
-    powers[:1] = back[:1] = 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers))])
-    return features.mix((sums[words:] - sums[:-words]) * np.cumprod(back)[: len(h) - words + 1])
+    at = np.arange(max(0, len(h) - words + 1))
+    return _span_hashes(h, at, at + words)
+
+
+def _span_hashes(h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of the words begin to end (exclusive) of each span, the same wherever it stands."""
+    powers, back = np.full(len(h) + 1, _BASE), np.full(len(h) + 1, _INVERSE)
+    powers[0] = back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * np.cumprod(powers)[: len(h)])])
+    return features.mix((sums[end] - sums[begin]) * np.cumprod(back)[begin])
+
+
+_CONTENT = ("row", "pos", "next", "line", "start", "cut", "stop", "unit")
 
 
-def _hashed(texts: pa.Array, words: int):
-    """(bytes, offsets, word starts, word ends, word hashes, each word's row, each row's first word, whole) of a slice;
-    whole tells of each word whether a run of ``words`` words from it on is in one text."""
+def content_paragraphs(texts: pa.Array, words: int = PASSAGE, shingle: int = SHINGLE) -> dict[str, np.ndarray]:
+    """The content paragraphs of a slice: row, the word numbers pos of its anchor and next of the one it ends with, the
+    line it begins in, its start and stop in code points, cut, the end of the last word before the next anchor, and unit,
+    the hash of its words. A run's anchor is its last shingle of least hash."""
     raw, offsets = batches.flat(texts)
     starts, ends, doc = batches.words(raw, offsets)
     _, h = features.word_hashes(near_join._LOWER[raw], starts, ends)
-    whole = np.zeros(len(h), bool)
-    if (size := len(h) - words + 1) > 0:
-        whole[:size] = doc[:size] == doc[words - 1 :]
-    return raw, offsets, starts, ends, h, doc, np.searchsorted(doc, np.arange(len(offsets) - 1)), whole
-
-
-def anchors_slice(texts: pa.Array, words: int) -> dict[str, np.ndarray]:
-    """Of every anchor: its row, its hash, the number and line of its first run, how many runs it has, the hash of all
-    their words, and where its first run starts in the slice. A run's anchor is its last window of least hash."""
-    raw, offsets, starts, _, h, doc, first, whole = _hashed(texts, words)
-    size = words // 2
-    grams, runs = _runs(h, size), np.flatnonzero(whole)
+    size, wide = len(h) - words + 1, words - shingle + 1
+    runs = np.flatnonzero(doc[: max(0, size)] == doc[words - 1 :][: max(0, size)])
     if not len(runs):
-        return dict.fromkeys(("row", "pos", "line", "n", "sign", "context", "at"), np.zeros(0, np.int64))
-    wide = words - size + 1
-    least = np.lib.stride_tricks.sliding_window_view(grams, wide)[:, ::-1].argmin(axis=1)
-    at = runs + wide - 1 - least[runs]
-    # Runs of one anchor follow one another.
-    begin = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    n = np.diff(np.concatenate([begin, [len(runs)]]))
-    head, anchor = runs[begin], at[begin]
-    all_runs = _runs(h, words)
-    mixed = features.mix(all_runs[head] * _BASE + all_runs[head + n - 1])
-    context = features.mix(mixed * _BASE + (((anchor - head) << 20) + n).astype(np.uint64))
+        return dict.fromkeys(_CONTENT, np.zeros(0, np.int64))
+    least = np.lib.stride_tricks.sliding_window_view(_runs(h, shingle), wide)[:, ::-1].argmin(axis=1)
+    # Neighbouring runs of one text have one anchor or ascending ones.
+    at = np.unique(runs + wide - 1 - least[runs])
+    here, after = at[:-1], at[1:]
+    inside = doc[here] == doc[after]
+    here, after = here[inside], after[inside]
+    row = doc[here]
+    first = np.searchsorted(doc, np.arange(len(offsets) - 1))[row]
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
     breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-    row = doc[head]
-    return {"row": row, "pos": head - first[row], "line": breaks[starts[head]] - breaks[offsets[row]], "n": n, "sign": grams[anchor].view(np.int64), "context": context.view(np.int64), "at": head}
-
-
-def _own(key: str, text: str):
-    return F.xxhash64(F.col(key).cast("bigint"), F.col(text))
-
+    base = offsets[row]
+    places = (here - first, after - first, breaks[starts[here]] - breaks[base], points[starts[here]] - points[base], points[ends[after - 1]] - points[base], points[ends[after + shingle - 1]] - points[base])
+    return dict(zip(_CONTENT, (row, *places, _span_hashes(h, here, after + shingle).view(np.int64)), strict=True))
 
-def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE) -> DataFrame:
-    """(sign, context, own, doc, pos, line) of every anchor; own is a hash of id and text, pos and line those of its first
-    run. Anchors of equal context have equal runs."""
 
-    def run(found):
-        for batch in found:
-            for part in batches.slices(batch, "text"):
-                got = anchors_slice(part.column("text"), words)
-                taken = [part.column(c).take(pa.array(got["row"])) for c in ("own", "doc")]
-                yield pa.RecordBatch.from_arrays([pa.array(got["sign"]), pa.array(got["context"]), *taken, *[pa.array(got[c].astype(np.int32)) for c in ("pos", "line")]], names=["sign", "context", "own", "doc", "pos", "line"])
-
-    chosen = docs.select(_own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "sign bigint, context bigint, own bigint, doc bigint, pos int, line int")
-
-
-_PIECES = "sign bigint, row bigint, own bigint, doc bigint, pos int, last int, line int, start int, stop int, f_doc bigint, f_line int, removed boolean"
-
-
-def pieces_of(rows: DataFrame, words: int) -> DataFrame:
-    """Pieces of rows (row, own, doc, text, at): neighbouring runs from number pos to last, with their span.
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE, shingle: int = SHINGLE) -> DataFrame:
+    """(own, doc, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, removed) of every passage that recurs.
 
-    ``at`` is an array of (pos, f_doc, f_line, removed) of anchors. Their runs form one piece; where removed is null,
-    every run is a piece of its own, with its hash as sign.
+    own is a hash of id and text; paragraph is the line it begins in; (cluster_doc, cluster_paragraph) is where its first
+    content paragraph occurs first. A passage of which a part stays and a part goes makes a row for each.
     """
 
     def run(found):
         for batch in found:
             for part in batches.slices(batch, "text"):
-                raw, offsets, starts, ends, h, doc, first, _ = _hashed(part.column("text"), words)
-                got = anchors_slice(part.column("text"), words)
-                lists = part.column("at")
-                flat = lists.flatten()
-                owner = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                wanted = first[owner] + flat.field("pos").to_numpy(zero_copy_only=False)
-                place = np.searchsorted(got["at"], wanted)
-                n, removed = got["n"][place], flat.field("removed")
-                single = removed.is_null().to_numpy(zero_copy_only=False)
-                # One piece for each anchor, or as many as it has runs.
-                times = np.where(single, n, 1)
-                which = np.repeat(np.arange(len(wanted)), times)
-                head = wanted[which] + np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                tail = np.where(single[which], head, head + n[which] - 1)
-                points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-                breaks = np.concatenate([[0], np.cumsum(raw == 10)])
-                row = doc[head]
-                base = offsets[row]
-                sign = pa.array(_runs(h, words)[head].view(np.int64), mask=~single[which])
-                numbers = (head - first[row], tail - first[row], breaks[starts[head]] - breaks[base], points[starts[head]] - points[base], points[ends[tail + words - 1]] - points[base])
-                taken = [part.column(c).take(pa.array(row)) for c in ("row", "own", "doc")]
-                carried = [flat.field(c).take(pa.array(which)) for c in ("f_doc", "f_line", "removed")]
-                yield pa.RecordBatch.from_arrays([sign, *taken, *[pa.array(x.astype(np.int32)) for x in numbers], *carried], names=["sign", "row", "own", "doc", "pos", "last", "line", "start", "stop", "f_doc", "f_line", "removed"])
-
-    return rows.select("row", "own", "doc", "text", "at").mapInArrow(run, _PIECES)
-
-
-def _met(rows: DataFrame, words: int) -> DataFrame:
-    """Rows (sign, doc, pos, line) whose sign recurs, not only in overlapping places of one document, with ``first``, its
-    first place, and ``gone``, whether a row is neither there nor overlaps it."""
-    same = Window.partitionBy("sign")
-    place = F.struct("doc", "pos", "line")
-    met = rows.withColumns({"first": F.min(place).over(same), "most": F.max(place).over(same)})
-    met = met.filter(~F.col("first.doc").eqNullSafe(F.col("most.doc")) | (F.col("most.pos") - F.col("first.pos") >= words))
-    return met.drop("most").withColumn("gone", ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") - F.col("first.pos") < words)))
-
-
-def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = PASSAGE) -> DataFrame:
-    """(own, doc, paragraph, start, end, n_words, cluster_doc, cluster_paragraph, removed) of every passage that recurs.
-
-    own is a hash of id and text; paragraph is the line it begins in; (cluster_doc, cluster_paragraph) is where its first
-    run occurs first.
-    """
-    same = Window.partitionBy("sign")
-    place = F.struct("own", "pos")
-    contexts = {"least": F.min(place).over(same), "most": F.max(place).over(same), "equal": F.min("context").over(same) == F.max("context").over(same)}
-    marks = checkpoint(anchors(docs, key, text, words).withColumns(contexts).filter("least != most").drop("least", "most", "context"))
-    # Where all anchors of a hash have equal runs, the first of them decides; the runs of others are compared one by one.
-    item = lambda doc, line, gone: F.struct("pos", doc.cast("bigint").alias("f_doc"), line.cast("int").alias("f_line"), gone.cast("boolean").alias("removed")).alias("item")
-    equal = _met(marks.filter("equal"), words).select("own", item(F.col("first.doc"), F.col("first.line"), F.col("gone")))
-    other = marks.filter("NOT equal").select("own", item(F.lit(None), F.lit(None), F.lit(None)))
-    wanted = checkpoint(equal.union(other).groupBy(F.col("own").alias("w_own")).agg(F.array_sort(F.collect_set("item")).alias("at")))
-    source = docs.select(_own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    joined = source.join(wanted, F.col("own") == F.col("w_own")).select(F.monotonically_increasing_id().alias("row"), "own", "doc", "text", "at")
-    pieces = checkpoint(pieces_of(joined, words))
-    run = ["row", "own", "doc", "pos", "last", "line", "start", "stop"]
-    single = _met(pieces.filter("sign IS NOT NULL").drop("f_doc", "f_line", "removed"), words)
-    single = single.select(*run, F.col("first.doc").alias("f_doc"), F.col("first.line").alias("f_line"), F.col("gone").alias("removed"))
-    every = single.union(pieces.filter("sign IS NULL").select(*run, "f_doc", "f_line", "removed"))
-    group = ["row", "own", "doc", "f_doc", "removed"]
-    order = Window.partitionBy(*group).orderBy("pos")
-    fresh = every.withColumn("fresh", F.when(F.lag("last").over(order) + 1 == F.col("pos"), 0).otherwise(1))
-    island = fresh.withColumn("island", F.sum("fresh").over(order))
-    ends = island.groupBy(*group, "island").agg(F.min(F.struct("pos", "line", "start", "f_line")).alias("a"), F.max(F.struct("last", "stop")).alias("z"))
+                got = content_paragraphs(part.column("text"), words, shingle)
+                taken = [part.column(c).take(pa.array(got["row"])) for c in ("row", "own", "doc")]
+                yield pa.RecordBatch.from_arrays([*taken, *[pa.array(got[c].astype(np.int32)) for c in _CONTENT[1:-1]], pa.array(got["unit"])], names=["row", "own", "doc", *_CONTENT[1:]])
+
+    chosen = docs.select(F.monotonically_increasing_id().alias("row"), _own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
+    made = checkpoint(chosen.mapInArrow(run, "row bigint, own bigint, doc bigint, pos int, next int, line int, start int, cut int, stop int, unit bigint"))
+    ends = made.groupBy(F.col("unit").alias("e_unit")).agg(F.min(F.struct("doc", "pos", "line")).alias("first"), F.max("doc").alias("last_doc"), F.max("pos").alias("last_pos"))
+    ends = ends.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc")) | (F.col("last_pos") - F.col("first.pos") >= words))
+    gone = ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") - F.col("first.pos") < words))
+    met = made.join(ends, F.col("unit") == F.col("e_unit")).select("row", "own", "doc", "pos", "next", "line", "start", "cut", "stop", F.col("first.doc").alias("f_doc"), F.col("first.line").alias("f_line"), gone.alias("removed"))
+    kept = checkpoint(met)
+    release(made)
+    # Chains, and their parts that stay or go; each has its paragraphs up to their next anchors, the last one its end.
+    order = Window.partitionBy("row").orderBy("pos")
+    joint = F.lag("next").over(order).eqNullSafe(F.col("pos"))
+    turned = ~joint | (F.lag("removed").over(order) != F.col("removed"))
+    numbered = kept.withColumns({"fresh": (~joint).cast("int"), "turned": turned.cast("int"), "more": F.lead("pos").over(order).eqNullSafe(F.col("next"))})
+    numbered = numbered.withColumns({"chain": F.sum("fresh").over(order), "part": F.sum("turned").over(order)})
+    length = F.max(F.col("next") + shingle).over(Window.partitionBy("row", "chain")) - F.min("pos").over(Window.partitionBy("row", "chain"))
+    final = numbered.withColumn("length", length).filter(F.col("length") >= words)
+    tail = F.struct("pos", F.when(F.col("more"), F.col("next")).otherwise(F.col("next") + shingle).alias("last"), F.when(F.col("more"), F.col("cut")).otherwise(F.col("stop")).alias("stop"))
+    parts = final.groupBy("row", "own", "doc", "part", "removed").agg(F.min(F.struct("pos", "line", "start", "f_doc", "f_line")).alias("a"), F.max(tail).alias("z"))
     long = lambda c: F.col(c).cast("bigint")
-    n_words = (F.col("z.last") - F.col("a.pos") + words).cast("bigint")
-    return ends.select("own", "doc", long("a.line").alias("paragraph"), long("a.start").alias("start"), long("z.stop").alias("end"), n_words.alias("n_words"), F.col("f_doc").alias("cluster_doc"), long("a.f_line").alias("cluster_paragraph"), "removed")
+    n_words = (F.col("z.last") - F.col("a.pos")).cast("bigint")
+    return parts.select("own", "doc", long("a.line").alias("paragraph"), long("a.start").alias("start"), long("z.stop").alias("end"), n_words.alias("n_words"), F.col("a.f_doc").alias("cluster_doc"), long("a.f_line").alias("cluster_paragraph"), "removed")
 
 
 def recurring(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Whole lines that recur and passages that recur, in one table; a line that recurs exactly may be in both."""
-    # Passages come first and are kept, so that their shuffle files are gone before those of the lines are made.
-    found = checkpoint(passages(docs, key, text).drop("own"))
-    return clusters(docs, key, text).unionByName(found)
+    found = checkpoint(passages(docs, key, text))
+    return clusters(docs, key, text).unionByName(found).drop("own")
 
 
 def strip(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns kept, without the paragraphs and passages that go. The line breaks of paragraphs
     go with them, and so do those of lines of which a passage leaves only blanks."""
-    gone = clusters(docs, key, text, **options).filter("removed").groupBy(F.col("doc").alias("g_doc")).agg(F.collect_set("paragraph").alias("g_gone"))
+    gone = clusters(docs, key, text, **options).filter("removed").groupBy(F.col("own").alias("g_own")).agg(F.collect_set("paragraph").alias("g_gone"))
     cuts = passages(docs, key, text).filter("removed").groupBy(F.col("own").alias("c_own")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("c_cuts"))
     work = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _own(key, text).alias("own"))
-    joined = work.join(gone, F.col("row")[key].cast("bigint").eqNullSafe(F.col("g_doc")), "left").join(cuts, F.col("own") == F.col("c_own"), "left")
+    joined = work.join(gone, F.col("own") == F.col("g_own"), "left").join(cuts, F.col("own") == F.col("c_own"), "left")
     cut = F.when(F.col("g_gone").isNull() & F.col("c_cuts").isNull(), F.col("row")[text]).otherwise(_without(F.col("row")[text], F.col("g_gone"), F.col("c_cuts.start"), F.col("c_cuts.end")))
     return joined.select(*[(cut if c == text else F.col("row")[c]).alias(c) for c in docs.columns])
 
