@@ -67,6 +67,20 @@ def trigram_spans(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return offsets[:-1], np.maximum(np.diff(offsets) - 2, 0)
 
 
+def code_points(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, offsets) of a slice's UTF-8 bytes."""
+    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    return points, np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[offsets]
+
+
+def character_trigrams(points: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of the three code points from each position on; the last two positions have none."""
+    if len(points) < 3:
+        return np.zeros(0, np.int64)
+    code = points[:-2] * np.uint32(0x85EBCA6B) + points[1:-1] * np.uint32(0xC2B2AE35) + points[2:] * np.uint32(0x27D4EB2F)
+    return (((code ^ (code >> np.uint32(15))) * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
+
+
 def span_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Sum of values[start : start + length] of every span."""
     total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
@@ -76,13 +90,15 @@ def span_sums(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 def labelled(labels: DataFrame, docs: DataFrame, label: str, bound: int, key: str = "doc_id", text: str = "text", only=None) -> DataFrame:
     """(key, text, label) of at most ``bound`` labelled documents: those whose ids hash lowest, the same in every run.
 
-    A document that is labelled more than once counts as positive if any label is.
+    A document that is labelled more than once counts as positive if any label is; of several rows of one id the text of
+    least hash counts, so as many rows as ids are drawn.
     """
     rows = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     rows = rows.filter(only) if only is not None else rows
-    chosen = rows.groupBy(key).agg(F.max(label).alias("label")).orderBy(F.xxhash64(key), key).limit(bound)
+    chosen = rows.groupBy(F.col(key).alias("l_key")).agg(F.max(label).alias("label")).orderBy(F.xxhash64("l_key"), "l_key").limit(bound)
     # bound rows of two numbers: small enough to broadcast whatever the corpus.
-    return docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(chosen), key)
+    met = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), F.col("key") == F.col("l_key"))
+    return met.groupBy("key").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("label").alias("label"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -108,6 +124,3 @@ def platt(score: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def arrow_type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
-
-def floats(values: np.ndarray) -> pa.Array:
-    return pa.array(np.asarray(values, np.float64))

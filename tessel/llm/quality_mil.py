@@ -8,8 +8,9 @@ from document labels alone (Adam, cross-entropy); Platt scaling on a fifth of th
 turns the last layer's output into the score.
 
 Fitting uses at most ``FIT_ROWS`` labelled documents, those whose ids hash lowest among the rows allowed for learning
-(crc32 of the id as text, modulo 3, is not 1), each with up to ``FIT_PASSAGES`` passages spread over the whole text. Only
-that bounded sample reaches the driver. Scoring covers every passage of every document, in slices of a few MB; a document
+(crc32 of the id as text, modulo 3, is not 1), each with all of its passages. Of these documents, in that order, those
+are taken that together have up to ``FIT_PASSAGES`` passages; one that alone has more than an eighth of that is not
+drawn. Only that bounded sample reaches the driver. Scoring covers every passage of every document, in slices of a few MB; a document
 larger than a slice is a slice of its own.
 
 Defined cases: null scores like an empty text; without labels of both kinds every score is 1; repeated rows get equal
@@ -22,15 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessel.llm import batches, features
+from tessel.llm.source_mixing import word_count
 from tessel.sources.tables import table
 
 FIT_ROWS = 4000
-FIT_PASSAGES = 32
+#: Passages of all documents of the sample together; the driver holds two bytes a feature of each.
+FIT_PASSAGES = 100_000
 PASSAGE_WORDS = 64
 BYTE_BITS, WORD_BITS = 8, 7
 HIDDEN, GATE = 24, 12
@@ -141,28 +144,35 @@ def fit(bags: list[np.ndarray], label: np.ndarray, epochs: int = 24, size: int =
     return Model(p, slope / spread, offset)
 
 
-def collect_bags(sample: DataFrame, key: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """The bounded sample's bags and labels, on the driver, in the order of their ids."""
+def drawn(sample: DataFrame, passages: int = FIT_PASSAGES) -> DataFrame:
+    """Rows (key, text, label) of a bounded sample whose passages, added up in the order of the ids' hashes, stay within
+    ``passages``."""
+    sized = sample.withColumn("bags", F.greatest(F.lit(1), F.ceil(word_count("text") / PASSAGE_WORDS))).filter(F.col("bags") <= passages // 8)
+    upto = Window.orderBy(F.xxhash64("d_key"), "d_key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # FIT_ROWS rows of three numbers at most in this window.
+    counted = sized.select(F.col("key").alias("d_key"), "bags").withColumn("total", F.sum("bags").over(upto)).filter(F.col("total") <= passages)
+    return sample.join(F.broadcast(counted.select("d_key")), F.col("key") == F.col("d_key")).drop("d_key")
+
+
+def collect_bags(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
+    """The bags and labels of the rows (key, text, label) of a bounded sample, on the driver, in the order of their ids."""
 
     def run(found):
         for batch in found:
             for part in batches.slices(batch, "text"):
                 x, bag = passages(*batches.flat(part.column("text")))
-                out = []
-                for d in range(part.num_rows):
-                    own = np.flatnonzero(bag == d)
-                    own = own[np.unique(np.linspace(0, len(own) - 1, min(len(own), FIT_PASSAGES)).astype(int))]
-                    out.append(x[own].astype("<f2").tobytes())
+                edge = np.searchsorted(bag, np.arange(part.num_rows + 1))
+                out = [x[a:b].astype("<f2").tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(out, pa.binary())], names=["key", "label", "bag"])
 
-    chosen = sample.select(F.col(key).cast("string").alias("key"), F.col("label").cast("int").alias("label"), "text")
-    rows = sorted(chosen.mapInArrow(run, "key string, label int, bag binary").collect(), key=lambda r: (r.key, r.bag))
+    chosen = sample.select(F.col("key").cast("string").alias("key"), F.col("label").cast("int").alias("label"), "text")
+    rows = sorted(chosen.mapInArrow(run, "key string, label int, bag binary").collect(), key=lambda r: r.key)
     return [np.frombuffer(r.bag, "<f2").reshape(-1, SIZE).astype(np.float32) for r in rows], np.array([r.label for r in rows])
 
 
 def train(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = FIT_ROWS) -> Model | None:
     sample = features.labelled(labels, docs, label, bound, key, text, only=~held_out(key))
-    return fit(*collect_bags(sample, key))
+    return fit(*collect_bags(drawn(sample)))
 
 
 def score_slice(texts: pa.Array, model: Model | None) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Quality rules: exact counts with fixed limits, then a calibrated logistic regression on hashed n-grams.
 
-The model sees hashed word unigrams and bigrams and hashed byte trigrams (characters, for ASCII), each family as the
-frequencies of a text. It is fitted on at most ``FIT_ROWS`` labelled documents (those whose ids hash lowest), its scores
+The model sees hashed word unigrams and bigrams and hashed character trigrams (three code points, blanks included), each
+family as the frequencies of a text. It is fitted on at most ``FIT_ROWS`` labelled documents (those whose ids hash lowest), its scores
 are turned into probabilities by Platt scaling on a quarter of them that the weights have not seen, and every text is
 then scored whole, in Arrow batches, against the fixed threshold ``KEEP_AT``.
 
@@ -93,32 +93,33 @@ class Model:
     """Weights of the hashed families, intercept, and the calibration."""
 
     words: np.ndarray
-    bytes: np.ndarray
+    characters: np.ndarray
     intercept: float
     slope: float
     offset: float
 
 
 def _grams(raw, offsets, starts, ends, doc):
-    """(bucket, document) of the word family; buckets of the byte family by position."""
+    """(bucket, document) of the word family; buckets of the character family by position, and each document's first one."""
     ids, hashes = features.word_hashes(raw, starts, ends)
     pair, owner = features.bigrams(hashes, ids, doc)
-    return ids, np.concatenate([features.bucket(hashes, BITS), features.bucket(pair, BITS)]), np.concatenate([doc, owner]), features.trigrams(raw, BITS)
+    points, places = features.code_points(raw, offsets)
+    return ids, np.concatenate([features.bucket(hashes, BITS), features.bucket(pair, BITS)]), np.concatenate([doc, owner]), features.character_trigrams(points, BITS), places
 
 
-def probabilities(model: Model, n: int, offsets, gram, owner, tri) -> np.ndarray:
+def probabilities(model: Model, n: int, places, gram, owner, tri) -> np.ndarray:
     total = np.maximum(np.bincount(owner, minlength=n), 1)
     by_word = np.bincount(owner, weights=model.words[gram], minlength=n) / total
-    start, length = features.trigram_spans(offsets)
-    by_byte = features.span_sums(model.bytes[tri], np.minimum(start, len(tri)), np.minimum(length, len(tri) - np.minimum(start, len(tri)))) / np.maximum(length, 1)
-    return features.sigmoid(model.slope * (model.intercept + by_word + by_byte) + model.offset)
+    start, length = features.trigram_spans(places)
+    by_character = features.span_sums(model.characters[tri], np.minimum(start, len(tri)), np.minimum(length, len(tri) - np.minimum(start, len(tri)))) / np.maximum(length, 1)
+    return features.sigmoid(model.slope * (model.intercept + by_word + by_character) + model.offset)
 
 
 def _sparse(raw, offsets) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Each document's features: (index, frequency); byte features come after the word features."""
+    """Each document's features: (index, frequency); character features come after the word features."""
     starts, ends, doc = batches.words(raw, offsets)
-    _, gram, owner, tri = _grams(raw, offsets, starts, ends, doc)
-    begin, length = features.trigram_spans(offsets)
+    _, gram, owner, tri, places = _grams(raw, offsets, starts, ends, doc)
+    begin, length = features.trigram_spans(places)
     out = []
     for d in range(len(offsets) - 1):
         found = []
@@ -129,7 +130,7 @@ def _sparse(raw, offsets) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def collect_features(sample: DataFrame, key: str) -> list:
+def collect_features(sample: DataFrame) -> list:
     """(id, label, indices, values) of a bounded sample, on the driver."""
 
     def run(found):
@@ -139,7 +140,7 @@ def collect_features(sample: DataFrame, key: str) -> list:
                 columns = [pa.array([i.astype("<i4").tobytes() for i, _ in sparse], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in sparse], pa.binary())]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), *columns], names=["key", "label", "at", "share"])
 
-    chosen = sample.select(F.col(key).cast("string").alias("key"), F.col("label").cast("int").alias("label"), "text")
+    chosen = sample.select(F.col("key").cast("string").alias("key"), F.col("label").cast("int").alias("label"), "text")
     return chosen.mapInArrow(run, "key string, label int, at binary, share binary").collect()
 
 
@@ -181,7 +182,7 @@ def fit(rows: list, rounds: int = 120, ridge: float = 1e-4, rate: float = 0.5, s
 
 
 def train(labels: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", bound: int = FIT_ROWS) -> Model | None:
-    return fit(collect_features(features.labelled(labels, docs, label, bound, key, text), key))
+    return fit(collect_features(features.labelled(labels, docs, label, bound, key, text)))
 
 
 def judge_slice(texts: pa.Array, model: Model | None, keep_at: float = KEEP_AT) -> dict[str, np.ndarray]:
@@ -189,12 +190,12 @@ def judge_slice(texts: pa.Array, model: Model | None, keep_at: float = KEEP_AT)
     raw, offsets = batches.flat(texts)
     n = len(offsets) - 1
     starts, ends, doc = batches.words(raw, offsets)
-    ids, gram, owner, tri = _grams(raw, offsets, starts, ends, doc)
+    ids, gram, owner, tri, places = _grams(raw, offsets, starts, ends, doc)
     n_words = np.bincount(doc, minlength=n)
     repeat = repeated_words(ids, doc, n)
     solid = ~batches.BLANK[raw]
     failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PERCENT * n_words)
-    p = np.ones(n) if model is None else probabilities(model, n, offsets, gram, owner, tri)
+    p = np.ones(n) if model is None else probabilities(model, n, places, gram, owner, tri)
     return {
         "n_words": n_words, "word_chars": _per_document(solid & ((raw & 0xC0) != 0x80), offsets), "n_symbols": _per_document(_SYMBOL[raw], offsets),
         "n_dup_lines": duplicate_lines(raw, offsets), "n_repeat_words": repeat, "base_failed": failed, "kept": ~failed & (p >= keep_at), "probability": p,
