@@ -1,5 +1,8 @@
+import collections
 import hashlib
+import itertools
 import random
+import re
 
 import pytest
 
@@ -104,3 +107,109 @@ def test_long_chains_of_replies(spark):
     rows = [(5, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(40)]
     got = chat_quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
     assert all(r.thread_turn == 0 and r.depth == r.turn and r.position == r.turn + 1 for r in got)
+
+
+ATTRIBUTED = re.compile(r"(?i).*(wrote|writes|schrieb|a écrit|escribió) ?:[ \t]*")
+
+
+def brute_chat(rows):
+    """Links, threads and reply order of (conv, turn, role, text), message by message."""
+    level = lambda line: len(m[0].replace(" ", "").replace("\t", "")) if (m := re.match(r"([ \t]*>)+", line)) else 0
+    normal = lambda line: " ".join(re.sub(r"^([ \t]*>)+", "", line).lower().split())
+    split = lambda text: re.split("\r?\n", text or "")
+    wrote, own = {}, {}
+    for conv, turn, _, text in rows:
+        lines = split(text)
+        mine = [None if level(x) or (ATTRIBUTED.fullmatch(x) and i + 1 < len(lines) and level(lines[i + 1])) else x for i, x in enumerate(lines)]
+        own[text] = "\n".join(x for x in mine if x is not None).strip(" \n\r\t") if any(map(level, lines)) else text
+        clean = ["" if x is None else normal(x) for x in mine]
+        paragraphs = [" ".join(g) for solid, g in itertools.groupby(clean, bool) if solid]
+        for unit in {*clean, *paragraphs, " ".join(x for x in clean if x)} - {""}:
+            wrote.setdefault((conv, unit), set()).add(turn)
+    counts, firsts = {}, {}
+    for conv, turn, _, text in rows:
+        if conv is None or turn is None:
+            continue
+        runs = [(k, [normal(x) for x in g]) for k, g in itertools.groupby(split(text), level)]
+        quoted = linked = 0
+        for place, (k, lines) in enumerate(runs):
+            if not k:
+                continue
+            solid = [x for x in lines if x]
+            quoted += len(lines)
+            earlier = lambda unit: max((t for t in wrote.get((conv, unit), ()) if t is not None and t < turn), default=None)  # noqa: E731, B023
+            original = earlier(" ".join(solid)) if solid else None
+            if original is not None:
+                linked += len(solid)
+            else:
+                votes = collections.Counter(t for x in solid if (t := earlier(x)) is not None)
+                if votes:
+                    number, original = max((n, t) for t, n in votes.items())
+                    linked += number
+            if k == 1 and original is not None:
+                firsts.setdefault((conv, turn), set()).add((place, original))
+        counts[conv, turn, text] = quoted, linked
+    parent = {k: min(v)[1] for k, v in firsts.items()}
+    out = []
+    for conv, turn, role, text in rows:
+        thread, depth = turn, 0
+        while (conv, thread) in parent:
+            thread, depth = parent[conv, thread], depth + 1
+        out.append([conv, turn, role, parent.get((conv, turn)), thread, depth, *counts.get((conv, turn, text), (0, 0)), own[text]])
+    return sorted(map(str, out))
+
+
+def chats(seed, repeats):
+    """Random conversations that quote whole texts, paragraphs, wrapped passages and single lines, nested and made up."""
+    rng, rows = random.Random(seed), [(None, 1, "a", "> x"), (7, None, "a", "> x\ny"), (7, 1, "b", None), (7, 2, "b", "")]
+    stock = [" ".join(rng.choice(["alpha", "Beta", "gamma  delta", "é"]) for _ in range(rng.randrange(1, 4))) for _ in range(9)]
+    for conv in range(6):
+        texts = []
+        for turn in range(rng.randrange(2, 25)):
+            parts = []
+            for _ in range(rng.randrange(3)):
+                if not texts:
+                    break
+                kind, old = rng.randrange(5), rng.choice(texts).split("\n")
+                if kind == 0:
+                    old = old[rng.randrange(len(old)) :]
+                elif kind == 1:
+                    old = [" ".join(x.strip() for x in old if not x.startswith(">"))]
+                elif kind == 2:
+                    old = [rng.choice(old), "made up " + str(rng.random()), rng.choice(stock)]
+                parts += rng.choice([[], ["Ann wrote:"], ["On " + "x" * 300 + " Bob schrieb :"]]) + [rng.choice(["> ", ">", " > "]) + x for x in old] + rng.choice([[], [""]])
+            parts += [rng.choice([*stock, "", "own " + str(rng.randrange(30))]) for _ in range(rng.randrange(4))]
+            texts.append("\n".join(parts))
+            rows.append((conv, turn, rng.choice("ab"), texts[-1]))
+            if repeats and rng.random() < 0.2:
+                rows.append((conv, turn, "b", rng.choice([texts[-1], "> " + stock[0] + "\nand more"])))
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "repeats"), [(1, False), (2, False), (3, True), (4, True)])
+def test_quotes_against_a_brute_force_linker(spark, seed, repeats, monkeypatch):
+    monkeypatch.setattr(chat_quotes.link, "__defaults__", (4,))  # small blocks of turns
+    rows = chats(seed, repeats)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_quotes.reply_order(table).collect()
+    columns = ("conv_id", "turn", "role", "parent_turn", "thread_turn", "depth", "n_quoted", "n_linked", "text")
+    assert sorted(str([r[c] for c in columns]) for r in got) == brute_chat(rows)
+    assert any(r.depth > 2 for r in got) and any(0 < r.n_linked < r.n_quoted for r in got)
+    for conv in {r.conv_id for r in got}:
+        order = sorted((r for r in got if r.conv_id == conv), key=lambda r: r.position)
+        assert [r.position for r in order] == list(range(1, len(order) + 1))
+        keys = [(r.thread_turn is not None, r.thread_turn, r.turn is not None, r.turn) for r in order]
+        assert keys == sorted(keys, key=lambda k: tuple((x is not None, x) for x in k))
+
+
+def test_quotes_against_their_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    rows = chats(5, False)
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+        db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+        cursor = db.execute(chat_quotes.ORACLE_SQL)
+        names = [c[0] for c in cursor.description]
+        want = sorted(str(dict(zip(names, r, strict=True))) for r in cursor.fetchall())
+    got = chat_quotes.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).select(*names).collect()
+    assert sorted(str(r.asDict()) for r in got) == want
