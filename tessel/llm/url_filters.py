@@ -1,14 +1,16 @@
 """URL filters: allow and block rules in a trie over reversed host labels and path segments.
 
 A rule is ``host/path``. It fits its host and every subdomain when the url's path starts with the rule's path; of all
-rules that fit, the longest rule text wins (at equal length the one with the longer host). A url without any fitting
-rule gets the default verdict.
+rules that fit, the longest rule text wins (at equal length the one with the longer host). A rule that is listed under
+several verdicts counts once, as the greatest of them by code point, so ``block`` beats ``allow``. A url without any
+fitting rule gets the default verdict.
 
 Defined cases: a null url and one without ``://`` have an empty host and path and get the default verdict; an empty
 table gives an empty result; repeated rows are judged one by one; extra columns of the input do not matter.
 
 The trie is broadcast only while its rules stay under ``broadcast_bytes``. Beyond that the rules are kept as a table and
-joined by equality on (host suffix, path prefix): a url has as many of those pairs as labels times segments.
+joined by equality on (host suffix, path prefix): a distinct host and path has as many of those pairs as labels times
+segments times lengths that the last pieces of rules have. Both ways give the same verdicts.
 """
 
 from __future__ import annotations
@@ -31,25 +33,34 @@ RULES = (
 BROADCAST_BYTES = 16 << 20
 
 
+def distinct_rules(rules) -> dict[str, str]:
+    """The verdict of each rule text."""
+    found: dict[str, str] = {}
+    for verdict, rule in rules:
+        found[rule] = max(verdict, found.get(rule, verdict))
+    return found
+
+
 class HostPathTrie:
     """Reversed host labels lead to nodes; each node holds a second trie of whole path segments.
 
     A path rule ends inside a segment (``/en/`` ends with an empty one), so its last piece is kept as a prefix at the
-    node of the segments before it.
+    node of the segments before it, found by its length: a url's segment is cut to each length that any of them has.
     """
 
     def __init__(self, rules) -> None:
         self.root: dict = {"next": {}, "paths": None}
-        for verdict, rule in rules:
+        for rule, verdict in distinct_rules(rules).items():
             host, slash, rest = rule.partition("/")
             node = self.root
             for label in reversed(host.split(".")):
                 node = node["next"].setdefault(label, {"next": {}, "paths": None})
-            path = node["paths"] = node["paths"] or {"next": {}, "ends": {}}
+            path = node["paths"] = node["paths"] or {"next": {}, "ends": {}, "lengths": set()}
             *whole, last = (slash + rest).split("/")
             for segment in whole:
-                path = path["next"].setdefault(segment, {"next": {}, "ends": {}})
-            path["ends"].setdefault(last, (len(rule), len(host), rule, verdict))
+                path = path["next"].setdefault(segment, {"next": {}, "ends": {}, "lengths": set()})
+            path["ends"][last] = len(rule), len(host), rule, verdict
+            path["lengths"].add(len(last))
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest fitting rule, else None."""
@@ -62,8 +73,9 @@ class HostPathTrie:
             for segment in segments:
                 if step is None:
                     break
-                for end, found in step["ends"].items():
-                    if segment.startswith(end) and (best is None or found[:2] > best[:2]):
+                for length in step["lengths"]:
+                    found = step["ends"].get(segment[:length]) if length <= len(segment) else None
+                    if found and (best is None or found[:2] > best[:2]):
                         best = found
                 step = step["next"].get(segment)
         return best and best[2:]
@@ -98,24 +110,22 @@ def judge(df: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", de
 
 def _by_join(parsed: DataFrame, rules, key: str, default: str) -> DataFrame:
     """The same verdicts for rule lists that are too large to broadcast."""
-    spark = parsed.sparkSession
     rows = []
-    for verdict, rule in rules:
+    for rule, verdict in distinct_rules(rules).items():
         host, slash, rest = rule.partition("/")
         head, _, last = (slash + rest).rpartition("/")
         rows.append((host, head, (slash + rest).count("/"), last, rule, verdict, len(rule), len(host)))
-    known = spark.createDataFrame(rows, "r_host string, r_head string, r_depth int, r_last string, rule string, r_verdict string, r_len int, r_host_len int")
-    numbered = parsed.withColumn("row", F.monotonically_increasing_id())
+    known = parsed.sparkSession.createDataFrame(rows, "r_host string, r_head string, r_depth int, r_last string, rule string, r_verdict string, r_len int, r_host_len int")
     labels, pieces = F.split("host", r"\."), F.split("path", "/")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     heads = F.transform(F.sequence(F.lit(1), F.size(pieces)), lambda i: F.struct(F.array_join(F.slice(pieces, 1, i - 1), "/").alias("head"), (i - 1).alias("depth"), F.element_at(pieces, i).alias("piece")))
-    spread = numbered.select("row", F.explode(suffixes).alias("suffix"), heads.alias("heads")).select("row", "suffix", F.explode("heads").alias("h"))
-    best = (
-        spread.join(known, (F.col("suffix") == F.col("r_host")) & (F.col("h.head") == F.col("r_head")) & (F.col("h.depth") == F.col("r_depth")) & F.col("h.piece").startswith(F.col("r_last")))
-        .groupBy("row")
-        .agg(F.max(F.struct("r_len", "r_host_len", "rule", "r_verdict")).alias("best"))
-    )
-    joined = numbered.join(best, "row", "left")
+    lengths = F.array(*[F.lit(n) for n in sorted({len(r[3]) for r in rows})])
+    ends = F.transform(F.filter(lengths, lambda n: n <= F.length("h.piece")), lambda n: F.left(F.col("h.piece"), n))
+    spread = parsed.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("suffix"), heads.alias("heads"))
+    spread = spread.select("host", "path", "suffix", F.explode("heads").alias("h")).select("host", "path", "suffix", "h", F.explode(ends).alias("end"))
+    met = spread.join(known, (F.col("suffix") == F.col("r_host")) & (F.col("h.head") == F.col("r_head")) & (F.col("h.depth") == F.col("r_depth")) & (F.col("end") == F.col("r_last")))
+    best = met.groupBy(F.col("host").alias("b_host"), F.col("path").alias("b_path")).agg(F.max(F.struct("r_len", "r_host_len", "rule", "r_verdict")).alias("best"))
+    joined = parsed.join(best, (F.col("host") == F.col("b_host")) & (F.col("path") == F.col("b_path")), "left")
     return joined.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.r_verdict", F.lit(default)).alias("verdict"))
 
 

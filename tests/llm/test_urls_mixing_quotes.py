@@ -36,6 +36,23 @@ def test_url_rules(spark, limit):
     assert url_filters.judge(pages.limit(0), RULES, broadcast_bytes=limit).collect() == []
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_url_rules_under_both_verdicts(spark, limit):
+    """A rule that is listed twice has one verdict, whatever the order and the size of the list."""
+    rules = (("block", "a.com/x/"), ("allow", "a.com/x/"), ("allow", "b.com/y"), ("block", "b.com/y"), ("allow", "b.com/yy"))
+    urls = ["x://a.com/x/1", "x://b.com/y", "x://b.com/yy/", "x://b.com/yz", "x://c.a.com/x/1", "x://a.com/x/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(pages, rules, broadcast_bytes=limit).collect()}
+    assert got == {0: ("a.com/x/", "block"), 1: ("b.com/y", "block"), 2: ("b.com/yy", "allow"), 3: ("b.com/y", "block"), 4: ("a.com/x/", "block"), 5: ("a.com/x/", "block")}
+
+
+def test_many_path_rules_of_one_host():
+    trie = url_filters.HostPathTrie([("block", f"a.com/{i:06}") for i in range(100_000)])
+    assert trie.find("w.a.com", "/054321/x") == ("a.com/054321", "block") and trie.find("a.com", "/x") is None
+    *_, path = [trie.root] + [trie.root["next"]["com"]["next"]["a"]["paths"]["next"][""]]
+    assert path["lengths"] == {6}
+
+
 def targets(sizes, weights=(5, 2, 1), share=1.5, cap=2):
     """Water filling round by round."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
