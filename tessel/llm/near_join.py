@@ -361,23 +361,47 @@ def _by_runs(short: list[array], long: list[array], least: int) -> dict[int, int
     return dict(zip(merged[keep].tolist(), count[keep].tolist(), strict=True))
 
 
-class Index:
-    """Inverted lists of shingles over the documents put in, in ascending order."""
+def dense_tokens(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """Each set's elements that another set has as well, numbered from 0 on, and how many numbers there are. An element
+    that only one set has is in no intersection, so it needs no list."""
+    own = np.concatenate([np.zeros(0, np.uint64), *sets])
+    _, number, count = np.unique(own, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    keep, edge = count[number] > 1, np.cumsum([0, *map(len, sets)])
+    kept = place[number[keep]].astype(np.int32)
+    edge = np.concatenate([[0], np.cumsum(keep)])[edge]
+    return [kept[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)], int((count > 1).sum())
 
-    def __init__(self) -> None:
-        self.lists: dict[int, array] = {}
 
-    def add(self, document: int, tokens: list[int]) -> None:
-        for token in tokens:
-            if (own := self.lists.get(token)) is None:
+class Index:
+    """Inverted lists of elements over the documents put in, in ascending order."""
+
+    def __init__(self, elements: int) -> None:
+        self.lists: list = [None] * elements
+
+    @classmethod
+    def over(cls, tokens: list[np.ndarray], elements: int) -> Index:
+        """The index of all documents at once: its lists are slices of one array."""
+        made, flat = cls(elements), np.concatenate([np.zeros(0, np.int32), *tokens])
+        owner = np.repeat(np.arange(len(tokens), dtype=np.int32), [len(t) for t in tokens])[np.argsort(flat, kind="stable")]
+        edge, view = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=elements))]).tolist(), memoryview(owner)
+        made.lists = [view[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return made
+
+    def add(self, document: int, tokens: np.ndarray) -> None:
+        for token in tokens.tolist():
+            if (own := self.lists[token]) is None:
                 self.lists[token] = array("i", (document,))
             else:
                 own.append(document)
 
-    def search(self, tokens: list[int], num: int, den: int) -> dict[int, int]:
-        """Documents that may reach similarity num / den with the tokens, with the size of the intersection."""
-        least = -(-num * len(tokens) // den)
-        return t_occurrence([own for t in tokens if (own := self.lists.get(t)) is not None], max(1, least))
+    def search(self, tokens: np.ndarray, size: int, num: int, den: int) -> dict[int, int]:
+        """Documents that may reach similarity num / den with a set of ``size`` elements, with the size of the
+        intersection."""
+        least = max(1, -(-num * size // den))
+        if len(tokens) < least:
+            return {}
+        return t_occurrence([own for t in tokens.tolist() if (own := self.lists[t]) is not None], least)
 
 
 def solve(sets: list[np.ndarray], rule: Rule, seeds: list | None = None) -> tuple[list[int], list[bool]]:
@@ -399,11 +423,11 @@ def solve(sets: list[np.ndarray], rule: Rule, seeds: list | None = None) -> tupl
         first: dict = {}
         for i, s in enumerate(seeds):
             union(i, first.setdefault(s, i))
-    tokens = [s.tolist() for s in sets]
-    lead, leaders, index = list(range(n)), [], Index()
+    (tokens, elements), size = dense_tokens(sets), [len(s) for s in sets]
+    lead, leaders, index = list(range(n)), [], Index(elements)
     followed = set()
     for x in range(n):
-        hits = [y for y, both in index.search(tokens[x], rule.num, rule.den).items() if rule.linked(both, len(tokens[x]), len(tokens[y]))]
+        hits = [y for y, both in index.search(tokens[x], size[x], rule.num, rule.den).items() if rule.linked(both, size[x], size[y])]
         if hits:
             lead[x] = hits[0]
             followed.add(hits[0])
@@ -419,9 +443,9 @@ def solve(sets: list[np.ndarray], rule: Rule, seeds: list | None = None) -> tupl
     # lie within two gaps if one of them has no followers, and within three otherwise.
     gap, near = rule.den - rule.num, {x: [] for x in leaders}
     for x in leaders:
-        for y, both in index.search(tokens[x], max(1, rule.den - 3 * gap), rule.den).items():
+        for y, both in index.search(tokens[x], size[x], max(1, rule.den - 3 * gap), rule.den).items():
             gaps = (x in followed) + (y in followed) + 1
-            either = len(tokens[x]) + len(tokens[y]) - both
+            either = size[x] + size[y] - both
             if y < x and gaps > 1 and find(x) != find(y) and rule.den * both >= (rule.den - gaps * gap) * either:
                 near[x].append(y)
                 near[y].append(x)
@@ -429,12 +453,9 @@ def solve(sets: list[np.ndarray], rule: Rule, seeds: list | None = None) -> tupl
     for x in range(n):
         if is_leader[x] or all(find(y) == find(x) for y in near[lead[x]]):
             continue
-        if whole is None:
-            whole = Index()
-            for m in range(n):
-                whole.add(m, tokens[m])
-        for y, both in whole.search(tokens[x], rule.num, rule.den).items():
-            if rule.linked(both, len(tokens[x]), len(tokens[y])):
+        whole = whole or Index.over(tokens, elements)
+        for y, both in whole.search(tokens[x], size[x], rule.num, rule.den).items():
+            if rule.linked(both, size[x], size[y]):
                 union(x, y)
     return [find(x) for x in range(n)], is_leader
 

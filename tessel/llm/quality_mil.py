@@ -39,6 +39,8 @@ BYTE_BITS, WORD_BITS = 8, 7
 HIDDEN, GATE = 24, 12
 #: Frequencies are small; this brings them to the range in which the encoder learns.
 SCALE = 8.0
+#: Text bytes that are scored at once; features take some fifty times as much.
+SCORE_BYTES = 1 << 20
 SIZE = (1 << BYTE_BITS) + (1 << WORD_BITS)
 
 
@@ -190,7 +192,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
 
     def run(found):
         for batch in found:
-            for part in batches.slices(batch, text):
+            for part in batches.slices(batch, text, SCORE_BYTES):
                 got = score_slice(part.column(text), shared.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], names=[*part.schema.names, name])
 
