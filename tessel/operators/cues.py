@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,29 +51,66 @@ def prior_cue(boundaries: DataFrame, cues: DataFrame, group: list[str]) -> DataF
 def snap(segments: DataFrame, cues: DataFrame, group: list[str]) -> DataFrame:
     """(group, ord, source, start, stop, base) with ``snapped`` and ``cue``: cut after cut is moved to a prior cue.
 
-    Each boundary depends on how earlier ones were moved, so a group is folded in order inside the JVM; ``cues`` are
-    arrays by kind, one row a group.
+    Each boundary depends on how earlier ones were moved, so a group is folded in order, as one row of Arrow arrays; a
+    cue is found by bisection. ``cues`` are arrays by kind, one row a group. A null time ends the snapping of its group.
     """
     item = F.struct("ord", "source", "start", "stop", "base")
     rows = segments.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("rows")).join(cues, group, "left")
-    kind = "array<struct<ord:bigint,snapped:double,cue:string>>"
-
-    def latest(times: Column, boundary: Column) -> Column:
-        return F.array_max(F.filter(F.coalesce(times, F.array().cast("array<double>")), lambda x: (x <= boundary + EPSILON) & (boundary - x <= TOLERANCE)))
-
-    def step(state: Column, i: Column) -> Column:
-        row, after = F.get(F.col("rows"), i), F.get(F.col("rows"), i + 1)
-        natural = row["stop"] - row["start"]
-        boundary = state["line"] + natural
-        major = (row["source"] != after["source"]) | (F.abs(row["base"] - after["base"]) >= MAJOR_GAP)
-        found = {k: latest(F.col(f"{k}s"), boundary) for k in PRIORITY}
-        target = F.when(major, F.coalesce(*[found[k] for k in PRIORITY])).otherwise(found["beat"])
-        name = F.when(major & found["section"].isNotNull(), "section").when(major & found["phrase"].isNotNull(), "phrase").otherwise("beat")
-        moved = after.isNotNull() & target.isNotNull() & (target - state["line"] >= SNAPPED_MIN)
-        seconds = F.when(moved, target - state["line"]).otherwise(natural)
-        new = F.struct(row["ord"].alias("ord"), F.when(moved, row["start"] + seconds).otherwise(row["stop"]).alias("snapped"), F.when(moved, name).otherwise("").alias("cue"))
-        return F.struct((state["line"] + seconds).alias("line"), F.concat(state["out"], F.array(new)).alias("out"))
-
-    start = F.struct(F.lit(0.0).alias("line"), F.array().cast(kind).alias("out"))
-    folded = rows.select(*group, F.explode(F.aggregate(F.sequence(F.lit(0), F.size("rows") - 1), start, step)["out"]).alias("o"))
-    return segments.join(folded.select(*group, "o.ord", "o.snapped", "o.cue"), [*group, "ord"])
+
+    def run(found):
+        for batch in found:
+            for k in range(batch.num_rows):
+                one = batch.slice(k, 1)
+                own = one.column("rows").flatten()
+                cells = [own.field(n).to_pylist() for n in ("ord", "start", "stop")]
+                turn = _major(own.field("source"), own.field("base"))
+                ends, kinds = fold_cuts(*cells[1:], turn, {c: sorted(one.column(f"{c}s")[0].as_py() or ()) for c in PRIORITY})
+                keys = [one.column(g).take(pa.array(np.zeros(len(ends), np.int64))) for g in group]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(cells[0], pa.int64()), pa.array(ends, pa.float64()), pa.array(kinds, pa.string())], names=[*group, "ord", "snapped", "cue"])
+
+    kinds = ", ".join(f"`{g}` {segments.schema[g].dataType.simpleString()}" for g in group)
+    folded = rows.select(*group, "rows", *[f"{c}s" for c in PRIORITY]).mapInArrow(run, f"{kinds}, ord bigint, snapped double, cue string")
+    return segments.join(folded, [*group, "ord"])
+
+
+def _major(source: pa.Array, base: pa.Array) -> list[bool]:
+    """Whether the source changes after each segment but the last, or the base score by much."""
+    if len(source) < 2:
+        return []
+    gap = pc.greater_equal(pc.abs(pc.subtract(base[:-1], base[1:])), MAJOR_GAP)
+    return pc.fill_null(pc.or_kleene(pc.not_equal(source[:-1], source[1:]), gap), False).to_pylist()
+
+
+def fold_cuts(start: list, stop: list, major: list[bool], times: dict[str, list[float]]) -> tuple[list, list[str]]:
+    """(end, kind of cue) of each segment of one group in order; ``times`` are ascending cues by kind."""
+    line, ends, kinds = 0.0, [], []
+    for k, (a, b) in enumerate(zip(start, stop, strict=True)):
+        end, kind, seconds = b, "", None
+        if line is not None and a is not None and b is not None:
+            seconds = b - a
+            boundary = line + seconds
+            for name in (PRIORITY if k < len(major) and major[k] else PRIORITY[-1:]) if k < len(major) else ():
+                own = times[name]
+                at = bisect_right(own, boundary + EPSILON) - 1
+                if at >= 0 and boundary - own[at] <= TOLERANCE:
+                    if own[at] - line >= SNAPPED_MIN:
+                        seconds, kind = own[at] - line, name
+                        end = a + seconds
+                    break
+        line = None if seconds is None else line + seconds
+        ends.append(end)
+        kinds.append(kind)
+    return ends, kinds
+
+
+def music_cues(tracks: DataFrame, text: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, requested, duration, beats, onsets, phrases, sections, problem) of tracks (keys, requested, duration) and the
+    generator's text (keys, kind in beat or onset, raw): parsed, cleaned, and with phrase and section marks. A track that
+    is unreadable, or shorter than what is requested of it, has a problem."""
+    parsed = first_fields(text, [*keys, "kind"]).groupBy(*keys).agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("t"))).alias(f"m_{k}") for k in ("beat", "onset")])
+    got = tracks.join(parsed, keys, "left")
+    none = F.array().cast("array<double>")
+    got = got.withColumns({n: clean(F.coalesce(F.col(f"m_{k}"), none), F.col("duration")) for k, n in (("beat", "beats"), ("onset", "onsets"))})
+    every = lambda n: F.filter("beats", lambda x, i: i % n == 0)
+    problem = F.when(F.coalesce(F.col("duration") <= 0, F.lit(True)), "unreadable music track").when((F.col("requested") > 0) & (F.col("requested") > F.col("duration") + EPSILON), "requested duration is longer than the music track")
+    return got.select(*keys, "requested", "duration", "beats", "onsets", every(PHRASE).alias("phrases"), every(SECTION).alias("sections"), problem.alias("problem"))

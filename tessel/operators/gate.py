@@ -18,6 +18,22 @@ def profiles(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame(PROFILES, "profile string, max_blur double, min_luma double, max_luma double, max_motion double, min_rms double"))
 
 
+def metric_lines(text: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, x) from (keys, raw), the text of the measuring filters: blur, YAVG, YMIN, YMAX, RMS_level, Peak_level,
+    silence_start. A value that is no number counts as 0; infinities are kept."""
+    line = F.btrim("line", F.lit(" \t\r"))
+    name = (
+        F.when(line.startswith("lavfi.blur="), "blur")
+        .when(line.rlike(r"^lavfi\.signalstats\.Y(AVG|MIN|MAX)="), F.regexp_extract(line, r"^lavfi\.signalstats\.(Y\w+)=", 1))
+        .when(line.contains(".RMS_level="), "RMS_level")
+        .when(line.contains(".Peak_level="), "Peak_level")
+        .when(line.startswith("lavfi.silence_start"), "silence_start")
+    )
+    value = F.lower(F.btrim(F.regexp_extract(line, r"=(.*)$", 1)))
+    number = F.when(value.isin("-inf", "-infinity"), F.lit(float("-inf"))).when(value.isin("inf", "+inf", "infinity"), F.lit(float("inf"))).otherwise(F.coalesce(value.try_cast("double"), F.lit(0.0)))
+    return text.select(*keys, F.explode(F.split("raw", "\n")).alias("line")).select(*keys, name.alias("name"), number.alias("x")).filter("name IS NOT NULL")
+
+
 def video_metrics(lines: DataFrame, keys: list[str]) -> DataFrame:
     """Mean blur, mean luma, least and greatest luma from (keys, name, x); 0 where a name is absent."""
     own = lambda agg, name: F.coalesce(agg(F.when(F.col("name") == name, F.col("x"))), F.lit(0.0))

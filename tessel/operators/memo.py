@@ -32,6 +32,33 @@ def source_problems(plan: DataFrame, current: DataFrame) -> DataFrame:
     return found.withColumn("problem", problem).drop("actual", "there")
 
 
+def problem_lists(problems: DataFrame, group: list[str], order: str, name: str = "source") -> DataFrame:
+    """(group, n_problems, report): all problems of a group's rows together, in order; groups without any are left out."""
+    line = F.concat(F.col(name).cast("string"), F.lit(": "), F.col("problem"))
+    found = problems.filter("problem IS NOT NULL").groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(order, line.alias("line")))).alias("lines"))
+    return found.select(*group, F.size("lines").cast("bigint").alias("n_problems"), F.concat(F.size("lines").cast("string"), F.lit(" source problem(s):\n  "), F.array_join("lines.line", "\n  ")).alias("report"))
+
+
+def music_problems(plans: DataFrame, current: DataFrame) -> DataFrame:
+    """``plans`` (music: struct of path and mark, or null) with ``problem``, the first that applies to its track; null if
+    none, and without a track. ``current`` has (path, mark) of the tracks that are there."""
+    found = plans.join(current.select(F.col("path").alias("c_path"), F.col("mark").alias("actual"), F.lit(True).alias("there")), F.col("music.path") == F.col("c_path"), "left")
+    problem = F.when(
+        F.col("music").isNotNull(),
+        F.when(F.btrim(F.coalesce("music.path", F.lit(""))) == "", "track has no path")
+        .when(F.coalesce("music.mark", F.lit("")) == "", "missing the track fingerprint")
+        .when(F.col("there").isNull(), "track is missing")
+        .when(~F.col("actual").eqNullSafe(F.col("music.mark")), "track changed"),
+    )
+    return found.withColumn("problem", problem).drop("c_path", "actual", "there")
+
+
+def append_entries(computed: DataFrame, path: str, by: str = "category") -> None:
+    """Append rows (by, key, value, ...) to the memo table at ``path``, in one folder for each category. Entries are only
+    ever added, so a run that is stopped leaves a memo that can be read; ``new_entries`` says which to add."""
+    computed.write.mode("append").partitionBy(by).parquet(path)
+
+
 def capability_names(text: DataFrame) -> DataFrame:
     """(kind, name) from (kind, raw): the second field of each line; short lines and legend lines don't count."""
     fields = text.select("kind", F.explode(F.split("raw", "\n")).alias("line")).withColumn("f", F.split(F.btrim("line"), r"\s+"))

@@ -33,6 +33,15 @@ def score_with_repair(responses: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, F.coalesce("first", "second").alias("score"), (F.col("first").isNull() & F.col("second").isNotNull()).alias("repaired"))
 
 
+def divert_unscored(scored: DataFrame, group: list[str]) -> DataFrame:
+    """``scored`` (group, score, ...) with ``reason``: "unscorable response" without a score, null with one. A group of
+    which no row has a score is an error, as its model is broken."""
+    some = scored.groupBy(*group).agg(F.count("score").alias("d_scored"), F.count("*").alias("d_rows"))
+    told = F.format_string("every candidate segment failed scoring (%d of %d)", "d_rows", "d_rows")
+    reason = F.when(F.col("d_scored") == 0, F.raise_error(told)).when(F.col("score").isNull(), "unscorable response")
+    return scored.join(some, group).withColumn("reason", reason.cast("string")).drop("d_scored", "d_rows")
+
+
 def shaky_split(rows: DataFrame) -> DataFrame:
     """``rows`` with ``kept``: shaky ones need enough interest."""
     return rows.withColumn("kept", ~(F.col("shaky") & (F.col("visual_interest") < SHAKY_INTEREST)))

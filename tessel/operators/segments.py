@@ -45,17 +45,24 @@ def plan_transitions(rows: DataFrame, group: list[str], order: str) -> DataFrame
     }).drop("t_first", "t_before", "t_same")
 
 
-def transition_violation(rows: DataFrame, group: list[str], order: str) -> DataFrame:
-    """``rows`` with ``violation``, the first rule that a row's transition breaks; null if none."""
+def transition_violation(rows: DataFrame, group: list[str], order: str, external: bool = False) -> DataFrame:
+    """``rows`` with ``violation``, the first rule that a row's transition breaks; null if none.
+
+    In an ``external`` plan, which may be written by hand, an absent or empty transition is an implicit cut; otherwise it
+    is unsupported.
+    """
     w = Window.partitionBy(*group).orderBy(order)
     n, own, before = F.row_number().over(w) - 1, F.col("stop") - F.col("start"), F.lag(F.col("stop") - F.col("start")).over(w)
     seconds, name = F.col("transition_seconds"), F.col("transition")
+    absent = F.coalesce(name, F.lit("")) == ""
+    implicit = F.when(F.coalesce(seconds, F.lit(0.0)) != 0, "implicit cut must not carry a duration") if external else F.lit("unsupported transition")
     rule = (
-        F.when(~name.isin(*APPROVED), "unsupported transition")
+        F.when(absent, implicit)
+        .when(~name.isin(*APPROVED), "unsupported transition")
         .when(name == "cut", F.when(seconds != 0, "hard cut must not carry a duration"))
         .when((name == "fade") & (F.col("v_n") != 0), "fade is only allowed at the opening")
         .when((F.col("v_n") == 0) & (name != "fade"), "opening must be a fade or a cut")
-        .when(F.btrim("transition_reason") == "", "missing its justification")
+        .when(F.btrim(F.coalesce("transition_reason", F.lit(""))) == "", "missing its justification")
         .when((seconds < S.FADE_MIN - S.EPSILON) | (seconds > S.FADE_MAX + S.EPSILON), "outside the band")
         .when(seconds > S.FADE_SHARE * own + S.EPSILON, "exceeds twenty percent of its segment")
         .when((F.col("v_n") > 0) & (seconds > S.FADE_SHARE * F.col("v_before") + S.EPSILON), "exceeds twenty percent of the preceding segment")
@@ -157,6 +164,35 @@ def rule_report(plans: DataFrame) -> DataFrame:
     return plans.withColumn("rule", rule)
 
 
+def plan_report(plans: DataFrame, rows: DataFrame, key: str = "plan") -> DataFrame:
+    """``plans`` with ``rule``, the first rule that a whole plan breaks: those of :func:`rule_report`, then those of its
+    segments one after the other, then overlaps within a source.
+
+    ``rows`` are segments (key, ord, source, start, stop, transition, transition_seconds, transition_reason, score, cue);
+    score is null without one, cue null or empty where the cut was not snapped.
+    """
+    own = transition_violation(rows, [key], "ord")
+    broken = (
+        F.when(F.col("start") < 0, "segment start is negative")
+        .when(F.col("stop") <= F.col("start"), "segment end is not after its start")
+        .when(F.col("violation").isNotNull(), F.col("violation"))
+        .when(F.col("score").isNull(), "segment is missing its AI score")
+        .when((F.coalesce("cue", F.lit("")) != "") & ~F.col("cue").isin(*AT_CUE), "unsupported music cue")
+    )
+    first = own.withColumn("broken", broken).filter("broken IS NOT NULL").groupBy(F.col(key).alias("s_key")).agg(F.min_by("broken", "ord").alias("s_rule"))
+    before = F.lag("stop").over(Window.partitionBy(key, "source").orderBy("start"))
+    over = rows.withColumn("before", before).filter(F.col("start") < F.col("before")).select(F.col(key).alias("o_key")).distinct()
+    met = rule_report(plans).join(first, F.col(key) == F.col("s_key"), "left").join(over, F.col(key) == F.col("o_key"), "left")
+    rule = F.coalesce("rule", "s_rule", F.when(F.col("o_key").isNotNull(), "overlapping selected ranges"))
+    return met.withColumn("rule", rule).drop("s_key", "s_rule", "o_key")
+
+
+def with_transcripts(rows: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with ``dialogue``, the array of (s, e, text) of their spans (keys, s, e, text) in time order; empty without."""
+    own = spans.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("s", "e", "text"))).alias("dialogue"))
+    return rows.join(own, keys, "left").withColumn("dialogue", F.coalesce("dialogue", F.array().cast(own.schema["dialogue"].dataType)))
+
+
 def stabilised(rows: DataFrame) -> DataFrame:
     """Rows that need stabilising become intermediates of their own, which start at 0."""
     need, own = F.col("needs_stabilisation"), F.col("stop") - F.col("start")

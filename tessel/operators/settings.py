@@ -21,6 +21,28 @@ def choice(value: Column, allowed: tuple[str, ...]) -> Column:
     return F.when(F.coalesce(value, F.lit("")) == "", allowed[0]).when(value.isin(*allowed), value)
 
 
+def precedence(*values: Column) -> Column:
+    """The first of several text values, trimmed, that is neither null nor blank; null if all are."""
+    return F.coalesce(*[F.nullif(F.btrim(v), F.lit("")) for v in values])
+
+
+def search_path(folders: Column) -> Column:
+    """An array of folders without empty ones and later repeats, in order."""
+    return F.array_distinct(F.filter(folders, lambda f: F.coalesce(f, F.lit("")) != ""))
+
+
+def relative_path(folder: Column, target: Column) -> Column:
+    """``target`` as seen from ``folder``, both absolute or both relative; else the target itself. Empty parts and single
+    dots don't count; parts named ``..`` are taken as they are."""
+    parts = lambda c: F.filter(F.split(c, "/"), lambda p: (p != "") & (p != "."))
+    a, b = parts(folder), parts(target)
+    same = F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))), lambda i: F.coalesce(F.get(a, i - 1) == F.get(b, i - 1), F.lit(False)))
+    common = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, F.size(same)).cast("int")
+    up = F.concat(F.array_repeat(F.lit(".."), F.size(a) - common), F.slice(b, common + 1, F.size(b)))
+    path = F.when(F.size(up) == 0, ".").otherwise(F.array_join(up, "/"))
+    return F.when(folder.startswith("/") == target.startswith("/"), path).otherwise(target)
+
+
 def duck_parameters(profile: Column) -> tuple[Column, Column]:
     """(threshold, ratio) of a ducking profile."""
     pick = lambda *x: F.when(profile == "subtle", x[0]).when(profile == "strong", x[1]).when(profile.isNotNull(), x[2])

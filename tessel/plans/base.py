@@ -49,22 +49,11 @@ def ranked(spark, sf):
     )
 
 
-def planned(spark, sf, whole=False):
-    """The first eight candidates of each clip, or all of them, as segments with transitions."""
+def planned(spark, sf):
+    """All ranked candidates of each clip as segments with transitions."""
     from tessel.operators import segments
 
-    return segments.plan_transitions(chosen(spark, sf, whole), ["clip"], "ord")
-
-
-def chosen(spark, sf, whole=False):
-    """The ranked rows of a plan: the first eight of each clip, as the SQL below has them, or all."""
-    rows = ranked(spark, sf)
-    return rows if whole else rows.filter("ord < 8")
-
-
-def whole_sql(sql):
-    """``sql`` over all ranked rows instead of the first eight of each clip."""
-    return sql.replace("WHERE ord < 8", "")
+    return segments.plan_transitions(ranked(spark, sf), ["clip"], "ord")
 
 
 # The same views in DuckDB's SQL, as common table expressions.
@@ -90,8 +79,8 @@ RANKED = """ranked AS (
     (l_partkey % 10) / 10.0::DOUBLE AS redundancy, l_returnflag = 'R' AS shaky, ['', 'beat', 'phrase', 'section'][l_partkey % 4 + 1] AS cue
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 PLANNED = RANKED + """,
-first8 AS (SELECT *, stop - start AS own, coalesce(lag(stop - start) OVER w, 0) AS prev, lag(source) OVER w AS prev_source FROM ranked WHERE ord < 8 WINDOW w AS (PARTITION BY clip ORDER BY ord)),
-named AS (SELECT *, 0.2::DOUBLE * own >= 0.15::DOUBLE - 1e-6 AND (prev <= 0 OR 0.2::DOUBLE * prev >= 0.15::DOUBLE - 1e-6) AS hosts FROM first8),
+joined AS (SELECT *, stop - start AS own, coalesce(lag(stop - start) OVER w, 0) AS prev, lag(source) OVER w AS prev_source FROM ranked WINDOW w AS (PARTITION BY clip ORDER BY ord)),
+named AS (SELECT *, 0.2::DOUBLE * own >= 0.15::DOUBLE - 1e-6 AND (prev <= 0 OR 0.2::DOUBLE * prev >= 0.15::DOUBLE - 1e-6) AS hosts FROM joined),
 chosen AS (SELECT *, CASE WHEN ord = 0 THEN CASE WHEN hosts THEN 'fade' ELSE 'cut' END WHEN coalesce(source = prev_source, false) OR NOT hosts THEN 'cut' ELSE 'dissolve' END AS transition,
   CASE WHEN ord = 0 THEN 0.5::DOUBLE WHEN cue = 'section' THEN 0.15::DOUBLE WHEN cue = 'phrase' THEN 0.25::DOUBLE WHEN cue = 'beat' THEN 0.3::DOUBLE ELSE 0.4::DOUBLE END AS asked FROM named),
 planned AS (SELECT * EXCLUDE (own, prev, prev_source, hosts, asked),

@@ -258,26 +258,22 @@ def asof_prior_cue(spark, sf):
     return got.select("clip", "id", "kind", *_r("cue"))
 
 
-_SNAP = f"""WITH RECURSIVE {B.RANKED}, s AS (SELECT clip, ord, source, start, stop, base, lead(source) OVER w AS next_source, lead(base) OVER w AS next_base FROM ranked WHERE ord < 8 WINDOW w AS (PARTITION BY clip ORDER BY ord)),
-bt AS (SELECT i * 0.75::DOUBLE AS t, i FROM range(200) x(i)),
-f AS (SELECT clip, -1::BIGINT AS ord, 0.0::DOUBLE AS line, 0.0::DOUBLE AS snapped, '' AS cue FROM (SELECT DISTINCT clip FROM s)
+_SNAP = f"""WITH RECURSIVE {B.RANKED}, s AS MATERIALIZED (SELECT clip, ord, start, stop, source <> lead(source) OVER w OR abs(base - lead(base) OVER w) >= 0.25::DOUBLE AS major, lead(ord) OVER w IS NOT NULL AS inner_cut FROM ranked WINDOW w AS (PARTITION BY clip ORDER BY ord)),
+f AS (SELECT DISTINCT clip, -1::BIGINT AS ord, 0.0::DOUBLE AS line, 0.0::DOUBLE AS snapped, '' AS cue FROM s
   UNION ALL SELECT clip, ord, line + CASE WHEN ok THEN target - line ELSE stop - start END, CASE WHEN ok THEN start + (target - line) ELSE stop END, CASE WHEN ok THEN kind ELSE '' END FROM (
-    SELECT *, coalesce(next_source IS NOT NULL AND target - line >= 1, false) AS ok FROM (
+    SELECT *, coalesce(inner_cut AND target - line >= 1, false) AS ok FROM (
       SELECT *, CASE WHEN major AND sec IS NOT NULL THEN sec WHEN major AND phr IS NOT NULL THEN phr ELSE beat END AS target, CASE WHEN major AND sec IS NOT NULL THEN 'section' WHEN major AND phr IS NOT NULL THEN 'phrase' ELSE 'beat' END AS kind FROM (
-        SELECT s.clip, s.ord, s.start, s.stop, s.next_source, f.line, (s.source <> s.next_source OR abs(s.base - s.next_base) >= 0.25::DOUBLE) AS major,
-          (SELECT max(t) FROM bt WHERE i % 32 = 0 AND t <= f.line + (s.stop - s.start) + 0.01::DOUBLE AND f.line + (s.stop - s.start) - t <= 0.5::DOUBLE) AS sec,
-          (SELECT max(t) FROM bt WHERE i % 8 = 0 AND t <= f.line + (s.stop - s.start) + 0.01::DOUBLE AND f.line + (s.stop - s.start) - t <= 0.5::DOUBLE) AS phr,
-          (SELECT max(t) FROM bt WHERE t <= f.line + (s.stop - s.start) + 0.01::DOUBLE AND f.line + (s.stop - s.start) - t <= 0.5::DOUBLE) AS beat
-        FROM f JOIN s ON s.clip = f.clip AND s.ord = f.ord + 1))))
+        SELECT *, CASE WHEN b - 24 * floor((b + 0.01::DOUBLE) / 24) <= 0.5 THEN 24 * floor((b + 0.01::DOUBLE) / 24) END AS sec, CASE WHEN b - 6 * floor((b + 0.01::DOUBLE) / 6) <= 0.5 THEN 6 * floor((b + 0.01::DOUBLE) / 6) END AS phr,
+          CASE WHEN b - 0.75::DOUBLE * floor((b + 0.01::DOUBLE) / 0.75::DOUBLE) <= 0.5 THEN 0.75::DOUBLE * floor((b + 0.01::DOUBLE) / 0.75::DOUBLE) END AS beat
+        FROM (SELECT s.clip, s.ord, s.start, s.stop, s.major, s.inner_cut, f.line, f.line + (s.stop - s.start) AS b FROM f JOIN s ON s.clip = f.clip AND s.ord = f.ord + 1)))))
 SELECT clip, ord, round(snapped, 6) AS snapped, cue FROM f WHERE ord >= 0"""
 
 
 @_query(_SNAP)
-def snap_cuts(spark, sf, whole=False):
-    rows = B.chosen(spark, sf, whole).drop("cue")
-    # Beats as far as a clip's timeline can reach; 200 of them suffice for eight segments.
-    beats = F.ceil(F.sum(F.col("stop") - F.col("start")) / 0.75).cast("int") + 1
-    ends = rows.groupBy("clip").agg((beats if whole else F.max(F.lit(199))).alias("n"))
+def snap_cuts(spark, sf):
+    """A beat every 0.75 seconds, as far as a clip's timeline can reach."""
+    rows = B.ranked(spark, sf).drop("cue")
+    ends = rows.groupBy("clip").agg((F.ceil(F.sum(F.col("stop") - F.col("start")) / 0.75).cast("int") + 1).alias("n"))
     grid = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: i * 0.75)
     every = lambda n: F.filter(grid, lambda x, i: i % n == 0)
     lines = ends.select("clip", grid.alias("beats"), every(8).alias("phrases"), every(32).alias("sections"))
@@ -295,13 +291,13 @@ def trim_to_budget(spark, sf):
 
 
 @_query(f"WITH {B.PLANNED} SELECT clip, ord, transition, round(transition_seconds, 6) AS transition_seconds, transition_reason FROM planned")
-def plan_transitions(spark, sf, whole=False):
-    return B.planned(spark, sf, whole).select("clip", "ord", "transition", *_r("transition_seconds"), "transition_reason")
+def plan_transitions(spark, sf):
+    return B.planned(spark, sf).select("clip", "ord", "transition", *_r("transition_seconds"), "transition_reason")
 
 
-def _mutated(spark, sf, whole=False):
+def _mutated(spark, sf):
     """Planned segments with one field in a few edited, so that rules are broken."""
-    p = B.planned(spark, sf, whole)
+    p = B.planned(spark, sf)
     k = F.col("part") % 11
     return p.withColumns({
         "transition": F.when(k == 1, "spin").when(k == 2, "fade").otherwise(F.col("transition")),
@@ -315,33 +311,33 @@ w AS (SELECT *, stop - start AS own, lag(stop - start) OVER (PARTITION BY clip O
 SELECT clip, ord, CASE WHEN tr = 'spin' THEN 'unsupported transition' WHEN tr = 'cut' THEN CASE WHEN s <> 0 THEN 'hard cut must not carry a duration' END WHEN tr = 'fade' AND ord <> 0 THEN 'fade is only allowed at the opening'
  WHEN ord = 0 AND tr <> 'fade' THEN 'opening must be a fade or a cut' WHEN trim(re) = '' THEN 'missing its justification' WHEN s < 0.15::DOUBLE - 1e-6 OR s > 0.8::DOUBLE + 1e-6 THEN 'outside the band'
  WHEN s > 0.2::DOUBLE * own + 1e-6 THEN 'exceeds twenty percent of its segment' WHEN ord > 0 AND s > 0.2::DOUBLE * prev + 1e-6 THEN 'exceeds twenty percent of the preceding segment' END AS violation FROM w""")
-def transition_violations(spark, sf, whole=False):
-    return segments.transition_violation(_mutated(spark, sf, whole), ["clip"], "ord").select("clip", "ord", "violation")
+def transition_violations(spark, sf):
+    return segments.transition_violation(_mutated(spark, sf), ["clip"], "ord").select("clip", "ord", "violation")
 
 
-def _spans(spark, sf, whole=False):
+def _spans(spark, sf):
     """Each segment's speech: two spans that leave a gap, from its part number."""
-    r = B.chosen(spark, sf, whole)
+    r = B.ranked(spark, sf)
     gap = F.col("part") % 5 * 0.25
     both = F.array(F.struct((F.col("start") + gap).alias("s"), (F.col("start") + 0.5 + gap).alias("e")), F.struct((F.col("stop") - 0.5 - gap).alias("s"), (F.col("stop") - gap / 2).alias("e")))
     return r.select("clip", "ord", F.explode(both).alias("x")).select("clip", "ord", "x.s", "x.e")
 
 
-_SPANS = B.RANKED + """, sp AS (SELECT clip, ord, start + part % 5 * 0.25::DOUBLE AS s, start + 0.5::DOUBLE + part % 5 * 0.25::DOUBLE AS e FROM ranked WHERE ord < 8
-  UNION ALL SELECT clip, ord, stop - 0.5::DOUBLE - part % 5 * 0.25::DOUBLE, stop - part % 5 * 0.25::DOUBLE / 2 FROM ranked WHERE ord < 8)"""
+_SPANS = B.RANKED + """, sp AS (SELECT clip, ord, start + part % 5 * 0.25::DOUBLE AS s, start + 0.5::DOUBLE + part % 5 * 0.25::DOUBLE AS e FROM ranked
+  UNION ALL SELECT clip, ord, stop - 0.5::DOUBLE - part % 5 * 0.25::DOUBLE, stop - part % 5 * 0.25::DOUBLE / 2 FROM ranked)"""
 
 
 @_query(f"""WITH {_SPANS} SELECT r.clip, r.ord, round(coalesce(sum(greatest(least(e, stop) - greatest(s, stop - 0.75::DOUBLE), 0)), 0), 6) AS speech FROM ranked r JOIN sp USING (clip, ord) GROUP BY r.clip, r.ord""")
-def speech_overlap(spark, sf, whole=False):
-    w = B.chosen(spark, sf, whole).select("clip", "ord", (F.col("stop") - 0.75).alias("low"), F.col("stop").alias("high"))
-    return segments.speech_within(w, _spans(spark, sf, whole), ["clip", "ord"], "speech").select("clip", "ord", *_r("speech"))
+def speech_overlap(spark, sf):
+    w = B.ranked(spark, sf).select("clip", "ord", (F.col("stop") - 0.75).alias("low"), F.col("stop").alias("high"))
+    return segments.speech_within(w, _spans(spark, sf), ["clip", "ord"], "speech").select("clip", "ord", *_r("speech"))
 
 
 @_query(f"""WITH {_SPANS}, t AS (SELECT r.clip, r.ord, sum(greatest(least(e, stop) - greatest(s, stop - 0.75::DOUBLE), 0)) AS tail, sum(greatest(least(e, start + 0.75::DOUBLE) - greatest(s, start), 0)) AS head FROM ranked r JOIN sp USING (clip, ord) GROUP BY r.clip, r.ord),
 n AS (SELECT *, lead(head) OVER w AS nxt, lead(ord) OVER w AS nord FROM t WINDOW w AS (PARTITION BY clip ORDER BY ord))
 SELECT clip, ord AS from_segment, nord AS to_segment, CASE WHEN nxt > tail THEN 'J-cut' ELSE 'L-cut' END AS kind, floor(greatest(tail, nxt) * 1000 + 0.5) / 1000 AS seconds FROM n WHERE tail >= 0.2::DOUBLE AND nxt >= 0.2::DOUBLE""")
-def dialogue_continuity(spark, sf, whole=False):
-    return segments.continuity(B.chosen(spark, sf, whole), _spans(spark, sf, whole), ["clip"], "ord")
+def dialogue_continuity(spark, sf):
+    return segments.continuity(B.ranked(spark, sf), _spans(spark, sf), ["clip"], "ord")
 
 
 @_query(f"""WITH {B.RANKED}, l AS (SELECT clip, source, start, stop, lag(stop) OVER (PARTITION BY clip, source ORDER BY start, stop) AS before_stop FROM ranked)
@@ -373,8 +369,8 @@ def plan_rule_report(spark, sf):
 
 @_query(f"""WITH {B.PLANNED}, s AS (SELECT *, CASE WHEN ord = 0 OR transition <> 'dissolve' THEN 0 ELSE transition_seconds END AS x FROM planned)
 SELECT clip, ord, round(sum(stop - start - x) OVER (PARTITION BY clip ORDER BY ord), 6) AS reached, round(greatest(coalesce(sum(stop - start - x) OVER (PARTITION BY clip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - x, 0), 6) AS "offset" FROM s""")
-def timeline_offsets(spark, sf, whole=False):
-    return segments.timeline(B.planned(spark, sf, whole), ["clip"], "ord").select("clip", "ord", *_r("reached", "offset"))
+def timeline_offsets(spark, sf):
+    return segments.timeline(B.planned(spark, sf), ["clip"], "ord").select("clip", "ord", *_r("reached", "offset"))
 
 
 @_query(f"""WITH {B.RANKED}, b AS (SELECT clip, ord, source, min(ord) OVER (PARTITION BY clip, source) AS f, row_number() OVER (PARTITION BY clip, source ORDER BY ord) - 1 AS branch, count(*) OVER (PARTITION BY clip, source) AS branches FROM ranked)
@@ -387,9 +383,9 @@ def source_branches(spark, sf):
 n AS (SELECT *, lead(tr) OVER w AS nt, lead(s) OVER w AS ns FROM d WINDOW w AS (PARTITION BY clip ORDER BY ord))
 SELECT clip, ord, CASE WHEN tr = 'fade' OR tr = 'dip-black' THEN 'black' WHEN tr = 'dip-white' THEN 'white' END AS head_colour, round(CASE WHEN tr IN ('fade', 'dip-black', 'dip-white') THEN s END, 6) AS head_seconds,
  CASE WHEN nt IS NULL OR nt = 'dip-black' THEN 'black' WHEN nt = 'dip-white' THEN 'white' END AS tail_colour, round(CASE WHEN nt IS NULL THEN greatest(least(0.5::DOUBLE, 0.2::DOUBLE * (stop - start)), 0.15::DOUBLE) WHEN nt IN ('dip-black', 'dip-white') THEN ns END, 6) AS tail_seconds FROM n""")
-def fade_edges(spark, sf, whole=False):
+def fade_edges(spark, sf):
     k = F.col("part") % 6
-    rows = B.planned(spark, sf, whole).withColumn("transition", F.when((k == 1) & (F.col("ord") > 0), "dip-black").when((k == 2) & (F.col("ord") > 0), "dip-white").otherwise(F.col("transition")))
+    rows = B.planned(spark, sf).withColumn("transition", F.when((k == 1) & (F.col("ord") > 0), "dip-black").when((k == 2) & (F.col("ord") > 0), "dip-white").otherwise(F.col("transition")))
     return segments.fades(rows, ["clip"], "ord").select("clip", "ord", "head_colour", *_r("head_seconds"), "tail_colour", *_r("tail_seconds"))
 
 
@@ -453,27 +449,12 @@ def settings_row(spark, sf):
 
 @_query(None)
 def plan_document(spark, sf):
-    p = B.planned(spark, sf, whole=True)
+    p = B.planned(spark, sf)
     item = F.struct("ord", "source", "start", "stop", F.nullif(F.col("cue"), F.lit("")).alias("cue"), "transition", F.nullif(F.col("transition_reason"), F.lit("")).alias("transition_reason"))
     plan = p.groupBy("clip").agg(F.array_sort(F.collect_list(item)).alias("segments")).select(F.lit("1").alias("version"), F.lit("chronological").alias("intent"), "clip", "segments")
     return documents.encode_plan(plan)
 
 
-# The SQL of the queries before holds the first eight candidates of each clip; these are the same over every ranked row.
-
-
-def _whole(name):
-    def run(spark, sf):
-        return _QUERIES[name](spark, sf, whole=True)
-
-    run.__name__ = f"{name}_all"
-    return _query(B.whole_sql(_ORACLES[name]) if name != "snap_cuts" else None)(run)  # its recursive SQL takes too long
-
-
-for _name in ("plan_transitions", "transition_violations", "timeline_offsets", "fade_edges", "snap_cuts", "speech_overlap", "dialogue_continuity"):
-    _whole(_name)
-
-
 _FLAGSHIP_SQL = f"""WITH {B.CANDIDATES}, m AS (SELECT c.clip, c.shot, c.part, c.start, c.stop, coalesce(avg(e.mafd), 0) AS motion, count(e.t) AS n FROM cand c LEFT JOIN ev e ON e.clip = c.clip AND e.t >= c.start AND e.t < c.stop GROUP BY ALL),
 g AS (SELECT *, round(0.5::DOUBLE * least(motion / 100, 1) + 0.3::DOUBLE * least(n / 10, 1) + 0.2::DOUBLE * ((stop - start) / 8), 6) AS base, row_number() OVER (PARTITION BY clip ORDER BY start, shot, part) - 1 AS ord FROM m WHERE stop - start >= 1 AND motion <= 25),
 s AS (SELECT *, coalesce(sum(stop - start) OVER (PARTITION BY clip ORDER BY base DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)

@@ -40,6 +40,17 @@ def parse_probe(probes: DataFrame) -> DataFrame:
     return parsed.select("path", duration.alias("duration"), at.alias("captured_at"), width.alias("width"), height.alias("height"), F.coalesce(F.col("s.color_transfer").isin("smpte2084", "arib-std-b67"), F.lit(False)).alias("hdr"), F.when(bad, "unreadable probe").alias("reason"))
 
 
+def skipped(listed: DataFrame, probed: DataFrame) -> DataFrame:
+    """(path, reason) of every file left out: by its type in a listing (path, reason), or by its probe (path, reason)."""
+    return listed.select("path", "reason").unionByName(probed.select("path", "reason")).filter("reason IS NOT NULL")
+
+
+def collisions(artifacts: DataFrame, sources: DataFrame) -> DataFrame:
+    """(artifact, source) paths of artifacts (path, file) that would overwrite a source (path, file): file is the identity
+    of an existing file, null where there is none."""
+    return artifacts.select(F.col("path").alias("artifact"), F.col("file").alias("a_file")).join(sources.select(F.col("path").alias("source"), "file"), F.col("a_file") == F.col("file")).select("artifact", "source")
+
+
 def capture_order(clips: DataFrame, group: list[str] | None = None) -> DataFrame:
     """``clips`` with ``clip_ord``: by capture time, then by name."""
     from pyspark.sql import Window
