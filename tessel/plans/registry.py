@@ -562,6 +562,152 @@ def stabilised_rows(spark, sf):
     return segments.stabilised(B.ranked(spark, sf).withColumn("needs_stabilisation", F.col("shaky"))).select("clip", "ord", "start", "stop")
 
 
+# Whole plans and what goes into them
+
+
+_PLAN_PARTS = """pl AS (SELECT o_orderkey AS plan, CASE WHEN o_orderkey % 29 = 3 THEN 'x' ELSE 'thematic' END AS intent, CASE WHEN o_orderkey % 31 = 4 THEN 'x' ELSE 'source' END AS audio, CASE WHEN o_custkey % 37 = 5 THEN ' ' ELSE 'm' END AS model, o_totalprice - CASE WHEN o_custkey % 41 = 6 THEN o_totalprice ELSE 0 END AS target FROM orders),
+sg AS (SELECT l_orderkey AS plan, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS ord, l_suppkey % 3 AS source, l_linenumber * 9.0::DOUBLE - CASE WHEN l_partkey % 47 = 7 THEN 100 ELSE 0 END AS start, l_linenumber * 9.0::DOUBLE + l_quantity / 5 - CASE WHEN l_partkey % 53 = 8 THEN 50 ELSE 0 END AS stop,
+  CASE WHEN l_suppkey % 23 = 1 THEN 'spin' WHEN l_suppkey % 23 = 2 THEN '' WHEN l_suppkey % 23 = 3 THEN NULL WHEN l_suppkey % 23 = 4 THEN 'fade' WHEN l_suppkey % 23 < 12 AND l_linenumber > 1 THEN 'dissolve' ELSE 'cut' END AS transition,
+  CASE WHEN l_partkey % 43 = 9 THEN 0.9::DOUBLE WHEN l_suppkey % 23 BETWEEN 2 AND 11 AND l_partkey % 2 = 0 THEN 0.3::DOUBLE ELSE 0 END AS seconds, CASE WHEN l_partkey % 19 = 1 THEN ' ' ELSE 'why' END AS reason,
+  CASE WHEN l_partkey % 17 <> 2 THEN l_tax END AS score, CASE WHEN l_partkey % 13 = 1 THEN 'bar' WHEN l_partkey % 13 = 2 THEN 'beat' END AS cue FROM lineitem),
+w AS (SELECT *, stop - start AS own, lag(stop - start) OVER (PARTITION BY plan ORDER BY ord) AS prev, lag(stop) OVER (PARTITION BY plan, source ORDER BY start) AS before FROM sg)"""
+_TIMING = """CASE WHEN transition NOT IN ('cut', 'fade', 'dissolve') THEN 'unsupported transition' WHEN transition = 'cut' THEN CASE WHEN seconds <> 0 THEN 'hard cut must not carry a duration' END WHEN transition = 'fade' AND ord <> 0 THEN 'fade is only allowed at the opening'
+ WHEN ord = 0 AND transition <> 'fade' THEN 'opening must be a fade or a cut' WHEN trim(reason) = '' THEN 'missing its justification' WHEN seconds < 0.15::DOUBLE - 1e-6 OR seconds > 0.8::DOUBLE + 1e-6 THEN 'outside the band'
+ WHEN seconds > 0.2::DOUBLE * own + 1e-6 THEN 'exceeds twenty percent of its segment' WHEN ord > 0 AND seconds > 0.2::DOUBLE * prev + 1e-6 THEN 'exceeds twenty percent of the preceding segment' END"""
+
+
+def _plan_segments(spark, sf):
+    """Lines of orders as segments of plans, of which some break one rule or several."""
+    l = table(spark, sf, "lineitem")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    at, part, s = F.col("l_linenumber") * 9.0, F.col("l_partkey"), F.col("l_suppkey") % 23
+    name = F.when(s == 1, "spin").when(s == 2, "").when(s == 3, F.lit(None)).when(s == 4, "fade").when((s < 12) & (F.col("l_linenumber") > 1), "dissolve").otherwise("cut")
+    seconds = F.when(part % 43 == 9, 0.9).when(s.between(2, 11) & (part % 2 == 0), 0.3).otherwise(0.0)
+    return l.select(
+        F.col("l_orderkey").alias("plan"), (F.row_number().over(w) - 1).cast("bigint").alias("ord"), (F.col("l_suppkey") % 3).alias("source"), (at - F.when(part % 47 == 7, 100).otherwise(0)).alias("start"),
+        (at + F.col("l_quantity") / 5 - F.when(part % 53 == 8, 50).otherwise(0)).alias("stop"), name.alias("transition"), seconds.alias("transition_seconds"), F.when(part % 19 == 1, " ").otherwise("why").alias("transition_reason"),
+        F.when(part % 17 != 2, F.col("l_tax")).alias("score"), F.when(part % 13 == 1, "bar").when(part % 13 == 2, "beat").alias("cue"),
+    )
+
+
+@_query(f"""WITH {_PLAN_PARTS} SELECT plan, ord, CASE WHEN coalesce(transition, '') = '' THEN CASE WHEN seconds <> 0 THEN 'implicit cut must not carry a duration' END ELSE {_TIMING} END AS violation FROM w""")
+def external_transition_violations(spark, sf):
+    return segments.transition_violation(_plan_segments(spark, sf), ["plan"], "ord", external=True).select("plan", "ord", "violation")
+
+
+@_query(f"""WITH {_PLAN_PARTS}, r AS (SELECT plan, ord, CASE WHEN start < 0 THEN 'segment start is negative' WHEN stop <= start THEN 'segment end is not after its start' ELSE coalesce(CASE WHEN coalesce(transition, '') = '' THEN 'unsupported transition' ELSE {_TIMING} END,
+  CASE WHEN score IS NULL THEN 'segment is missing its AI score' WHEN cue = 'bar' THEN 'unsupported music cue' END) END AS rule FROM w),
+f AS (SELECT plan, arg_min(rule, ord) FILTER (rule IS NOT NULL) AS rule FROM r GROUP BY plan), o AS (SELECT plan, bool_or(start < before) AS over, count(*) AS n FROM w GROUP BY plan)
+SELECT plan, CASE WHEN intent = 'x' THEN 'unknown edit intent' WHEN audio = 'x' THEN 'unsupported audio source' WHEN model = ' ' THEN 'missing the ranking model identity' WHEN target <= 0 THEN 'target duration must be positive' WHEN n IS NULL THEN 'no selected segments'
+  ELSE coalesce(f.rule, CASE WHEN over THEN 'overlapping selected ranges' END) END AS rule FROM pl LEFT JOIN f USING (plan) LEFT JOIN o USING (plan)""")
+def plan_validation(spark, sf):
+    """Plans with several faults at once; the first one by the order of the rules counts."""
+    rows = _plan_segments(spark, sf)
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    price = F.col("o_totalprice")
+    counts = rows.groupBy("plan").agg(F.count("*").alias("n"))
+    none = F.lit(None)
+    plans = table(spark, sf, "orders").join(counts, k == F.col("plan"), "left").select(
+        k.alias("plan"), F.when(k % 29 == 3, "x").otherwise("thematic").alias("intent"), F.when(k % 31 == 4, "x").otherwise("source").alias("audio"), none.cast("struct<path:string,mark:string,duration:double,fade:double,n_beats:int>").alias("music"), F.lit("strong").alias("duck"),
+        none.cast("string").alias("language"), none.cast("string").alias("language_source"), none.cast("array<struct<kind:string,seconds:double,from_segment:bigint,to_segment:bigint>>").alias("continuity"), F.when(c % 37 == 5, " ").otherwise("m").alias("model"),
+        (price - F.when(c % 41 == 6, price).otherwise(0)).alias("target"), F.coalesce("n", F.lit(0)).alias("n_segments"),
+    )
+    return segments.plan_report(plans, rows).select("plan", "rule")
+
+
+@_query("""WITH p AS (SELECT conv_id, turn, CASE WHEN length(text) % 7 = 1 THEN 'missing a source fingerprint' WHEN length(text) % 5 = 2 THEN 'empty range' WHEN turn % 6 = 3 THEN 'source is missing' WHEN length(text) % 11 = 4 THEN 'source changed' END AS problem FROM conversations)
+SELECT conv_id, count(*) AS n_problems, count(*) || ' source problem(s):' || chr(10) || '  ' || string_agg(turn || ': ' || problem, chr(10) || '  ' ORDER BY turn) AS report FROM p WHERE problem IS NOT NULL GROUP BY conv_id""")
+def problem_reports(spark, sf):
+    c = table(spark, sf, "conversations").filter("text IS NOT NULL")
+    n = F.length("text")
+    names = c.select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("source"), F.sha2("text", 256).alias("real"), n.alias("n"))
+    plan = names.select("conv_id", "turn", "source", F.lit(0.0).alias("start"), F.when(F.col("n") % 5 == 2, 0.0).otherwise(1.0).alias("stop"), F.when(F.col("n") % 7 == 1, "").when(F.col("n") % 11 == 4, "x").otherwise(F.col("real")).alias("mark"))
+    found = memo.source_problems(plan, names.filter("turn % 6 <> 3").select("source", F.col("real").alias("mark")))
+    return memo.problem_lists(found, ["conv_id"], "turn", "turn")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 5 = 1 THEN 'track has no path' WHEN p_partkey % 11 = 2 THEN 'missing the track fingerprint' WHEN p_size > 40 THEN 'track is missing' WHEN p_partkey % 3 = 1 THEN 'track changed' END AS problem FROM part""")
+def music_checks(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", "p_size", F.col("p_partkey").cast("string").alias("path"), F.sha2("p_name", 256).alias("real"))
+    k = F.col("p_partkey")
+    track = F.struct(F.when(k % 5 == 1, "  ").otherwise(F.col("path")).alias("path"), F.when(k % 11 == 2, "").when(k % 3 == 1, "x").otherwise(F.col("real")).alias("mark"))
+    return memo.music_problems(p.select("p_partkey", F.when(k % 7 != 0, track).alias("music")), p.filter("p_size <= 40").select("path", F.col("real").alias("mark"))).select("p_partkey", "problem")
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey % 3 = 0 AND l_linenumber > 1 THEN 'unscorable response' END AS reason, CASE WHEN NOT (l_partkey % 3 = 0 AND l_linenumber > 1) THEN round(l_discount, 6) END AS visual_interest FROM lineitem WHERE l_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1)""")
+def unscored_diverted(spark, sf):
+    l = table(spark, sf, "lineitem")
+    l = l.join(l.filter("l_linenumber = 1").select("l_orderkey").distinct(), "l_orderkey", "left_semi")
+    answer = F.when((F.col("l_partkey") % 3 == 0) & (F.col("l_linenumber") > 1), "no score here").otherwise(F.format_string('{"visual_interest": %s}', F.col("l_discount").cast("string")))
+    scored = l.select("l_orderkey", "l_linenumber", "l_partkey", ranking.parse_score(answer).alias("score"))
+    return ranking.divert_unscored(scored, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "l_partkey", "reason", F.round("score.visual_interest", 6).alias("visual_interest"))
+
+
+@_query("""WITH s AS (SELECT conv_id, string_agg(turn || ':' || length(text), ' ' ORDER BY turn) AS dialogue FROM conversations WHERE text <> '' AND turn % 2 = 0 GROUP BY conv_id)
+SELECT DISTINCT conv_id, coalesce(dialogue, '') AS dialogue FROM conversations LEFT JOIN s USING (conv_id)""")
+def segment_transcripts(spark, sf):
+    c = table(spark, sf, "conversations")
+    spans = c.filter("text <> '' AND turn % 2 = 0").select("conv_id", F.col("turn").cast("double").alias("s"), (F.col("turn") + 1).cast("double").alias("e"), "text")
+    got = segments.with_transcripts(c.select("conv_id").distinct(), spans, ["conv_id"])
+    told = F.transform("dialogue", lambda x: F.concat_ws(":", x["s"].cast("bigint").cast("string"), F.length(x["text"]).cast("string")))
+    return got.select("conv_id", F.array_join(told, " ").alias("dialogue"))
+
+
+@_query("""SELECT p_partkey, count(*) AS n, string_agg(reason, '; ' ORDER BY reason) AS reasons FROM (
+  SELECT p_partkey, 'unsupported file type' AS reason FROM part WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'unreadable probe' FROM part WHERE p_partkey % 3 <> 1 AND p_size % 10 = 0) GROUP BY p_partkey""")
+def skipped_files(spark, sf):
+    p = table(spark, sf, "part")
+    k = F.col("p_partkey")
+    listed = documents.split_listing(p.select(F.concat(F.lit("in/"), k.cast("string"), F.when(k % 3 == 1, ".txt").otherwise(".MOV")).alias("path")))
+    probe = F.format_string('{"streams": [{"width": 4, "height": 3}], "format": {"duration": "%s"}}', F.when(F.col("p_size") % 10 == 0, "0").otherwise("6"))
+    probed = documents.parse_probe(p.filter("p_partkey % 3 <> 1").select(F.concat(F.lit("in/"), k.cast("string"), F.lit(".MOV")).alias("path"), probe.alias("json"), F.lit(None).cast("timestamp").alias("mtime")))
+    number = F.regexp_extract("path", r"(\d+)", 1).cast(p.schema["p_partkey"].dataType).alias("p_partkey")
+    return documents.skipped(listed, probed).groupBy(number).agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("reason")), "; ").alias("reasons"))
+
+
+@_query("""WITH t AS (SELECT user_id AS track, count(*) AS n, max(event_id % 40) AS top FROM events GROUP BY user_id), b AS (SELECT DISTINCT user_id AS track, (event_id % 40) * 0.5::DOUBLE AS t FROM events), d AS (SELECT track, (top - 4) * 0.5::DOUBLE AS duration, CASE WHEN n % 2 = 0 THEN 15.0::DOUBLE ELSE 0 END AS requested FROM t),
+c AS (SELECT track, list(t ORDER BY t) AS beats FROM b JOIN d USING (track) WHERE t <= duration + 0.01::DOUBLE GROUP BY track)
+SELECT track, coalesce(len(beats), 0)::BIGINT AS n_beats, coalesce(list_sum(list_filter(beats, lambda x, i: (i - 1) % 8 = 0)), 0)::DOUBLE AS phrase_sum, coalesce(list_sum(list_filter(beats, lambda x, i: (i - 1) % 32 = 0)), 0)::DOUBLE AS section_sum,
+  CASE WHEN duration <= 0 THEN 'unreadable music track' WHEN requested > duration + 0.01::DOUBLE THEN 'requested duration is longer than the music track' END AS problem FROM d LEFT JOIN c USING (track)""")
+def music_resolution(spark, sf):
+    e = table(spark, sf, "events").select(F.col("user_id").alias("track"), "event_id")
+    tracks = e.groupBy("track").agg(((F.max(F.col("event_id") % 40) - 4) * 0.5).alias("duration"), F.when(F.count("*") % 2 == 0, 15.0).otherwise(0.0).alias("requested"))
+    text = e.select("track", F.when(F.col("event_id") % 3 == 0, "onset").otherwise("beat").alias("kind"), F.concat(((F.col("event_id") % 40) * 0.5).cast("string"), F.lit(" x\n# no time")).alias("raw"))
+    text = text.unionByName(e.select("track", F.lit("beat").alias("kind"), ((F.col("event_id") % 40) * 0.5).cast("string").alias("raw")))
+    got = cues.music_cues(tracks, text, ["track"])
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+    return got.select("track", F.size("beats").cast("bigint").alias("n_beats"), total("phrases").alias("phrase_sum"), total("sections").alias("section_sum"), "problem")
+
+
+@_query("""SELECT l_orderkey, l_linenumber, l_partkey, round(avg(l_discount), 6) AS blur, round(avg(l_tax), 6) AS luma, min(l_quantity) AS luma_min, max(l_extendedprice) AS luma_max, round(avg(CASE WHEN l_partkey % 3 = 0 THEN -120.0::DOUBLE ELSE -l_quantity END), 6) AS rms, max(0 - l_tax) AS peak, bool_or(l_partkey % 5 = 0) AS silent FROM lineitem GROUP BY ALL""")
+def raw_metrics(spark, sf):
+    l = table(spark, sf, "lineitem")
+    keys = ["l_orderkey", "l_linenumber", "l_partkey"]
+    text = lambda *pairs: F.concat_ws("\n", *[F.concat(F.lit(f"{name}="), value if isinstance(value, str) is False else F.lit(value)) for name, value in pairs])
+    say = lambda c: c.cast("string")
+    video = text(("lavfi.blur", say(F.col("l_discount"))), (" lavfi.signalstats.YAVG", say(F.col("l_tax"))), ("lavfi.signalstats.YMIN", say(F.col("l_quantity"))), ("lavfi.signalstats.YMAX", say(F.col("l_extendedprice"))), ("lavfi.signalstats.UAVG", "9"))
+    audio = text(("lavfi.astats.1.RMS_level", F.when(F.col("l_partkey") % 3 == 0, "-inf").otherwise(say(-F.col("l_quantity")))), ("lavfi.astats.1.Peak_level", say(-F.col("l_tax"))), ("x", "1"))
+    audio = F.when(F.col("l_partkey") % 5 == 0, F.concat(audio, F.lit("\nlavfi.silence_start=0.5"))).otherwise(audio)
+    named = l.select(*keys, video.alias("video"), audio.alias("audio"))
+    seen = gate.video_metrics(gate.metric_lines(named.select(*keys, F.col("video").alias("raw")), keys), keys)
+    heard = gate.audio_metrics(gate.metric_lines(named.select(*keys, F.col("audio").alias("raw")), keys), keys)
+    return seen.join(heard, keys).select(*keys, *_r("blur", "luma", "luma_min", "luma_max", "rms", "peak"), "silent")
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 1 THEN 'flag' WHEN p_size > 20 THEN p_brand ELSE 'default' END AS model, CASE WHEN p_partkey % 2 = 0 THEN '/a/b' || '|./models' ELSE '/a|./models|/a/b' END AS folders,
+CASE WHEN p_partkey % 3 = 0 THEN '../media/' || p_partkey WHEN p_partkey % 3 = 1 THEN p_partkey || '.mp4' ELSE 'in/x' END AS path, p_size % 9 = 0 AS overwrites FROM part""")
+def paths_and_precedence(spark, sf):
+    p = table(spark, sf, "part")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    own = settings.precedence(F.when(k % 4 == 1, " flag "), F.when(size > 20, F.col("p_brand")).otherwise(" "), F.lit("default"))
+    folders = F.when(k % 2 == 0, F.array(F.lit(""), F.lit("/a/b"), F.lit("./models"), F.lit("/a/b"))).otherwise(F.array(F.lit("/a"), F.lit("./models"), F.lit("/a/b"), F.lit("/a")))
+    text = k.cast("string")
+    path = F.when(k % 3 == 0, settings.relative_path(F.lit("/home/plan"), F.concat(F.lit("/home/media/"), text))).when(k % 3 == 1, settings.relative_path(F.lit("/home/./plan/"), F.concat(F.lit("/home/plan/"), text, F.lit(".mp4")))).otherwise(settings.relative_path(F.lit("/home/plan"), F.lit("in/x")))
+    artifacts = p.select(F.concat(F.lit("out/"), text).alias("path"), F.when(size % 9 == 0, text).alias("file"))
+    hit = documents.collisions(artifacts, p.select(F.concat(F.lit("in/"), text).alias("path"), text.alias("file"))).select(F.substring("artifact", 5, 99).alias("hit"))
+    return p.join(hit, text == F.col("hit"), "left").select("p_partkey", own.alias("model"), F.array_join(settings.search_path(folders), "|").alias("folders"), path.alias("path"), F.col("hit").isNotNull().alias("overwrites"))
+
+
 # Extensions beyond the segment-selection domain
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessel.functions import scalars as S
-from tessel.operators import cues, gate, intervals, memo, ranking, segments
+from tessel.operators import cues, gate, intervals, memo, ranking, segments, settings
 from tessel.sources import documents
 
 
@@ -183,3 +183,24 @@ def test_documents(spark, tmp_path):
     documents.write_plan(plan.withColumn("version", F.lit("2")), f"{tmp_path}/plan", force=True)
     with pytest.raises(Exception, match="not a plan"):
         documents.read_plan(spark, f"{tmp_path}/plan").collect()
+
+
+def test_a_group_without_any_score_is_an_error(spark):
+    rows_ = spark.createDataFrame([(1, 0.5), (1, None), (2, None), (2, None)], "g long, score double")
+    assert {(r.score, r.reason) for r in ranking.divert_unscored(rows_.filter("g = 1"), ["g"]).collect()} == {(0.5, None), (None, "unscorable response")}
+    with pytest.raises(Exception, match=r"every candidate segment failed scoring \(2 of 2\)"):
+        ranking.divert_unscored(rows_, ["g"]).collect()
+
+
+def test_relative_paths(spark):
+    cases = [("/a/b", "/a/c", "../c"), ("/a/b", "/a/b", "."), ("/a/b", "/a/b/c/d", "c/d"), ("/a/b/c", "/", "../../.."), ("/", "/x", "x"), ("a", "b", "../b"), ("/a", "b", "b"), ("a//b/./", "a/b/c", "c")]
+    frame = spark.createDataFrame(cases, "folder string, target string, want string")
+    assert [r.got == r.want for r in frame.select("want", settings.relative_path(frame.folder, frame.target).alias("got")).collect()] == [True] * len(cases)
+
+
+def test_memo_entries_are_appended(spark, tmp_path):
+    one = spark.createDataFrame([("a", "k1", 1), ("b", "k2", 2)], "category string, key string, value long")
+    memo.append_entries(one, f"{tmp_path}/memo")
+    known = spark.read.parquet(f"{tmp_path}/memo")
+    memo.append_entries(memo.new_entries(one.union(spark.createDataFrame([("a", "k3", 3)], one.schema)), known), f"{tmp_path}/memo")
+    assert sorted((r.category, r.key, r.value) for r in spark.read.parquet(f"{tmp_path}/memo").collect()) == [("a", "k1", 1), ("a", "k3", 3), ("b", "k2", 2)]
