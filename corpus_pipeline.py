@@ -32,23 +32,44 @@ def _recounted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier gives 0.5 or more.
+
+    Defined cases: a null text is judged as an empty one; repeated rows are judged alike, each by itself; a null id is no
+    hindrance, as the text is the only input of a score; without labels of both kinds all stay; an empty table gives an
+    empty result; further columns, whatever their names, pass through.
+    """
     model = quality_mil.train(table(spark, sf_dir, "labels"), docs)
-    return quality_mil.score(docs, model, name="__score").filter(F.col("__score") >= KEEP_AT).drop("__score")
+    name = "score"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return quality_mil.score(docs, model, name=name).filter(F.col(name) >= KEEP_AT).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies the document of least id; a null id comes before all others.
+
+    Defined cases: null and blank texts are near nothing and all stay; of repeated rows one stays; rows of one id with
+    different texts are different documents; a text of fewer than five words is near equal texts only.
+    """
     return near_join.keep_one(docs, NEAR)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, its identifiers replaced by ``<kind>``. A null text stays null, and so does its n_chars."""
     return _recounted(pii.redact(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, the last of a source cut at its budget.
+
+    Defined cases: null and blank texts have no words and aren't taken; null sources are one source, the last; repeated
+    rows and rows of one id are documents of their own; an empty table gives an empty result.
+    """
     return _recounted(source_mixing.materialise(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row; a null text has no tokens, like an empty one."""
     path = bpe.default_path()
     back = bpe.decode(bpe.encode(docs, path), path)
     count = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
