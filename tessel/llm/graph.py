@@ -14,17 +14,17 @@ def _met(edges: DataFrame, least: DataFrame) -> DataFrame:
     return edges.join(least, F.col("u") == F.col("w"))
 
 
-def _largest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _largest(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """Every neighbour above a node points to the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+    least = checkpoint(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), 2 * n)
     joined = _met(both.filter("v > u"), least)
     return joined.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), least
 
 
-def _smallest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _smallest(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     """A node and its neighbours below it point to the least of them. Every edge here leads downwards."""
-    least = checkpoint(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")))
+    least = checkpoint(edges.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")), n)
     below = _met(edges, least).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return below.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), least
 
@@ -43,10 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not mark.n:
             break
         seen = mark
-        large, by_large = _largest(state)
-        large = checkpoint(large)
-        small, by_small = _smallest(large)
-        after = checkpoint(small)
+        # Neither step makes more edges than there are nodes and edges before it.
+        large, by_large = _largest(state, mark.n)
+        large = checkpoint(large, 2 * mark.n)
+        small, by_small = _smallest(large, mark.n)
+        after = checkpoint(small, 2 * mark.n)
         release(state, by_large, large, by_small)
         state = after
     nodes = state.select(F.col("u").alias("id"), F.col("v").alias("component"))

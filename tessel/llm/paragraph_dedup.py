@@ -284,11 +284,12 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     chosen = docs.select(F.monotonically_increasing_id().alias("row"), _own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
     made = checkpoint(chosen.mapInArrow(run, "row bigint, own bigint, doc bigint, pos int, next int, line int, start int, cut int, stop int, unit bigint"))
     ends = made.groupBy(F.col("unit").alias("e_unit")).agg(F.min(F.struct("doc", "pos", "line")).alias("first"), F.max("doc").alias("last_doc"), F.max("pos").alias("last_pos"))
-    ends = ends.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc")) | (F.col("last_pos") - F.col("first.pos") >= words))
+    # A written table: its shuffle is gone before the next one, and the join below is one of two plain exchanges.
+    ends = checkpoint(ends.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc")) | (F.col("last_pos") - F.col("first.pos") >= words)))
     gone = ~(F.col("doc").eqNullSafe(F.col("first.doc")) & (F.col("pos") - F.col("first.pos") < words))
     met = made.join(ends, F.col("unit") == F.col("e_unit")).select("row", "own", "doc", "pos", "next", "line", "start", "cut", "stop", F.col("first.doc").alias("f_doc"), F.col("first.line").alias("f_line"), gone.alias("removed"))
     kept = checkpoint(met)
-    release(made)
+    release(made, ends)
     # Chains, and their parts that stay or go; each has its paragraphs up to their next anchors, the last one its end.
     order = Window.partitionBy("row").orderBy("pos")
     joint = F.lag("next").over(order).eqNullSafe(F.col("pos"))
