@@ -38,6 +38,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 MAX_FILE_BYTES = 64 << 20
 #: Pieces that a worker remembers; beyond that it starts anew.
 POOL_PIECES = 500_000
+#: Bytes of text or ids that are coded at once; the work needs some hundred times as much.
+CODE_BYTES = 1 << 20
 #: Pre-tokens up to this many bytes are merged side by side.
 SHORT = 64
 NEVER = np.int32(2**31 - 1)
@@ -452,7 +454,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
     def run(found):
         tokenizer = _tokenizer(shared.value)
         for batch in found:
-            for part in batches.slices(batch, "text"):
+            for part in batches.slices(batch, "text", CODE_BYTES):
                 ids, offsets = tokenizer.encode_slice(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("key"), batches.binary(ids.astype("<u4").view(np.uint8), offsets * 4)], names=["key", "ids"])
 
@@ -467,7 +469,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
     def run(found):
         tokenizer = _tokenizer(shared.value)
         for batch in found:
-            for part in batches.slices(batch, "ids"):
+            for part in batches.slices(batch, "ids", CODE_BYTES):
                 raw, offsets = batches.flat(part.column("ids"))
                 text, ends = tokenizer.decode_slice(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), offsets // 4)
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), batches.binary(text, ends, pa.string())], names=["key", "ids", "text"])
