@@ -455,6 +455,15 @@ def plan_document(spark, sf):
     return documents.encode_plan(plan)
 
 
+@_query(f"""WITH {B.PLANNED} SELECT clip, ord, source, round(start, 6) AS start, round(stop, 6) AS stop, nullif(cue, '') AS cue, transition, nullif(transition_reason, '') AS transition_reason, '1' AS version FROM planned""")
+def plan_document_fields(spark, sf):
+    """The documents, parsed again."""
+    item = "ord:bigint,source:bigint,start:double,stop:double,cue:string,transition:string,transition_reason:string"
+    plan = F.from_json("json", f"version string, intent string, clip bigint, segments array<struct<{item}>>")
+    rows = plan_document(spark, sf).select(plan.alias("p")).select("p.clip", "p.version", F.explode("p.segments").alias("s")).select("clip", "version", "s.*")
+    return rows.select("clip", "ord", "source", *_r("start", "stop"), "cue", "transition", "transition_reason", "version")
+
+
 _FLAGSHIP_SQL = f"""WITH {B.CANDIDATES}, m AS (SELECT c.clip, c.shot, c.part, c.start, c.stop, coalesce(avg(e.mafd), 0) AS motion, count(e.t) AS n FROM cand c LEFT JOIN ev e ON e.clip = c.clip AND e.t >= c.start AND e.t < c.stop GROUP BY ALL),
 g AS (SELECT *, round(0.5::DOUBLE * least(motion / 100, 1) + 0.3::DOUBLE * least(n / 10, 1) + 0.2::DOUBLE * ((stop - start) / 8), 6) AS base, row_number() OVER (PARTITION BY clip ORDER BY start, shot, part) - 1 AS ord FROM m WHERE stop - start >= 1 AND motion <= 25),
 s AS (SELECT *, coalesce(sum(stop - start) OVER (PARTITION BY clip ORDER BY base DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g)
