@@ -306,10 +306,12 @@ class Tokenizer:
             plain[coded.indices.to_numpy()] = single
             pool = self._pool(distinct.to_pylist(), ~plain)
             use = pool[index]
-        for d in np.flatnonzero(odd):
-            ids = self._encode_odd(raw[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "surrogatepass"))
-            at = np.searchsorted(doc, d)
-            use, doc = np.insert(use, at, ids), np.insert(doc, at, np.full(len(ids), d))
+        strange = np.flatnonzero(odd)
+        if len(strange):  # their pieces are put in all at once, each before those of later documents
+            parts = [self._encode_odd(raw[offsets[d] : offsets[d + 1]].tobytes().decode("utf-8", "surrogatepass")) for d in strange]
+            lengths = [len(p) for p in parts]
+            at = np.repeat(np.searchsorted(doc, strange), lengths)
+            use, doc = np.insert(use, at, np.concatenate(parts)), np.insert(doc, at, np.repeat(strange, lengths))
         counts = np.array(self.counts, np.int64)
         ends = np.cumsum(counts)
         flat_ids = np.concatenate(self.chunks) if self.chunks else np.zeros(0, np.int32)

@@ -610,3 +610,21 @@ def keep_one(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = join(table(spark, sf_dir, "documents"))
     return joined.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d
+), t AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+), p AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, a.n AS na, b.n AS nb, count(*) AS shared FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n) GROUP BY ALL
+), e AS (
+  SELECT u, v FROM p WHERE 100 * shared >= 90 * (na + nb - shared)
+), r AS (
+  SELECT doc_id AS id, doc_id AS reached FROM s UNION SELECT r.id, e.v FROM r JOIN e ON r.reached = e.u
+)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, min(r.reached) AS component_id FROM s JOIN r ON r.id = s.doc_id GROUP BY ALL
+"""

@@ -389,3 +389,24 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter(F.col("base.kind"), lambda kind: kind == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS]
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_added")
     return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"), added)
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of plain identifiers alone."""
+    found = find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[F.size(F.filter(F.col("base.kind"), lambda kind: kind == F.lit(k))).cast("long").alias(f"n_{k}") for k in KINDS])
+
+
+BASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), m AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS email, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ip,
+    list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS card,
+    list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phone FROM d
+)
+SELECT doc_id, len(email)::BIGINT AS n_email,
+  len(list_filter(ip, lambda x: list_bool_and(list_transform(string_split(x, '.'), lambda p: length(ltrim(p, '0')) <= 3 AND coalesce(try_cast(ltrim(p, '0') AS INTEGER), 0) <= 255))))::BIGINT AS n_ip,
+  len(list_filter(card, lambda x: length(x) BETWEEN 16 AND 19 AND list_sum(list_transform(range(length(x)), lambda i: CASE WHEN i % 2 = 0 THEN x[length(x) - i]::INTEGER ELSE x[length(x) - i]::INTEGER * 2 - CASE WHEN x[length(x) - i]::INTEGER > 4 THEN 9 ELSE 0 END END)) % 10 = 0))::BIGINT AS n_card,
+  len(list_filter(phone, lambda x: length(x) BETWEEN 8 AND 15))::BIGINT AS n_phone FROM m
+"""

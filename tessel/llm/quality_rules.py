@@ -221,3 +221,28 @@ def judge(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge(docs, train(table(spark, sf_dir, "labels"), docs))
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of the base rules alone, which need no model."""
+    return judge(table(spark, sf_dir, "documents"), None).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (
+  SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d
+), v AS (
+  SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS five FROM d WHERE len(w) > 5
+), m AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, five) AS n FROM v) WHERE n > 1
+), c AS (
+  SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, i + unnest(range(5)) AS place FROM m) GROUP BY doc_id
+), a AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM d JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a
+"""

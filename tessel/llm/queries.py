@@ -20,11 +20,14 @@ _MODULES = {
     "op9_quality_mil": quality_mil,
     "op10_pii": pii,
 }
+#: Those columns of an operator that SQL can express, where it can't express all.
+_BASE = {"quality_rules_base": quality_rules, "pii_base": pii}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: module.query for name, module in _MODULES.items()}
+    return {name: module.query for name, module in _MODULES.items()} | {name: module.base_query for name, module in _BASE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: module.ORACLE_SQL for name, module in _MODULES.items() if getattr(module, "ORACLE_SQL", None)}
+    whole = {name: module.ORACLE_SQL for name, module in _MODULES.items() if getattr(module, "ORACLE_SQL", None)}
+    return whole | {name: module.BASE_SQL for name, module in _BASE.items()}
