@@ -7,7 +7,7 @@ whole epochs take every document, and the last one is cut at the exact remaining
 
 How it scales: a key's leading digits are its range, so ranges split even a source that holds a third of all rows.
 Running sums are made within (source, range) and carried over by a prefix sum over the small table of range totals, 4,096
-rows a source at most. Nothing is sampled, and reruns agree because keys depend on the document id alone.
+rows a source at most. Nothing is sampled, and reruns agree because keys depend on the document id alone, or on the text where that is null.
 
 Defined cases: a null or blank text has size 0 and takes nothing; null sources form one source that comes last; a source
 without words has target 0; ids that repeat share a key and are ordered by size, equal rows in any order (they are
@@ -54,7 +54,8 @@ def source_targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, cap
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, key: str = "doc_id", text: str = "text", source: str = "source", carry: bool = False) -> DataFrame:
     """(id, source, size, source_size, target, taken) of every document; with ``carry`` also ``row``, the input row."""
-    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    # Rows without an id get keys by their texts, so that many of them don't fall into one range.
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.concat(F.lit("null "), F.md5(F.col(text))), F.lit("null")))
     kept = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     sized = docs.select(F.col(key).alias("id"), F.col(source).alias("source"), word_count(text).alias("size"), digest.alias("key"), *kept)
     sized = sized.withColumn("range", F.substring("key", 1, RANGE_DIGITS))

@@ -85,7 +85,7 @@ def test_mixing(spark):
         own = [r for r in got if r.source == s]
         assert all(abs(r.target - want[s]) < 1e-6 and r.source_size == sizes[s] and r.taken <= 2 * r.size for r in own)
         assert abs(sum(r.taken for r in own) - want[s]) < 1
-        key = lambda r: (hashlib.md5(str("null" if r.id is None else r.id).encode()).hexdigest(), r.id if r.id is not None else -1, r.size)
+        key = lambda r: (hashlib.md5(str("null " + hashlib.md5(b"x y").hexdigest() if r.id is None else r.id).encode()).hexdigest(), r.id if r.id is not None else -1, r.size)
         budget, order = int(want[s] + 1e-9), sorted(own, key=key)
         epochs = budget // sizes[s] if sizes[s] else 0
         left, expected = budget - epochs * sizes[s], []
