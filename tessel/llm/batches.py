@@ -7,15 +7,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Text bytes that a slice holds at most, unless one text alone is longer.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of an Arrow batch between Spark and its Python workers, unless one row alone has more.
+BATCH_BYTES = 8 << 20
 
 #: The ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` itself, once its session sends Arrow batches of ``BATCH_BYTES`` at most.
+
+    The default bounds rows alone to a useful size; ten thousand long texts would stand in the memory of the executor and
+    of its worker several times over. A lower setting of the session stays.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name, "1g")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of a batch, each with up to ``limit`` bytes in ``column``."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -461,7 +461,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column("key"), batches.binary(ids.astype("<u4").view(np.uint8), offsets * 4)], names=["key", "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).transform(batches.bounded).mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -477,7 +477,7 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), batches.binary(text, ends, pa.string())], names=["key", "ids", "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
-    return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", key)
+    return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).transform(batches.bounded).mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", key)
 
 
 def default_path() -> str:

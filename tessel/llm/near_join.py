@@ -164,7 +164,7 @@ def profile(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text"
 
     carried = (F.col(mark) if mark else F.lit(None)).cast("bigint").alias("mark")
     chosen = docs.select(F.col(key).cast("bigint").alias("id"), carried, F.xxhash64(text).alias("own"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "id bigint, mark bigint, own bigint, n bigint, print binary, node bigint")
+    return chosen.transform(batches.bounded).mapInArrow(run, "id bigint, mark bigint, own bigint, n bigint, print binary, node bigint")
 
 
 def _node(mark: bytes) -> int:
@@ -202,7 +202,7 @@ def shared_prefixes(docs: DataFrame, rule: Rule, text: str = "text") -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in prefix_rows(shingle_sets(part.column("text"), rule.words), rule)], names=["node", "token"])
 
     same = Window.partitionBy("token")
-    rows = docs.select(F.col(text).alias("text")).mapInArrow(run, "node bigint, token bigint")
+    rows = docs.select(F.col(text).alias("text")).transform(batches.bounded).mapInArrow(run, "node bigint, token bigint")
     met = rows.withColumns({"least": F.min("node").over(same), "most": F.max("node").over(same)})
     hits = F.when(F.col("token") < 0, F.shiftright("token", 32).bitwiseAND(0x7FFFFFFF)).otherwise((F.col("least") != F.col("most")).cast("bigint"))
     return met.groupBy("node").agg(F.sum(hits).alias("hits"), F.sum((F.col("token") < 0).cast("bigint")).alias("slices"))
@@ -238,7 +238,7 @@ def signed(kept: DataFrame, rule: Rule) -> DataFrame:
                 signs = np.concatenate([np.zeros(0, np.uint64), *(r[3] for r in rows)]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([*numbers, pa.array(signs)], names=["node", "class", "need", "sign"])
 
-    return kept.select("id", "text").mapInArrow(run, "node bigint, class int, need int, sign bigint")
+    return kept.select("id", "text").transform(batches.bounded).mapInArrow(run, "node bigint, class int, need int, sign bigint")
 
 
 def shared(rows: DataFrame, key: str) -> DataFrame:
@@ -293,7 +293,7 @@ def element_survivors(rows: DataFrame, kept: DataFrame, rule: Rule) -> DataFrame
                 flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("id").to_numpy(zero_copy_only=False), lengths)), pa.array(np.repeat(need, lengths)), pa.array(flat)], names=["node", "need", "sign"])
 
-    elements = kept.join(rows.select("id"), "id", "left_semi").select("id", "text").mapInArrow(run, "node bigint, need int, sign bigint")
+    elements = kept.join(rows.select("id"), "id", "left_semi").select("id", "text").transform(batches.bounded).mapInArrow(run, "node bigint, need int, sign bigint")
     return _peeled(checkpoint(elements), ["node"], 2).select("node").distinct()
 
 
@@ -494,7 +494,7 @@ def _solve_blocks(rows: DataFrame, texts: DataFrame, rule: Rule, seeded: bool =
     joined = rows.withColumn("seed", seed).join(named, F.col("id") == F.col("t_id")).select("comp", "block", "id", "seed", "text")
     # A fixed number of partitions: by their bytes alone, adaptive execution would put this work into very few tasks.
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartition(tasks, "comp", "block").sortWithinPartitions("comp", "block", "id").mapInArrow(run, "id bigint, comp bigint, label bigint, leader boolean")
+    return joined.repartition(tasks, "comp", "block").sortWithinPartitions("comp", "block", "id").transform(batches.bounded).mapInArrow(run, "id bigint, comp bigint, label bigint, leader boolean")
 
 
 def _labels(rows: list[tuple]) -> pa.RecordBatch:

@@ -135,7 +135,7 @@ def occurrences(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wo
                 yield pa.RecordBatch.from_arrays(columns, names=["own", "doc", "paragraph", "start", "end", "n_words", "n", "node"])
 
     chosen = docs.select(_own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    return chosen.mapInArrow(run, "own bigint, doc bigint, paragraph bigint, start bigint, end bigint, n_words bigint, n bigint, node bigint")
+    return chosen.transform(batches.bounded).mapInArrow(run, "own bigint, doc bigint, paragraph bigint, start bigint, end bigint, n_words bigint, n bigint, node bigint")
 
 
 def band_rows(nodes: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,7 +164,7 @@ def banded(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS) -> D
                 got = occurrences_slice(part.column("text"), min_words, with_bands=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in band_rows(got["node"], got["bands"])], names=["node", "key"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(run, "node bigint, key bigint")
+    return docs.select(F.col(text).alias("text")).transform(batches.bounded).mapInArrow(run, "node bigint, key bigint")
 
 
 def _signs(texts: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def _signs(texts: DataFrame) -> DataFrame:
                 nodes = part.column("id").take(pa.array(got["row"]))
                 yield pa.RecordBatch.from_arrays([nodes.take(pa.array(np.repeat(np.arange(len(nodes)), BANDS))), pa.array(got["bands"].ravel().view(np.int64))], names=["node", "sign"])
 
-    found = texts.select("id", "text").mapInArrow(run, "node bigint, sign bigint")
+    found = texts.select("id", "text").transform(batches.bounded).mapInArrow(run, "node bigint, sign bigint")
     return found.select("node", F.lit(0).alias("class"), F.lit(1).alias("need"), "sign").distinct()
 
 
@@ -197,7 +197,7 @@ def _paragraph_texts(near: DataFrame, docs: DataFrame, key: str, text: str) -> D
 
     wanted = near.groupBy(F.col("first.own").alias("w_own")).agg(F.collect_list(F.struct("id", F.col("first.paragraph").alias("paragraph"))).alias("wanted"))
     joined = docs.select(_own(key, text).alias("own"), F.col(text).alias("text")).join(wanted, F.col("own") == F.col("w_own")).select("text", "wanted")
-    return joined.mapInArrow(run, "id bigint, text string").dropDuplicates(["id"])
+    return joined.transform(batches.bounded).mapInArrow(run, "id bigint, text string").dropDuplicates(["id"])
 
 
 def clusters(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, block_docs: int = near_join.BLOCK_DOCS) -> DataFrame:
@@ -282,7 +282,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
                 yield pa.RecordBatch.from_arrays([*taken, *[pa.array(got[c].astype(np.int32)) for c in _CONTENT[1:-1]], pa.array(got["unit"])], names=["row", "own", "doc", *_CONTENT[1:]])
 
     chosen = docs.select(F.monotonically_increasing_id().alias("row"), _own(key, text).alias("own"), F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    made = checkpoint(chosen.mapInArrow(run, "row bigint, own bigint, doc bigint, pos int, next int, line int, start int, cut int, stop int, unit bigint"))
+    made = checkpoint(chosen.transform(batches.bounded).mapInArrow(run, "row bigint, own bigint, doc bigint, pos int, next int, line int, start int, cut int, stop int, unit bigint"))
     ends = made.groupBy(F.col("unit").alias("e_unit")).agg(F.min(F.struct("doc", "pos", "line")).alias("first"), F.max("doc").alias("last_doc"), F.max("pos").alias("last_pos"))
     # A written table: its shuffle is gone before the next one, and the join below is one of two plain exchanges.
     ends = checkpoint(ends.filter(~F.col("first.doc").eqNullSafe(F.col("last_doc")) | (F.col("last_pos") - F.col("first.pos") >= words)))

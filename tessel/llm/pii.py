@@ -343,7 +343,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     span = "array<struct<kind string, start bigint, end bigint>>"
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, base {span}, spans {span}").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).transform(batches.bounded).mapInArrow(run, f"key {kind}, base {span}, spans {span}").withColumnRenamed("key", key)
 
 
 def redact_text(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -369,7 +369,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
                 new = [t if t is None else redact_text(t, detect(t)[1]) for t in part.column(at).to_pylist()]
                 yield part.set_column(at, part.schema.field(at), pa.array(new, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(batches.bounded).mapInArrow(run, docs.schema)
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -168,7 +168,7 @@ def collect_bags(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(out, pa.binary())], names=["key", "label", "bag"])
 
     chosen = sample.select(F.col("key").cast("string").alias("key"), F.col("label").cast("int").alias("label"), "text")
-    rows = sorted(chosen.mapInArrow(run, "key string, label int, bag binary").collect(), key=lambda r: r.key)
+    rows = sorted(chosen.transform(batches.bounded).mapInArrow(run, "key string, label int, bag binary").collect(), key=lambda r: r.key)
     return [np.frombuffer(r.bag, "<f2").reshape(-1, SIZE).astype(np.float32) for r in rows], np.array([r.label for r in rows])
 
 
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", name: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got)], names=[*part.schema.names, name])
 
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.transform(batches.bounded).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ def collect_features(sample: DataFrame) -> list:
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), *columns], names=["key", "label", "at", "share"])
 
     chosen = sample.select(F.col("key").cast("string").alias("key"), F.col("label").cast("int").alias("label"), "text")
-    return chosen.mapInArrow(run, "key string, label int, at binary, share binary").collect()
+    return chosen.transform(batches.bounded).mapInArrow(run, "key string, label int, at binary, share binary").collect()
 
 
 def fit(rows: list, rounds: int = 120, ridge: float = 1e-4, rate: float = 0.5, scale: float = 30.0) -> Model | None:
@@ -215,7 +215,7 @@ def judge(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([part.column("key"), *[pa.array(got[c]) for c in names]], names=["key", *names])
 
     schema = ", ".join([f"key {features.arrow_type(docs, key)}", *[f"{c} {k}" for c, k in zip(names, kinds, strict=True)]])
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).transform(batches.bounded).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessel.llm import batches
 from tessel.sources.tables import table
 
 #: The rule list of the registered query: (verdict, host/path).
@@ -105,7 +106,7 @@ def judge(df: DataFrame, rules=RULES, key: str = "page_id", url: str = "url", de
             yield pa.RecordBatch.from_arrays([*batch.columns, rule, verdict], names=[*batch.schema.names, "rule", "verdict"])
 
     kind = parsed.schema[key].dataType.simpleString()
-    return parsed.mapInArrow(verdicts, f"`{key}` {kind}, host string, path string, rule string, verdict string")
+    return parsed.transform(batches.bounded).mapInArrow(verdicts, f"`{key}` {kind}, host string, path string, rule string, verdict string")
 
 
 def _by_join(parsed: DataFrame, rules, key: str, default: str) -> DataFrame:
