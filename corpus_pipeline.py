@@ -71,7 +71,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of every row; a null text has no tokens, like an empty one."""
     path = bpe.default_path()
-    back = bpe.decode(bpe.encode(docs, path), path)
+    back = bpe.recode(docs, path)
     count = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
     return back.select("doc_id", count, "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
 

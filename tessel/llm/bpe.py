@@ -449,6 +449,17 @@ def _tokenizer(document: bytes) -> Tokenizer:
     return _OPEN[name]
 
 
+def _encoded(tokenizer: Tokenizer, part: pa.RecordBatch) -> pa.RecordBatch:
+    ids, offsets = tokenizer.encode_slice(part.column("text"))
+    return pa.RecordBatch.from_arrays([part.column("key"), batches.binary(ids.astype("<u4").view(np.uint8), offsets * 4)], names=["key", "ids"])
+
+
+def _decoded(tokenizer: Tokenizer, part: pa.RecordBatch) -> pa.RecordBatch:
+    raw, offsets = batches.flat(part.column("ids"))
+    text, ends = tokenizer.decode_slice(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), offsets // 4)
+    return pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), batches.binary(text, ends, pa.string())], names=["key", "ids", "text"])
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids) of every row; ids are packed little-endian unsigned 32-bit integers."""
     shared = docs.sparkSession.sparkContext.broadcast(load(path))
@@ -457,8 +468,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
         tokenizer = _tokenizer(shared.value)
         for batch in found:
             for part in batches.slices(batch, "text", CODE_BYTES):
-                ids, offsets = tokenizer.encode_slice(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("key"), batches.binary(ids.astype("<u4").view(np.uint8), offsets * 4)], names=["key", "ids"])
+                yield _encoded(tokenizer, part)
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).transform(batches.bounded).mapInArrow(run, f"key {kind}, ids binary").withColumnRenamed("key", key)
@@ -472,14 +482,28 @@ def decode(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids")
         tokenizer = _tokenizer(shared.value)
         for batch in found:
             for part in batches.slices(batch, "ids", CODE_BYTES):
-                raw, offsets = batches.flat(part.column("ids"))
-                text, ends = tokenizer.decode_slice(np.frombuffer(raw.tobytes(), "<u4").astype(np.int64), offsets // 4)
-                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("ids"), batches.binary(text, ends, pa.string())], names=["key", "ids", "text"])
+                yield _decoded(tokenizer, part)
 
     kind = encoded.schema[key].dataType.simpleString()
     return encoded.select(F.col(key).alias("key"), F.col(ids).alias("ids")).transform(batches.bounded).mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", key)
 
 
+def recode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, ids, text) of every row: encoded, and decoded from the packed ids, by one Python worker a task. ``decode`` of
+    ``encode`` gives the same with two, which then both stay in memory with a tokenizer each."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(path))
+
+    def run(found):
+        tokenizer = _tokenizer(shared.value)
+        for batch in found:
+            for part in batches.slices(batch, "text", CODE_BYTES):
+                for coded in batches.slices(_encoded(tokenizer, part), "ids", CODE_BYTES):
+                    yield _decoded(tokenizer, coded)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).transform(batches.bounded).mapInArrow(run, f"key {kind}, ids binary, text string").withColumnRenamed("key", key)
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -29,15 +29,16 @@ def _smallest(edges: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
     return below.union(least.select(F.col("w").alias("u"), F.col("m").alias("v"))).distinct(), least
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every node of edges (u, v): component is the least id that the node reaches.
+def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
+    """(id, component) of every node of edges (u, v): component is the least id that the node reaches. ``rows`` is a bound of
+    the edges, where one is known.
 
     Both steps are a grouped minimum, combined before the shuffle, and a join whose hot keys adaptive execution can
     split. The loop ends when a round changes nothing, after a few rounds for stars and log-many for chains; each round
     deletes the tables of the one before.
     """
     down = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state, seen = checkpoint(down), None
+    state, seen = checkpoint(down, rows), None
     while True:
         mark = state.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if seen == mark or not mark.n:

@@ -215,8 +215,10 @@ def survivors(docs: DataFrame, reps: DataFrame, rule: Rule, key: str, text: str)
     shares fewer with all others together has no link. That leaves copies, near copies and little else.
     """
     counts = shared_prefixes(docs, rule, text).select(F.col("node").alias("c_node"), "hits", "slices")
+    # What writes ``may`` reads the counts, so its tasks follow the rows of all prefixes, not its own few.
+    read = int(reps.agg(F.sum(F.col("n") * (rule.den - rule.num) / rule.den + F.col("n") / EXTRA + 2)).first()[0] or 0)
     may = reps.join(counts, F.col("node") == F.col("c_node")).filter(F.col("hits") >= rule.least_shared(F.col("n")) * F.col("slices"))
-    may = checkpoint(may.select(F.col("rep.id").alias("r_id"), F.col("rep.own").alias("r_own"), "node", "n", "print"))
+    may = checkpoint(may.select(F.col("rep.id").alias("r_id"), F.col("rep.own").alias("r_own"), "node", "n", "print"), read)
     # The only shuffle of texts: ids of the few that survive meet them, and one of repeated rows stays.
     texts = docs.select(F.col(key).cast("bigint").alias("t_id"), F.xxhash64(text).alias("t_own"), F.col(text).alias("text"))
     met = texts.join(may, (F.col("t_id") == F.col("r_id")) & (F.col("t_own") == F.col("r_own")))
@@ -253,19 +255,21 @@ def shared(rows: DataFrame, key: str) -> DataFrame:
 
 def groups_of(rows: DataFrame) -> DataFrame:
     """(id, component) of the nodes of ``shared`` rows, over chains of shared keys."""
-    return graph.components(rows.filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct())
+    edges = rows.filter("node != least").select(F.col("node").alias("u"), F.col("least").alias("v")).distinct()
+    return graph.components(edges, rows.count())
 
 
 def _peeled(rows: DataFrame, by: list[str], rounds: int = PEEL_ROUNDS) -> DataFrame:
     """Shared rows (node, need, sign, ...) of those groups ``by`` that have ``need`` shared rows or more. Dropping some may
     leave others short, so it is repeated. ``rows`` is a written table, which this deletes."""
-    first = checkpoint(shared(rows, "sign"))
+    first = checkpoint(shared(rows, "sign"), rows.count())
     release(rows)
     rows = first
     for _ in range(rounds):
+        most = rows.count()
         counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select(*by)
-        left = checkpoint(rows.drop("least").join(counts, by, "left_semi"))
-        after = checkpoint(shared(left, "sign"))
+        left = checkpoint(rows.drop("least").join(counts, by, "left_semi"), most)
+        after = checkpoint(shared(left, "sign"), most)
         release(rows, left)
         rows = after
     return rows
@@ -528,7 +532,8 @@ def links(candidates: DataFrame, texts: DataFrame, signs: DataFrame, rule: Rule,
     ``texts`` has (id, text), ``signs`` the shared signatures (node, class, need, sign) of the candidates: linked ones
     share ``need`` of a class.
     """
-    placed = checkpoint(_blocked(candidates, block_docs, block_shingles, 0))
+    most = candidates.count()
+    placed = checkpoint(_blocked(candidates, block_docs, block_shingles, 0), most)
     solved = checkpoint(_solve_blocks(placed, texts, rule))
     large = placed.filter("blocks > 1")
     if large.isEmpty():
@@ -536,20 +541,20 @@ def links(candidates: DataFrame, texts: DataFrame, signs: DataFrame, rule: Rule,
     pair = lambda rows: rows.select(F.col("id").alias("u"), F.col("label").alias("v"))
     edges, lead, before, salt = pair(solved), large.select("id", "n", "comp"), None, 0
     while True:  # leaders of all blocks of a group, level by level
-        lead = checkpoint(lead.join(solved.filter("leader").select("id"), "id", "left_semi"))
+        lead = checkpoint(lead.join(solved.filter("leader").select("id"), "id", "left_semi"), most)
         now, salt = lead.count(), salt + 1
         if before is not None and now > 0.9 * before:
             break
         before = now
-        again = checkpoint(_blocked(lead, block_docs, block_shingles, salt))
+        again = checkpoint(_blocked(lead, block_docs, block_shingles, salt), now)
         solved = checkpoint(_solve_blocks(again, texts, rule))
         edges = edges.union(pair(solved))
         if again.filter("blocks > 1").isEmpty():
             break
-    marked = checkpoint(large.join(graph.components(edges), "id", "left").select("id", "n", "comp", "block", F.coalesce("component", "id").alias("seed")))
+    marked = checkpoint(large.join(graph.components(edges), "id", "left").select("id", "n", "comp", "block", F.coalesce("component", "id").alias("seed")), most)
     counts = marked.groupBy("comp", "seed").agg(F.count("*").alias("rows"))
     main = counts.groupBy("comp").agg(F.max(F.struct("rows", "seed")).alias("top")).select(F.col("comp").alias("m_comp"), F.col("top.seed").alias("main"))
-    others = checkpoint(marked.join(main, F.col("comp") == F.col("m_comp")).filter("seed != main").select("id", "n", "comp", "seed"))
+    others = checkpoint(marked.join(main, F.col("comp") == F.col("m_comp")).filter("seed != main").select("id", "n", "comp", "seed"), most)
     if others.isEmpty():
         return graph.components(edges).select("id", F.col("component").alias("label"))
     # What is outside a group's main component meets the blocks that may hold a partner, in chunks of a block's size.
@@ -569,22 +574,24 @@ def join(docs: DataFrame, rule: Rule | None = None, key: str = "doc_id", text: s
     rule = rule or Rule()
     profiled = checkpoint(profile(docs, rule, key, text, mark))
     least = F.min(F.struct("id", "own")).alias("rep")
-    reps = checkpoint(profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(least, F.max("n").alias("n"), F.max("node").alias("node")))
+    reps = checkpoint(profiled.filter("n > 0 AND id IS NOT NULL").groupBy("print").agg(least, F.max("n").alias("n"), F.max("node").alias("node")), profiled.count())
     kept = survivors(docs, reps, rule, key, text)
+    n_kept = kept.count()
     signs = candidate_signs(kept, rule)
 
     def candidates_of(signs: DataFrame) -> DataFrame:
         groups = groups_of(signs).select(F.col("id").alias("g_id"), F.col("component").alias("comp"))
-        return checkpoint(kept.select("id", "n").join(groups, F.col("id") == F.col("g_id")).drop("g_id"))
+        return checkpoint(kept.select("id", "n").join(groups, F.col("id") == F.col("g_id")).drop("g_id"), n_kept)
 
     candidates = candidates_of(signs)
     large = _blocked(candidates, block_docs, block_shingles, 0).filter("blocks > 1").select("id")
     if not large.isEmpty():  # what chains them may be passages only
         gone = large.join(element_survivors(large, kept, rule).select(F.col("node").alias("id")), "id", "left_anti")
-        left = checkpoint(signs.drop("least").join(gone, F.col("node") == F.col("id"), "left_anti"))
-        signs = checkpoint(shared(left, "sign"))
+        most = signs.count()
+        left = checkpoint(signs.drop("least").join(gone, F.col("node") == F.col("id"), "left_anti"), most)
+        signs = checkpoint(shared(left, "sign"), most)
         candidates = candidates_of(signs)
-    labelled = checkpoint(links(candidates, kept, signs, rule, block_docs, block_shingles).withColumnRenamed("id", "l_id"))
+    labelled = checkpoint(links(candidates, kept, signs, rule, block_docs, block_shingles).withColumnRenamed("id", "l_id"), n_kept)
     release(kept, signs)
     classes = reps.select("print", F.col("rep.id").alias("rep"), "node").join(labelled, F.col("node") == F.col("l_id"), "left").withColumn("label", F.coalesce("label", "node"))
     least = classes.groupBy(F.col("label").alias("c_label")).agg(F.min("rep").alias("component"))

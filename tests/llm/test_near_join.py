@@ -155,3 +155,29 @@ def test_edges_of_the_table(spark):
 def result_rows(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     return [(r.id, r.n, r.component) for r in near_join.join(docs, Rule()).collect()]
+
+
+def test_narrow_tables_are_few_files(spark, monkeypatch):
+    """Each file is a process for its permissions, so tables of few narrow rows aren't dealt over all shuffle partitions."""
+    files, write = [], near_join.checkpoint
+
+    def counted(df, rows=None):
+        done = write(df, rows)
+        if not {"text", "leader"} & set(df.columns):
+            files.append(len(done.inputFiles()))
+        return done
+
+    monkeypatch.setattr(near_join, "checkpoint", counted)
+    monkeypatch.setattr(graph, "checkpoint", counted)
+    rows, rule = corpus(7, n=150, vocabulary=60), Rule(3, 4, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    names = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        got = sorted((r.id, r.n, r.component) for r in near_join.join(docs, rule).collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute(rows, rule) and len(files) > 10 and max(files) == 1, files

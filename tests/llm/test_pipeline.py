@@ -140,3 +140,16 @@ def test_stages_on_edge_rows(spark):
 def test_stages_on_an_empty_table(spark):
     docs = edge_docs(spark).limit(0)
     assert [stage(spark, docs, FOLDER).count() for _, stage in corpus_pipeline.STAGES] == [0] * 5
+
+
+def test_tokens_take_one_worker_a_task(spark):
+    """Workers stay in an executor's memory beside those of later stages, so a task of tokens has one."""
+    texts = ["", None, "one two", "é" * 400 + " \n\t x", "<|endoftext|> 12", "word " * 9000]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = corpus_pipeline.tokens(spark, docs, "")
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    path = bpe.default_path()
+    want = {r.doc_id: (bytes(r.ids), r.text) for r in bpe.decode(bpe.encode(docs, path), path).collect()}
+    for r in got.collect():
+        ids, text = want[r.doc_id]
+        assert (r.n_tokens, bytes(r.ids), r.decoded_sha256) == (len(ids) // 4, ids, hashlib.sha256(text.encode()).hexdigest())
