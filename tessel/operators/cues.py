@@ -37,10 +37,11 @@ def prior_cue(boundaries: DataFrame, cues: DataFrame, group: list[str]) -> DataF
     """``boundaries`` (group, id, boundary, major) with the cue each one reaches: the latest at most 0.01 after and 0.5
     before it, of the best kind that has one; a minor change looks at beats alone.
 
-    Both sides meet by equality on half-second buckets, two of them for each boundary and one for each cue.
+    Both sides meet by equality on half-second buckets: one for each cue, and for each boundary all that its reach touches,
+    two or, near the edge of a bucket, three. The lower end has the same slack as the upper, so rounding loses no cue.
     """
     bucket = lambda x: F.floor(x / TOLERANCE)
-    spread = boundaries.withColumn("b", F.explode(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda k: bucket(F.col("boundary") + EPSILON) + k))))
+    spread = boundaries.withColumn("b", F.explode(F.sequence(bucket(F.col("boundary") - TOLERANCE - EPSILON), bucket(F.col("boundary") + EPSILON))))
     timed = cues.select(*group, "kind", F.col("t").alias("cue"), bucket(F.col("t")).alias("b"))
     fits = (F.col("cue") <= F.col("boundary") + EPSILON) & (F.col("boundary") - F.col("cue") <= TOLERANCE) & (F.col("major") | (F.col("kind") == "beat"))
     order = F.struct((-F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("kind"))).alias("p"), "cue", "kind")

@@ -109,6 +109,20 @@ def test_cues(spark):
     assert rows(cues.first_fields(text, ["g"]), "t") == [(0.5,), (1.5,)]
 
 
+def test_prior_cue_near_bucket_edges(spark):
+    """Boundaries just below and above whole and half seconds, against every pair by plain Python."""
+    times = [0.0, 0.494, 0.4951, 0.5, 0.996, 1.4929, 1.498, 1.51, 2.0, 123.4951]
+    ends = [k / 2 + d for k in (0, 1, 2, 3, 4, 5, 248) for d in (-0.011, -0.01, -0.005, -0.0049, -0.001, 0.0, 0.005, 0.3)] + [0.995]
+    bounds = spark.createDataFrame([("a", i, e, i % 2 == 0) for i, e in enumerate(ends)] + [("a", 999, None, True)], "g string, id int, boundary double, major boolean")
+    grid = [("a", ("beat", "section")[i % 3 == 1], t) for i, t in enumerate(times)]
+    want = []
+    for i, e in enumerate(ends):
+        found = [(kind != "section", -t, kind) for _, kind, t in grid if t <= e + 0.01 and e - t <= 0.5 and (i % 2 == 0 or kind == "beat")]
+        want.append((i, *((min(found)[2], -min(found)[1]) if found else ("-", -1.0))))
+    got = cues.prior_cue(bounds, spark.createDataFrame(grid, "g string, kind string, t double"), ["g"])
+    assert rows(got.fillna({"kind": "-", "cue": -1.0}), "id", "kind", "cue") == [*want, (999, "-", -1.0)]
+
+
 def test_snapping(spark):
     kind = "g int, ord bigint, source string, start double, stop double, base double"
     lines = spark.createDataFrame([(1, [float(i) for i in range(20)], [0.0, 8.0], [0.0])], "g int, beats array<double>, phrases array<double>, sections array<double>")
