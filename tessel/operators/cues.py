@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
+from itertools import repeat
+from math import floor, isfinite
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 EPSILON, TOLERANCE, SNAPPED_MIN, MAJOR_GAP = 0.01, 0.5, 1.0, 0.25
 PHRASE, SECTION = 8, 32
@@ -49,59 +52,87 @@ def prior_cue(boundaries: DataFrame, cues: DataFrame, group: list[str]) -> DataF
     return boundaries.join(best, [*group, "id"], "left").withColumns({"cue": F.col("best.cue"), "kind": F.col("best.kind")}).drop("best")
 
 
-def snap(segments: DataFrame, cues: DataFrame, group: list[str]) -> DataFrame:
+def snap(segments: DataFrame, cues: DataFrame | float, group: list[str]) -> DataFrame:
     """(group, ord, source, start, stop, base) with ``snapped`` and ``cue``: cut after cut is moved to a prior cue.
 
-    Each boundary depends on how earlier ones were moved, so a group is folded in order, as one row of Arrow arrays; a
-    cue is found by bisection. ``cues`` are arrays by kind, one row a group. A null time ends the snapping of its group.
+    ``cues`` are arrays by kind, one row a group, or the seconds between beats of a grid without end. A null time ends the
+    snapping of its group.
+
+    Each boundary depends on how earlier ones were moved, so a group is folded in order. Its rows stream through the fold as
+    the window hands them on, after a row with the cues if there are arrays: no group is collected or joined back, and
+    segments that a window over the group has dealt before are not shuffled again.
     """
-    item = F.struct("ord", "source", "start", "stop", "base")
-    rows = segments.groupBy(*group).agg(F.array_sort(F.collect_list(item)).alias("rows")).join(cues, group, "left")
-
-    def run(found):
-        for batch in found:
-            for k in range(batch.num_rows):
-                one = batch.slice(k, 1)
-                own = one.column("rows").flatten()
-                cells = [own.field(n).to_pylist() for n in ("ord", "start", "stop")]
-                turn = _major(own.field("source"), own.field("base"))
-                ends, kinds = fold_cuts(*cells[1:], turn, {c: sorted(one.column(f"{c}s")[0].as_py() or ()) for c in PRIORITY})
-                keys = [one.column(g).take(pa.array(np.zeros(len(ends), np.int64))) for g in group]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(cells[0], pa.int64()), pa.array(ends, pa.float64()), pa.array(kinds, pa.string())], names=[*group, "ord", "snapped", "cue"])
-
-    kinds = ", ".join(f"`{g}` {segments.schema[g].dataType.simpleString()}" for g in group)
-    folded = rows.select(*group, "rows", *[f"{c}s" for c in PRIORITY]).mapInArrow(run, f"{kinds}, ord bigint, snapped double, cue string")
-    return segments.join(folded, [*group, "ord"])
-
-
-def _major(source: pa.Array, base: pa.Array) -> list[bool]:
-    """Whether the source changes after each segment but the last, or the base score by much."""
-    if len(source) < 2:
-        return []
-    gap = pc.greater_equal(pc.abs(pc.subtract(base[:-1], base[1:])), MAJOR_GAP)
-    return pc.fill_null(pc.or_kleene(pc.not_equal(source[:-1], source[1:]), gap), False).to_pylist()
-
-
-def fold_cuts(start: list, stop: list, major: list[bool], times: dict[str, list[float]]) -> tuple[list, list[str]]:
-    """(end, kind of cue) of each segment of one group in order; ``times`` are ascending cues by kind."""
-    line, ends, kinds = 0.0, [], []
-    for k, (a, b) in enumerate(zip(start, stop, strict=True)):
-        end, kind, seconds = b, "", None
-        if line is not None and a is not None and b is not None:
-            seconds = b - a
-            boundary = line + seconds
-            for name in (PRIORITY if k < len(major) and major[k] else PRIORITY[-1:]) if k < len(major) else ():
-                own = times[name]
-                at = bisect_right(own, boundary + EPSILON) - 1
-                if at >= 0 and boundary - own[at] <= TOLERANCE:
-                    if own[at] - line >= SNAPPED_MIN:
-                        seconds, kind = own[at] - line, name
-                        end = a + seconds
-                    break
-        line = None if seconds is None else line + seconds
-        ends.append(end)
-        kinds.append(kind)
-    return ends, kinds
+    known = lambda df, *names: df.filter(" AND ".join(f"`{n}` IS NOT NULL" for n in names))
+    rows = known(segments, *group, "ord")
+    if isinstance(cues, DataFrame):
+        lists = F.struct(*[F.array_sort(F.array_compact(F.coalesce(f"{c}s", F.array()))).alias(c) for c in PRIORITY])
+        rows = rows.unionByName(known(cues, *group).select(*group, lists.alias("_cues")), allowMissingColumns=True)
+    order = Window.partitionBy(*group).orderBy(F.col("ord").asc_nulls_first())
+    ahead = lambda c: F.lead(c).over(order)
+    major = (F.col("source") != ahead("source")) | (F.abs(F.col("base") - ahead("base")) >= MAJOR_GAP)
+    rows = rows.withColumns({"_opens": F.row_number().over(order) == 1, "_major": F.when(ahead("ord").isNotNull(), F.coalesce(major, F.lit(False)))})
+    names, beat = segments.columns, None if isinstance(cues, DataFrame) else float(cues)
+
+    def run(batches):
+        line, latest = 0.0, _in_grid(beat)
+        for batch in batches:
+            if beat is None:
+                given = batch.column("_cues")
+                lists, own = given.to_pylist(), pc.is_null(given)
+            else:
+                lists, own = repeat(None, batch.num_rows), None
+            ends, kinds = [], []
+            for opens, turn, a, b, times in zip(*[batch.column(c).to_pylist() for c in ("_opens", "_major", "start", "stop")], lists, strict=True):
+                if opens:
+                    line = 0.0
+                    if beat is None:
+                        latest = _in_lists(times)
+                line, end, kind = move_cut(line, a, b, turn, latest)
+                ends.append(end)
+                kinds.append(kind)
+                if times is not None:
+                    line = 0.0
+            moved = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(ends, pa.float64()), pa.array(kinds, pa.string())], names=[*names, "snapped", "cue"])
+            yield moved if own is None else moved.filter(own)
+
+    return rows.mapInArrow(run, StructType([*segments.schema.fields, StructField("snapped", DoubleType()), StructField("cue", StringType())]))
+
+
+def _in_grid(beat: float | None) -> Callable[[str, float], float | None]:
+    """The latest cue of a kind up to a time, on the grid of beats with their phrases and sections."""
+    steps = {} if beat is None else {"section": beat * SECTION, "phrase": beat * PHRASE, "beat": beat}
+
+    def latest(kind, x):
+        places = x / steps[kind]
+        return steps[kind] * floor(places) if isfinite(places) else None
+
+    return latest
+
+
+def _in_lists(times: dict[str, list[float]] | None) -> Callable[[str, float], float | None]:
+    """The same among ascending cues by kind, by bisection; None holds no cues."""
+
+    def latest(kind, x):
+        at = bisect_right(times[kind], x) if times else 0
+        return times[kind][at - 1] if at else None
+
+    return latest
+
+
+def move_cut(line: float | None, start: float | None, stop: float | None, major: bool | None, latest: Callable) -> tuple[float | None, float | None, str]:
+    """(timeline after it, end, kind of cue) of a segment that begins at ``line``; ``major`` is null for the last one."""
+    if line is None or start is None or stop is None:
+        return None, stop, ""
+    seconds = stop - start
+    boundary = line + seconds
+    for kind in () if major is None else PRIORITY if major else PRIORITY[-1:]:
+        cue = latest(kind, boundary + EPSILON)
+        if cue is not None and boundary - cue <= TOLERANCE:
+            if cue - line >= SNAPPED_MIN:
+                seconds = cue - line
+                return line + seconds, start + seconds, kind
+            break
+    return line + seconds, stop, ""
 
 
 def music_cues(tracks: DataFrame, text: DataFrame, keys: list[str]) -> DataFrame:

@@ -34,14 +34,18 @@ def candidate_rows(spark, sf):
 
 
 def ranked(spark, sf):
-    """Lines of orders as scored candidates; the clip is the customer, and ``ord`` their order within it."""
-    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    w = Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    """Lines of orders as scored candidates; the clip is the customer, and ``ord`` their order within it.
+
+    Rows are dealt by the column that later windows name, so that these need no other shuffle, and before the values that
+    follow from the lines are added.
+    """
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("clip"))
+    w = Window.partitionBy("clip").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumn("ord", (F.row_number().over(w) - 1).cast("bigint"))
     interest, energy, usefulness = F.col("l_discount") * 10, F.col("l_quantity") / 50, F.col("l_tax") * 10
     start = F.col("l_linenumber") * 100.0
     return rows.select(
-        F.col("o_custkey").alias("clip"), (F.row_number().over(w) - 1).cast("bigint").alias("ord"), F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("part"),
+        "clip", "ord", F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("part"),
         F.col("l_orderkey").alias("orderkey"), start.alias("start"), (start + F.col("l_quantity") / 4).alias("stop"), (F.col("l_quantity") / 4).alias("seconds"),
         F.round(0.5 * interest + 0.3 * usefulness + 0.2 * energy, 6).alias("base"), energy.alias("energy"), interest.alias("visual_interest"),
         (F.col("l_partkey") % 10 / 10.0).alias("redundancy"), (F.col("l_returnflag") == "R").alias("shaky"),

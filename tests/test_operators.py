@@ -132,6 +132,39 @@ def test_snapping(spark):
     assert rows(cues.snap(major, lines, ["g"]), "ord", "snapped", "cue") == [(0, 8.0, "phrase"), (1, 9.0, "")]
 
 
+def test_snapping_streams_groups_over_batches(spark):
+    """Groups over several Arrow batches, with and without cues, a null time and null keys, against a plain loop."""
+    data, end = [], {}
+    for g in range(5):
+        data += [(g, k, "ab"[(k + g) % 4 == 0], 50.0 * k, 50.0 * k + (24.3, 3.0, 3.3, *[(5 * k + 3 * g) % 11 * 0.53 + 1.2] * 10)[k], k % 3 * 0.2) for k in range(13 - 3 * g)]
+    data[20] = (*data[20][:4], None, 0.1)
+    odd = [(None, 0, "a", 0.0, 5.0, 0.5), (1, None, "a", 0.0, 5.0, 0.5)]
+    seg = spark.createDataFrame(data[::-1] + odd, "g int, ord bigint, source string, start double, stop double, base double")
+    beats = [i * 0.75 for i in range(200)]
+    want = []
+    for i, (g, k, source, start, stop, base) in enumerate(data):
+        line, after = end.get(g, 0.0) if k else 0.0, data[i + 1] if i + 1 < len(data) and data[i + 1][0] == g else None
+        moved, kind = None, ""
+        if line is not None and stop is not None and after is not None:
+            for name, n in (("section", 32), ("phrase", 8), ("beat", 1)):
+                near = [t for t in beats[::n] if t <= line + (stop - start) + 0.01 and line + (stop - start) - t <= 0.5]
+                if near and (n == 1 or source != after[2] or abs(base - after[5]) >= 0.25):
+                    moved, kind = (near[-1] - line, name) if near[-1] - line >= 1 else (None, "")
+                    break
+        end[g] = None if line is None or stop is None else line + (stop - start if moved is None else moved)
+        want.append((g, k, source, stop if moved is None else start + moved, kind))
+    lists = spark.createDataFrame([(g, beats[::-1], beats[::8], beats[::32]) for g in (0, 1, 2, 4, 9, None)], "g int, beats array<double>, phrases array<double>, sections array<double>")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(size, "3")
+    try:
+        assert {kind for *_, kind in want} == {"", "beat", "phrase", "section"}
+        assert rows(cues.snap(seg, 0.75, ["g"]), "g", "ord", "source", "snapped", "cue") == want
+        bare = [(*w[:3], d[4], "") if w[0] == 3 else w for w, d in zip(want, data, strict=True)]
+        assert rows(cues.snap(seg, lists, ["g"]), "g", "ord", "source", "snapped", "cue") == bare
+    finally:
+        spark.conf.unset(size)
+
+
 def test_transitions_keep_the_rules(spark):
     kind = "g int, ord bigint, source string, start double, stop double, cue string"
     frame = spark.createDataFrame([(1, 0, "a", 0.0, 4.0, ""), (1, 1, "b", 0.0, 4.0, "section"), (1, 2, "b", 5.0, 9.0, ""), (1, 3, "c", 0.0, 0.5, ""), (1, 4, "d", 0.0, 4.0, ""), (2, 0, "a", 0.0, 0.4, "")], kind)
